@@ -30,6 +30,8 @@ from attesta.llm.textkit import Words, set_digest, slices, sorted_sets
 #: Counters of the sketch that orders shingles: 4 MB whatever the corpus holds.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
+#: Bits of the map that says which texts a comparison reads: 2 MB.
+READ_BITS = 24
 
 _NUM, _DEN = 3, 4  # 0.75 as a fraction, so that limits are computed in whole numbers
 
@@ -100,7 +102,7 @@ def _postings(k: int, weights, num: int, den: int):
                 n = np.diff(at)
                 digest = set_digest(h, at)
                 key = (order[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (h & np.uint64((1 << 57) - 1))
-                keys, owners, sizes, places = [], [], [], []
+                keys, owners, places = [], [], []
                 for i in range(len(n)):
                     if not n[i] or (d := int(digest[i])) in done:
                         continue
@@ -110,10 +112,9 @@ def _postings(k: int, weights, num: int, den: int):
                     mine = np.sort(np.partition(mine, short - 1)[:short]) if short < len(mine) else np.sort(mine)
                     keys.append(mine)
                     owners.append(np.full(len(mine), d))
-                    sizes.append(np.full(len(mine), n[i]))
-                    places.append(np.arange(len(mine)))
+                    places.append((int(n[i]) << 32) + np.arange(len(mine)))
                 if keys:
-                    yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "digest": np.concatenate(owners), "n": np.concatenate(sizes).astype(np.int32), "pos": np.concatenate(places).astype(np.int32)})
+                    yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "digest": np.concatenate(owners), "n_pos": np.concatenate(places)})
 
     return run
 
@@ -139,10 +140,37 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``pairs(a, b)`` with the verdict of an exact comparison."""
-    one = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
-    two = one.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+def _present(bits: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            bit = np.asarray(batch.column(0).field("same")) & ((1 << READ_BITS) - 1)
+            yield batch.filter(pa.array((full[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
+def _among(read: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``read(at, text)`` whose ``at`` is in ``wanted(at)`` or, rarely, only looks so.
+
+    Keeps texts that no pair needs out of the shuffle. The bitmap has a fixed size; once the wanted
+    rows fill it, it lets more through and the join that follows still decides.
+    """
+    bit = F.expr(f"at.same & {(1 << READ_BITS) - 1}")
+    parts = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32768 as chunk")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
+    full = bytearray(1 << (READ_BITS - 3))
+    for r in parts:
+        full[r.chunk * 4096 : (r.chunk + 1) * 4096] = r.bits
+    return read.mapInArrow(_present(read.sparkSession.sparkContext.broadcast(bytes(full))), read.schema)
+
+
+def _verified(pairs: DataFrame, first: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``pairs(a, b)`` as ``(u, v, linked)`` by an exact comparison; ``first(digest, at)`` says where a class's text is."""
+    placed = pairs.join(first.select(F.col("digest").alias("a"), F.col("at").alias("at_a")), "a").join(first.select(F.col("digest").alias("b"), F.col("at").alias("at_b")), "b")
+    placed = stash(placed, "placed")
+    texts = _among(read, placed.select(F.col("at_a").alias("at")).union(placed.select("at_b"))).groupBy("at").agg(F.first("text").alias("text"))
+    one = placed.join(texts.select(F.col("at").alias("at_b"), F.col("text").alias("tb")), "at_b")
+    two = one.join(texts.select(F.col("at").alias("at_a"), F.col("text").alias("ta")), "at_a").select("a", "b", "ta", "tb")
     return two.mapInArrow(_verify(k, num, den), "u long, v long, linked boolean")
 
 
@@ -156,20 +184,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = profile.filter("n is not null").select("doc_id", "same", "n", "digest")
 
     lists = Window.partitionBy("key")
-    short = text.select("text").mapInArrow(_postings(k, order, num, den), "key long, digest long, n int, pos int")
-    shared = short.withColumns({"lo": F.min("digest").over(lists), "hi": F.max("digest").over(lists), "best": F.min(F.struct("pos", "digest", "n")).over(lists)}).filter("lo <> hi")
-    shared = stash(shared.select("key", "digest", "n", "pos", F.col("best.digest").alias("lead"), F.col("best.n").alias("lead_n")), "lists")
+    short = text.select("text").mapInArrow(_postings(k, order, num, den), "key long, digest long, n_pos long")
+    shared = short.withColumns({"lo": F.min("digest").over(lists), "hi": F.max("digest").over(lists), "best": F.min(F.struct(F.expr("int(n_pos & 2147483647)").alias("pos"), "digest", "n_pos")).over(lists)}).filter("lo <> hi")
+    shared = shared.select("key", "digest", F.expr("int(shiftright(n_pos, 32)) as n"), F.expr("int(n_pos & 2147483647) as pos"), F.col("best.digest").alias("lead"), F.expr("int(shiftright(best.n_pos, 32)) as lead_n"))
+    shared = stash(shared, "lists")
 
     fits = lambda a, b: f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
     star = shared.filter("digest <> lead").filter(fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("digest").alias("b")).agg(F.count("*").alias("hits")).select("a", "b")
     star = stash(star, "pairs")
-    # One row of text for each class that is in a list with another class.
+    # A class is read from the first of its rows.
     known_id = F.coalesce("doc_id", F.lit(-1)).alias("doc_id")
-    first = rows.groupBy("digest").agg(F.min(F.struct(known_id, "same")).alias("f")).select("digest", "f.*")
-    wanted = shared.select("digest").distinct().join(first, "digest")
-    texts = text.select(known_id, "same", "text").join(wanted, ["doc_id", "same"]).select("digest", "text")
-    texts = stash(texts.dropDuplicates(["digest"]), "texts")
-    tested = stash(_verified(star, texts, k, num, den), "tested")
+    first = rows.groupBy("digest").agg(F.min(F.struct(known_id, "same")).alias("at"))
+    read = text.select(F.struct(known_id, "same").alias("at"), "text")
+    tested = stash(_verified(star, first, read, k, num, den), "tested")
     roots = components(tested.filter("linked"))
 
     # What is still apart: pairs of one list in different components, within the limits on sizes and places.
@@ -183,9 +210,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
     known = tested.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"))
     rest = rest.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    more = stash(_verified(rest, texts, k, num, den), "tested")
+    more = stash(_verified(rest, first, read, k, num, den), "tested")
     roots = stash(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.filter("linked").select("u", "v"))), "roots")
-    for old in (star, tested, apart, more, texts, shared):
+    for old in (star, tested, apart, more, shared):
         discard(old)
     return rows, roots
 
