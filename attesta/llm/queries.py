@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.op01_jaccard import jaccard_components
 from attesta.llm.op02_language import identify
+from attesta.llm.op04_decontaminate import contaminated
 from attesta.llm.op08_quality import quality
+from attesta.llm.op09_packing import pack_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +25,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op4_decontamination": op4_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
