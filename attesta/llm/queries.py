@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attesta.llm.op01_jaccard import jaccard_components
 from attesta.llm.op02_language import identify
 from attesta.llm.op04_decontaminate import contaminated
+from attesta.llm.op06_substrings import repeated_passages
 from attesta.llm.op08_quality import quality
 from attesta.llm.op09_packing import pack_documents
 
@@ -29,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
