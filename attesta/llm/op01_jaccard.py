@@ -1,14 +1,15 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 Every distinct shingle set is a query against the inverted lists of all others. A partner must
-share ``T`` shingles with it; the query's ``T - 1`` longest lists are set aside, so any partner
-shows up in one of the remaining short lists. Spark merges the short lists (a shuffle sorted by
-shingle is that heap merge, spilled to disk where it must), and the long lists are probed by
-binary search in the candidate's sorted set, which gives the exact overlap.
-
-*Which lists are long* comes from a count sketch of fixed size over all documents. It only orders
-the shingles: any order that all documents share gives the same links, a good one gives short
-lists. Groups of equal sets are one class from the start, and large groups of near copies are
+share ``T`` shingles with it. In an order of shingles that all documents share, a query keeps its
+first ``n - T + c`` lists; any partner is in ``c`` of these at least. Spark merges them (a shuffle
+sorted by shingle is the heap merge, spilled to disk where it must). Of the merged lists, whose
+lengths are now exact, a query sets its ``c - 1`` longest aside and finds candidates in the
+others alone; candidates must then be in ``c`` lists, and the rest is probed by binary search in
+the candidate's sorted set, which gives the exact overlap.
+
+The order comes from a count sketch of fixed size over all documents, rare shingles first. It
+affects speed alone: any shared order gives the same links. Groups of equal sets are one class from the start, and large groups of near copies are
 first linked as stars (each list's best-placed member against the rest); only pairs of classes
 that are still apart are then formed. No group is expanded into all its pairs where its members
 are already connected, and none is cut.
@@ -50,6 +51,11 @@ def index_length(n, num: int = _NUM, den: int = _DEN):
     return n - _ceil(2 * num * n, num + den) + 1
 
 
+def spare(n):
+    """c: lists beyond the first that a partner must be in, so that the longest can be set aside."""
+    return 1 + n // 30
+
+
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -102,19 +108,20 @@ def _postings(k: int, weights, num: int, den: int):
                 n = np.diff(at)
                 digest = set_digest(h, at)
                 key = (order[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (h & np.uint64((1 << 57) - 1))
-                keys, owners, places = [], [], []
+                keys, owners, sizes, places = [], [], [], []
                 for i in range(len(n)):
                     if not n[i] or (d := int(digest[i])) in done:
                         continue
                     done.add(d)
-                    short = probe_length(int(n[i]), num, den)
+                    short = probe_length(int(n[i]), num, den) + spare(int(n[i])) - 1
                     mine = key[at[i] : at[i + 1]]
                     mine = np.sort(np.partition(mine, short - 1)[:short]) if short < len(mine) else np.sort(mine)
                     keys.append(mine)
                     owners.append(np.full(len(mine), d))
-                    places.append((int(n[i]) << 32) + np.arange(len(mine)))
+                    sizes.append(np.full(len(mine), n[i]))
+                    places.append(np.arange(len(mine)))
                 if keys:
-                    yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "digest": np.concatenate(owners), "n_pos": np.concatenate(places)})
+                    yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "digest": np.concatenate(owners), "n": np.concatenate(sizes).astype(np.int32), "pos": np.concatenate(places).astype(np.int32)})
 
     return run
 
@@ -184,10 +191,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = profile.filter("n is not null").select("doc_id", "same", "n", "digest")
 
     lists = Window.partitionBy("key")
-    short = text.select("text").mapInArrow(_postings(k, order, num, den), "key long, digest long, n_pos long")
-    shared = short.withColumns({"lo": F.min("digest").over(lists), "hi": F.max("digest").over(lists), "best": F.min(F.struct(F.expr("int(n_pos & 2147483647)").alias("pos"), "digest", "n_pos")).over(lists)}).filter("lo <> hi")
-    shared = shared.select("key", "digest", F.expr("int(shiftright(n_pos, 32)) as n"), F.expr("int(n_pos & 2147483647) as pos"), F.col("best.digest").alias("lead"), F.expr("int(shiftright(best.n_pos, 32)) as lead_n"))
-    shared = stash(shared, "lists")
+    short = text.select("text").mapInArrow(_postings(k, order, num, den), "key long, digest long, n int, pos int")
+    shared = short.withColumns({"lo": F.min("digest").over(lists), "hi": F.max("digest").over(lists), "best": F.min(F.struct("pos", "digest", "n")).over(lists)}).filter("lo <> hi")
+    shared = stash(shared.select("key", "digest", "n", "pos", F.col("best.digest").alias("lead"), F.col("best.n").alias("lead_n")), "lists")
 
     fits = lambda a, b: f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
     star = shared.filter("digest <> lead").filter(fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("digest").alias("b")).agg(F.count("*").alias("hits")).select("a", "b")
@@ -199,15 +205,23 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tested = stash(_verified(star, first, read, k, num, den), "tested")
     roots = components(tested.filter("linked"))
 
-    # What is still apart: pairs of one list in different components, within the limits on sizes and places.
-    placed = shared.select("key", "digest", "n", "pos").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    apart = placed.withColumns({"lo": F.min("root").over(lists), "hi": F.max("root").over(lists)}).filter("lo <> hi").drop("lo", "hi")
+    # What is still apart: candidates in different components.
+    placed = shared.select("key", "digest", "n", "pos").dropDuplicates(["key", "digest"]).join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    apart = placed.withColumns({"lo": F.min("root").over(lists), "hi": F.max("root").over(lists), "length": F.count("*").over(lists)}).filter("lo <> hi").drop("lo", "hi")
     apart = stash(apart, "apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    c = "(1 + n div 30)"
+    longest_first = Window.partitionBy("digest").orderBy(F.desc("length"), "key")
+    query = apart.filter(f"pos < n - cast(ceil({2 * num} * n / {num + den}.0D) as int) + {c}").withColumn("nth", F.row_number().over(longest_first)).filter(f"nth >= {c}")
+    x, y = query.alias("x"), apart.alias("y")
     rest = x.join(y, F.expr(f"""x.key = y.key and x.root <> y.root and (x.n < y.n or x.n = y.n and x.digest < y.digest) and {den} * x.n >= {num} * y.n
-        and x.pos < x.n - cast(ceil({2 * num} * x.n / {num + den}.0D) as int) + 1
-        and least(x.n - x.pos, y.n - y.pos) >= ceil({num} * (x.n + y.n) / {num + den}.0D)"""))
+        and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= ceil({num} * (x.n + y.n) / {num + den}.0D)"""))
     rest = rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    # Up to the last list that both are in, all of either's lists are known: what isn't common there is lost to the overlap.
+    merged = apart.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "pos"))).alias("at"), F.first("n").alias("n"))
+    of = lambda d, i: merged.select(F.col("digest").alias(d), F.col("at").alias(f"at_{i}"), F.col("n").alias(f"n_{i}"))
+    rest = rest.join(of("a", 1), "a").join(of("b", 2), "b").withColumn("common", F.array_intersect(F.map_keys("at_1"), F.map_keys("at_2")))
+    rest = rest.filter("size(common) >= 1 + least(n_1, n_2) div 30").withColumn("last", F.array_max("common"))
+    rest = rest.withColumn("most", F.expr("size(common) + least(n_1 - at_1[last], n_2 - at_2[last]) - 1")).filter(f"{den} * most >= {num} * (n_1 + n_2 - most)").select("a", "b")
     known = tested.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"))
     rest = rest.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
     more = stash(_verified(rest, first, read, k, num, den), "tested")
