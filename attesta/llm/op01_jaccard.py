@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.components import components
+from attesta.llm.prefilter import split_by, without
 from attesta.llm.scratch import discard, stash
 from attesta.llm.textkit import Words, set_digest, slices, sorted_sets
 
 #: Counters of the sketch that orders shingles: 4 MB whatever the corpus holds.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
-#: Bits of the map that says which texts a comparison reads: 2 MB.
-READ_BITS = 24
 
 _NUM, _DEN = 3, 4  # 0.75 as a fraction, so that limits are computed in whole numbers
 
@@ -147,35 +146,11 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def _present(bits: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            bit = np.asarray(batch.column(0).field("same")) & ((1 << READ_BITS) - 1)
-            yield batch.filter(pa.array((full[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-
-    return run
-
-
-def _among(read: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``read(at, text)`` whose ``at`` is in ``wanted(at)`` or, rarely, only looks so.
-
-    Keeps texts that no pair needs out of the shuffle. The bitmap has a fixed size; once the wanted
-    rows fill it, it lets more through and the join that follows still decides.
-    """
-    bit = F.expr(f"at.same & {(1 << READ_BITS) - 1}")
-    parts = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32768 as chunk")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
-    full = bytearray(1 << (READ_BITS - 3))
-    for r in parts:
-        full[r.chunk * 4096 : (r.chunk + 1) * 4096] = r.bits
-    return read.mapInArrow(_present(read.sparkSession.sparkContext.broadcast(bytes(full))), read.schema)
-
-
 def _verified(pairs: DataFrame, first: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``pairs(a, b)`` as ``(u, v, linked)`` by an exact comparison; ``first(digest, at)`` says where a class's text is."""
     placed = pairs.join(first.select(F.col("digest").alias("a"), F.col("at").alias("at_a")), "a").join(first.select(F.col("digest").alias("b"), F.col("at").alias("at_b")), "b")
     placed = stash(placed, "placed")
-    texts = _among(read, placed.select(F.col("at_a").alias("at")).union(placed.select("at_b"))).groupBy("at").agg(F.first("text").alias("text"))
+    texts = split_by(read, F.col("at"), placed.select(F.col("at_a").alias("at")).union(placed.select("at_b")))[0].groupBy("at").agg(F.first("text").alias("text"))
     one = placed.join(texts.select(F.col("at").alias("at_b"), F.col("text").alias("tb")), "at_b")
     two = one.join(texts.select(F.col("at").alias("at_a"), F.col("text").alias("ta")), "at_a").select("a", "b", "ta", "tb")
     return two.mapInArrow(_verify(k, num, den), "u long, v long, linked boolean")
@@ -258,5 +233,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the members of a group whose doc_id is not its smallest."""
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return without(docs, id_col, found.filter("component_id <> doc_id").select("doc_id"))

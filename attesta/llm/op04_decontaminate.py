@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.prefilter import without
+from attesta.llm.scratch import stash
 from attesta.llm.textkit import Words, slices
 
 #: Bytes of test items in one index; more items make more blocks.
@@ -217,5 +219,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a test item."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", stash(contaminated(docs, benchmark).select("doc_id"), "held"))
