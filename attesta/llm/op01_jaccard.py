@@ -185,15 +185,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # ``alone``: lists of one document, up to its last shared list, that no other has among its first. If that
     # list comes no later than the partner's last one, the partner lacks those shingles altogether.
     own = Window.partitionBy("digest")
-    placed = placed.withColumns({"last": F.max("key").over(own), "alone": F.max("pos").over(own) + 1 - F.count("*").over(own)})
+    # The shared lists themselves are in a signature of 256 bits: a bit that only one of the two has is a list less in common.
+    bit = lambda i: F.bit_or(F.expr(f"if((key >> 6) & 3 = {i}, shiftleft(1L, int(key & 63)), 0L)")).over(own)
+    placed = placed.withColumns({"last": F.max("key").over(own), "alone": F.max("pos").over(own) + 1 - F.count("*").over(own)} | {f"s{i}": bit(i) for i in range(4)})
     apart = placed.withColumns({"lo": F.min("root").over(lists), "hi": F.max("root").over(lists), "length": F.count("*").over(lists)}).filter("lo <> hi").drop("lo", "hi")
     apart = stash(apart, "apart")
     c = "(1 + n div 30)"
     longest_first = Window.partitionBy("digest").orderBy(F.desc("length"), "key")
     query = apart.filter(f"pos < n - cast(ceil({2 * num} * n / {num + den}.0D) as int) + {c}").withColumn("nth", F.row_number().over(longest_first)).filter(f"nth >= {c}")
     x, y = query.alias("x"), apart.alias("y")
+    lost = lambda a, b: f"{a}.alone + " + " + ".join(f"bit_count({a}.s{i} & ~{b}.s{i})" for i in range(4))
     rest = x.join(y, F.expr(f"""x.key = y.key and x.root <> y.root and (x.n < y.n or x.n = y.n and x.digest < y.digest) and {den} * x.n >= {num} * y.n
-        and {num + den} * if(x.last <= y.last, x.n - x.alone, y.n - y.alone) >= {num} * (x.n + y.n)
+        and {num + den} * if(x.last <= y.last, x.n - ({lost("x", "y")}), y.n - ({lost("y", "x")})) >= {num} * (x.n + y.n)
         and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= ceil({num} * (x.n + y.n) / {num + den}.0D)"""))
     rest = rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
     # Up to the last list that both are in, all of either's lists are known: what isn't common there is lost to the overlap.
