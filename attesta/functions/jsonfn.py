@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -83,3 +84,85 @@ def _pointer(text: str | None, pointer: str | None) -> str | None:
 def at_pointer(text: pd.Series, pointer: pd.Series) -> pd.Series:
     """The value at a JSON pointer, as JSON; null if it isn't there."""
     return pd.Series([_pointer(t, p) for t, p in zip(text, pointer, strict=True)])
+
+
+#: Keys that are never kept: fixed values.
+SENSITIVE = ("password", "passwd", "token", "wstoken", "privatetoken", "sesskey", "secret", "cookie", "authorization")
+
+
+def _redacted(node, depth: int = 0):
+    if depth > 24:
+        return None
+    if isinstance(node, dict):
+        return {k: _redacted(v, depth + 1) for k, v in node.items() if k.lower() not in SENSITIVE}
+    if isinstance(node, list):
+        return [_redacted(v, depth + 1) for v in node]
+    return re.sub(r"((?:ws)?token|sesskey)=[^&\s\"']+", r"\1=[REDACTED]", node) if isinstance(node, str) else node
+
+
+def _rewritten(text: str | None, change) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(change(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def redacted(text: pd.Series) -> pd.Series:
+    """Without sensitive keys at any depth, and with tokens in texts replaced."""
+    return text.map(lambda t: _rewritten(t, _redacted))
+
+
+def _flat(node, name: str, out: list[str]) -> None:
+    if isinstance(node, dict):
+        for k, v in node.items():
+            _flat(v, f"{name}[{k}]" if name else k, out)
+    elif isinstance(node, list):
+        for i, v in enumerate(node):
+            _flat(v, f"{name}[{i}]", out)
+    elif node is not None:
+        out.append(f"{name}={int(node) if isinstance(node, bool) else node}")
+
+
+def _params(text: str | None) -> list[str] | None:
+    if text is None:
+        return None
+    out: list[str] = []
+    try:
+        _flat(json.loads(text), "", out)
+    except (ValueError, RecursionError):
+        return None
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flat_params(text: pd.Series) -> pd.Series:
+    """Nested parameters as ``a[0][b]=value``, in order; nulls are left out, booleans are 0 and 1."""
+    return text.map(_params)
+
+
+def _module_of(text: str | None, file_id: str | None) -> str | None:
+    if text is None or file_id is None:
+        return None
+    try:
+        todo = [(json.loads(text), None)]
+    except (ValueError, RecursionError):
+        return None
+    while todo:
+        node, module = todo.pop()
+        if isinstance(node, dict):
+            module = str(node["id"]) if "modname" in node and "id" in node else module
+            if node.get("file_id") == file_id:
+                return module
+            todo += [(v, module) for v in reversed(list(node.values()))]
+        elif isinstance(node, list):
+            todo += [(v, module) for v in reversed(node)]
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def module_of_file(text: pd.Series, file_id: pd.Series) -> pd.Series:
+    """Id of the nearest module around the first object with the ``file_id``."""
+    return pd.Series([_module_of(t, f) for t, f in zip(text, file_id, strict=True)])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing, jsonfn, text, timefn
-from attesta.operators import attention, events as ev, graph, joins, lifecycle, merge, paging, preferences, search, storage, timeline
+from attesta.operators import attention, events as ev, graph, joins, lifecycle, merge, paging, preferences, records, search, storage, timeline
 from attesta.sources import documents
 from attesta.tables import Tables, optional
 
@@ -553,3 +553,71 @@ def html_removals(t):
 @query()
 def html_text(t):
     return t.pages.select("page_id", text.plain_html(F.col("html")).alias("text"))
+
+
+# Records
+
+
+@query("""with b as (select o_custkey as c, l_suppkey as e, bool_or(l_returnflag = 'R') as active from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 48 group by all),
+f as (select c, count(*) as n, min(e) as one from b where active group by c)
+select c_custkey, coalesce(n, 0)::int as n, case when n is null then 'unbound' when n = 1 then 'unique' else 'ambiguous' end as status, case when n = 1 then one end as target from customer left join f on c = c_custkey""")
+def work_targets(t):
+    b = t.orders.join(t.lineitem.filter("l_quantity > 48"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("context_id"), F.col("l_suppkey").cast("string").alias("entity_id")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("active"))
+    out = records.targets(t.customer.select(F.col("c_custkey").alias("context_id")), b)
+    return out.select(F.col("context_id").alias("c_custkey"), F.size("entity_ids").alias("n"), "status", F.col("target_id").cast("long").alias("target"))
+
+
+@query("""with b as (select distinct user_id as c, event_type as e from events where event_id % 2 = 0), w as (select distinct user_id as c, event_type as e from events where event_id % 50 = 1)
+select coalesce(b.c, w.c) as context_id, coalesce(b.e, w.e) as entity_id, case when w.c is not null then true when coalesce(b.c, w.c) in (select c from w) then false else true end as active from b full join w on b.c = w.c and b.e = w.e""")
+def bind_targets(t):
+    pair = lambda p: t.events.filter(p).select(F.col("user_id").alias("context_id"), F.col("event_type").alias("entity_id")).distinct()
+    return records.bind(pair("event_id % 2 = 0").withColumn("active", F.lit(True)), pair("event_id % 50 = 1"))
+
+
+@query("""with n as (select user_id as e, arg_max(event_id, (ts, event_id)) as h from events group by 1), p as (select user_id as e, max(event_id) as h from events where event_id % 3 <> 0 group by 1)
+select n.e as entity_id, case when p.h = n.h then n.h else -1 end as presented_hash from n left join p on p.e = n.e""")
+def presented_marks(t):
+    newest = timeline.latest(t.events, ["user_id"], "ts", "event_id").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("content_hash"))
+    asked = t.events.filter("event_id % 3 <> 0").groupBy(F.col("user_id").alias("entity_id")).agg(F.max("event_id").alias("content_hash"))
+    marks = newest.select("entity_id", F.lit(-1).cast("long").alias("presented_hash"))
+    return records.mark(marks, asked, newest)
+
+
+@query("""select e.event_id, user_id, case when event_type in ('click', 'view') then event_type when n = 1 then one end as target, case when event_type in ('click', 'view') or n = 1 then null when coalesce(n, 0) = 0 then 'unbound' else 'ambiguous_context' end as refusal
+from events e left join (select c_custkey, case when c_custkey % 3 = 0 then 1 else 2 end as n, 'm' as one from customer where c_custkey % 3 <> 2) on c_custkey = user_id""")
+def event_targets(t):
+    e = t.events.select("event_id", "user_id", F.col("user_id").alias("context_id"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("target_entity_id"))
+    b = t.customer.filter("c_custkey % 3 <> 2").select(F.col("c_custkey").alias("context_id"), F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("n")))).alias("entity_id"), F.lit(True).alias("active"))
+    none = t.customer.limit(0).select(F.lit("").alias("module_id"), F.lit("").alias("entity_id"))
+    return records.resolve_event_target(e, b, none).select("event_id", "user_id", F.col("resolved_id").alias("target"), "refusal")
+
+
+@query("select event_id, 'k=' || json_extract_string(props, '$.k') as param from events")
+def flattened_params(t):
+    return t.events.select("event_id", F.explode(jsonfn.flat_params("props")).alias("param"))
+
+
+@query("""with p as (select * from (values (0, 'complete'), (1, 'partial'), (2, 'denied'), (3, 'timeout')) as v(m, c))
+select conv_id, arg_max(case when length(text) > 500 and c = 'complete' then 'partial' else c end, case case when length(text) > 500 and c = 'complete' then 'partial' else c end when 'complete' then 0 when 'partial' then 1 when 'timeout' then 2 when 'denied' then 5 end) as coverage from conversations join p on m = turn % 4 group by conv_id""")
+def truncation_is_partial(t):
+    from attesta.plans.catalog import coverage_of
+
+    names = F.array(*[F.lit(c) for c in ("complete", "partial", "denied", "timeout")])
+    rows = t.conversations.select("conv_id", F.element_at(names, (F.col("turn") % 4 + 1).cast("int")).alias("coverage"), (F.length("text") > 500).alias("truncated"))
+    return coverage_of(rows, ["conv_id"])
+
+
+@query("select c_custkey, 'o' as owner, upper(substring(c_name, 1, 1)) as initial from customer where c_mktsegment = 'BUILDING'")
+def tenant_scan(t):
+    own = Tables(t.spark, t.root, "BUILDING", "c_mktsegment").customer
+    return own.select("c_custkey", F.lit("o").alias("owner"), F.upper(F.substring("c_name", 1, 1)).alias("initial"))
+
+
+@query("select row_number() over (order by n) - 1 as turn, n as user_id from (select distinct user_id as n from events)")
+def round_robin_turns(t):
+    return lifecycle.next_in_turn(t.events.select("user_id").distinct(), "user_id", 0).select(F.col("turn").cast("long").alias("turn"), "user_id")
+
+
+@query()
+def document_digest_ids(t):
+    return t.documents.select("doc_id", hashing.stable_uuid(F.col("source"), F.col("text")).alias("uuid"), hashing.git_blob_id(F.col("text")).alias("git_blob"))
