@@ -132,10 +132,17 @@ def docx_document(raw: bytes | None) -> dict | None:
         if b"<!DOCTYPE" in body or b"<!ENTITY" in body:
             return _failed("doctype")
         blocks: list[tuple] = []
-        cell = 0
+        cell = table = row = column = 0
         for event, e in ElementTree.iterparse(io.BytesIO(body), events=("start", "end")):
             if e.tag == f"{_W}tc":
                 cell += 1 if event == "start" else -1
+                if event == "end":
+                    span = e.find(f"{_W}tcPr/{_W}gridSpan")
+                    column += int(span.get(f"{_W}val", "1")) if span is not None else 1
+            elif event == "start" and e.tag == f"{_W}tbl":
+                table, row = table + 1, 0
+            elif event == "start" and e.tag == f"{_W}tr":
+                row, column = row + 1, 1
             if event == "end" and e.tag == f"{_W}p":
                 text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "" for t in e.iter()).strip()
                 style = e.find(f"{_W}pPr/{_W}pStyle")
@@ -144,7 +151,8 @@ def docx_document(raw: bytes | None) -> dict | None:
                 level = int(outline.get(f"{_W}val", "0")) + 1 if outline is not None else int(named[1]) if named else 0
                 kind = "cell" if cell else "heading" if level else "list_item" if e.find(f"{_W}pPr/{_W}numPr") is not None else "paragraph"
                 if text:
-                    blocks.append((len(blocks) + 1, kind, level, text, f"block:{len(blocks) + 1}"))
+                    where = f"table:{table}/row:{row}/column:{column}" if cell else f"block:{len(blocks) + 1}"
+                    blocks.append((len(blocks) + 1, kind, level, text, where))
         return {"status": "extracted", "coverage": "complete", "removed": {}, "blocks": blocks}
     except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, NotImplementedError, OSError, EOFError):
         return _failed("parsing_error")
@@ -155,6 +163,26 @@ def _frame(rows: list[dict | None]) -> pd.DataFrame:
     return pd.DataFrame([r or none for r in rows], columns=["status", "coverage", "removed", "blocks"])
 
 
+def _office_kind(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    try:
+        names = set(zipfile.ZipFile(io.BytesIO(raw)).namelist())
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError, EOFError):
+        return "unreadable"
+    macro = "_macro" if any(n.endswith("vbaProject.bin") for n in names) else ""
+    for part, kind in (("word/document.xml", "docx"), ("ppt/presentation.xml", "pptx"), ("xl/workbook.xml", "xlsx")):
+        if part in names:
+            return kind + macro
+    return "zip"
+
+
+@F.pandas_udf(T.StringType())
+def office_kind(content: pd.Series) -> pd.Series:
+    """docx, pptx, xlsx (with ``_macro`` if there is code), zip or unreadable, from the archive's entries."""
+    return content.map(lambda c: _office_kind(None if c is None else bytes(c)))
+
+
 @F.pandas_udf(DOCUMENT)
 def html_blocks(markup: pd.Series) -> pd.DataFrame:
     return _frame([html_document(m) for m in markup])

@@ -92,3 +92,51 @@ def test_extraction_is_done_once_per_version(spark):
     assert first.count() == 2
     again = documents.extract_new(df, first.drop("reused"), "1")
     assert {r.reused for r in again.collect()} == {True}
+
+
+def test_cells_know_their_place_and_archives_their_kind(spark):
+    cell = lambda t, span=1: f'<w:tc><w:tcPr><w:gridSpan w:val="{span}"/></w:tcPr>{p(t)}</w:tc>'
+    raw = docx(f"<w:tbl><w:tr>{cell('a', 2)}{cell('b')}</w:tr><w:tr>{cell('c')}</w:tr></w:tbl>")
+    assert [(b[3], b[4]) for b in documents.docx_document(raw)["blocks"]] == [("a", "table:1/row:1/column:1"), ("b", "table:1/row:1/column:3"), ("c", "table:1/row:2/column:1")]
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w") as z:
+        z.writestr("xl/workbook.xml", "x")
+        z.writestr("xl/vbaProject.bin", "x")
+    df = spark.createDataFrame([(raw,), (other.getvalue(),), (b"no zip",)], "c binary")
+    assert [r[0] for r in df.select(documents.office_kind("c")).collect()] == ["docx", "xlsx_macro", "unreadable"]
+
+
+def test_staging_is_idempotent_and_repairs(spark):
+    import hashlib
+
+    import pytest
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    inv = spark.createDataFrame([("a", sha(b"1"), "cas/1", b"1"), ("b", sha(b"1"), "cas/1", b"1"), ("c", sha(b"2"), "cas/2", b"2")], "path string, sha256 string, cas_path string, content binary")
+    store = spark.createDataFrame([(sha(b"2"), "cas/2", b"damaged")], "sha256 string, cas_path string, content binary")
+    once = staging.staged(inv, store)
+    assert {bytes(r.content) for r in once.collect()} == {b"1", b"2"} and staging.new_blobs(inv, once).count() == 0
+    manifest = inv.select("path", "sha256").withColumn("batch_id", F.lit("x"))
+    assert staging.restored(manifest, once, "x").count() == 3
+    with pytest.raises(ValueError, match="not restorable"):
+        staging.restored(manifest, store, "x")
+    with pytest.raises(ValueError, match="another batch"):
+        staging.restored(manifest, once, "y")
+    cur = spark.createDataFrame([("r1", "note", "Text", ["a", "missing"])], "record_id string, kind string, text string, refs array<string>")
+    entities, _, relations = staging.imported(manifest, cur, "o", "c")
+    assert entities.count() == 4 and relations.count() == 1
+
+
+def test_reads_resume_within_budget(spark):
+    from attesta.streaming import resume
+
+    forums = spark.createDataFrame([("c", 0, "f", 2), ("c", 1, "g", 3), ("d", 0, "h", 1)], "course_id string, position int, forum_id string, pages int")
+    none = spark.createDataFrame([], "course_id string, position int, forum_id string, next_page int")
+    first = resume.next_reads(forums, none, 3)
+    assert [(r.forum_id, r.page) for r in first.filter("course_id = 'c'").orderBy("call").collect()] == [("f", 0), ("f", 1), ("g", 0)]
+    state = resume.checkpoint(forums, first, none)
+    assert {r.course_id: (r.forum_id, r.next_page, r.completed) for r in state.collect()} == {"c": ("g", 1, False), "d": ("h", 1, True)}
+    again = resume.next_reads(forums, state.filter("not completed").drop("completed"), 3)
+    assert [(r.forum_id, r.page) for r in again.filter("course_id = 'c'").orderBy("call").collect()] == [("g", 1), ("g", 2)]
+    moved = spark.createDataFrame([("c", 0, "g", 3), ("c", 1, "f", 2)], "course_id string, position int, forum_id string, pages int")
+    assert resume.next_reads(moved, state.drop("completed"), 9).count() == 5
