@@ -27,7 +27,7 @@ from attesta.llm.scratch import stash
 from attesta.llm.textkit import Words, slices
 
 #: Bytes of test items in one index; more items make more blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Postings that share one maximum.
 POSTINGS = 16
 K1, B = 1.2, 0.75
