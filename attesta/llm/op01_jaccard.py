@@ -156,6 +156,18 @@ def _verified(pairs: DataFrame, first: DataFrame, read: DataFrame, k: int, num:
     return two.mapInArrow(_verify(k, num, den), "u long, v long, linked boolean")
 
 
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` after further links: components of the components that they join."""
+    if not links.limit(1).count():
+        return roots
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    placed = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("root_u", "u").alias("root_u"), F.coalesce("root_v", "v").alias("root_v"))
+    merged = components(placed.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    own = placed.select(F.col("root_u").alias("node")).union(placed.select("root_v")).distinct()
+    full = roots.union(own.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return full.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (_NUM, _DEN)) -> tuple[DataFrame, DataFrame]:
     """Per row ``(doc_id, n, digest)``, and ``(node, root)`` of the classes (digests) that have links."""
     spark = docs.sparkSession
@@ -208,7 +220,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = tested.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"))
     rest = rest.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
     more = stash(_verified(rest, first, read, k, num, den), "tested")
-    roots = stash(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.filter("linked").select("u", "v"))), "roots")
+    roots = stash(_with_links(roots, more.filter("linked").select("u", "v")), "roots")
     for old in (star, tested, apart, more, shared):
         discard(old)
     return rows, roots

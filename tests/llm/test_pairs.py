@@ -60,6 +60,16 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 120))
 
 
+def test_later_links_join_components(spark):
+    from attesta.llm.op01_jaccard import _with_links
+
+    roots = spark.createDataFrame([(2, 1), (1, 1), (5, 4), (4, 4), (12, 11), (11, 11)], "node long, root long")
+    links = spark.createDataFrame([(2, 5), (9, 1), (7, 8)], "u long, v long")
+    got = {r.node: r.root for r in _with_links(roots, links).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 1, 9: 1, 7: 7, 8: 7, 11: 11, 12: 11}
+    assert _with_links(roots, links.limit(0)).count() == 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbBé \t\n\u00a0", max_size=40)), max_size=8))
 def test_words_and_shingle_sets(column):
