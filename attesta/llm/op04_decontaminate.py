@@ -6,6 +6,7 @@ passages are passed over together: the longest lists, which no item gets half th
 are set aside, and what the other terms of a passage can add stays too low for every item. The
 rest go through block-max WAND, which returns all items at or above the threshold, and each hit is
 verified: five-word shingles of the item's question and words of its answer must be in the passage.
+A question of fewer than five words must be in it as a sequence.
 
 The items' size is measured first; they are indexed in blocks of bounded bytes, each sent to the
 executors in turn, so any number of items is handled. Texts are read where they lie: no shuffle.
@@ -52,6 +53,12 @@ def _shingles(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
+def _holds(passage: np.ndarray, words: np.ndarray) -> bool:
+    """Whether ``words`` stand one after another in ``passage``."""
+    n = len(passage) - len(words) + 1
+    return n > 0 and bool(np.logical_and.reduce([passage[j : j + n] == x for j, x in enumerate(words)]).any())
+
+
 class Index:
     """Impact-ordered inverted lists of one block of items, with block maxima."""
 
@@ -93,6 +100,7 @@ class Index:
         self.all_impacts = np.concatenate(self.impacts) if n else np.zeros(0)
         parts = [split_item(t) for _, t in items]
         self.question, self.answer = _shingles([q for q, _ in parts]), [np.unique(w) for w in _words([a for _, a in parts])]
+        self.short = [w if 0 < len(w) < SHINGLE else None for w in _words([q for q, _ in parts])]  # questions too short for a shingle
 
     def likely(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Passages that some item may reach the threshold in, from their essential terms."""
@@ -184,7 +192,10 @@ def _scan(index, score: float, question: float, answer: float):
                         own = np.unique(h[first : max(first + 1, first + e - s - SHINGLE + 1)])
                         words = np.unique(w.hash[s:e])
                         for item, value in hits:
-                            q = np.isin(ix.question[item], own).mean() if len(ix.question[item]) else 0.0
+                            if ix.short[item] is not None:
+                                q = float(_holds(w.hash[s:e], ix.short[item]))
+                            else:
+                                q = np.isin(ix.question[item], own).mean() if len(ix.question[item]) else 0.0
                             a = np.isin(ix.answer[item], words).mean() if len(ix.answer[item]) else 1.0
                             new = (float(value), float(q), float(a), s - int(w.first[d]))
                             if q >= question and a >= answer and out.get((d, item), (-1.0,))[0] < new[0]:

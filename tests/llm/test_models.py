@@ -107,3 +107,13 @@ def test_planted_items_are_found_and_clean_documents_stay(spark):
 def test_answer_is_the_last_sentence():
     assert split_item("What is it? Forty two.") == ("What is it? ", "Forty two.")
     assert split_item("Only one sentence.") == ("Only one sentence.", "")
+
+
+def test_items_with_short_questions_are_found(spark):
+    pad = " ".join(f"pad{i}" for i in range(40))
+    items = {1: "Why so? Because of the long winding river.", 2: "Stop. Nobody passes this gate before dawn.", 3: "Lonely words here", 4: "One two three four five? Seven eight nine."}
+    docs = [(i, f"{pad} {t} {pad}") for i, t in items.items()] + [(i + 10, t) for i, t in items.items()]
+    docs += [(21, f"{pad} so why? because of the long winding river. {pad}"), (22, pad)]
+    out = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(i + at, i) for i in items for at in (0, 10)}
+    assert all(r.question_overlap == 1 for r in out)
