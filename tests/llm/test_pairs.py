@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from attesta.llm.components import components
 from attesta.llm.op01_jaccard import jaccard_components, keep_one
-from attesta.llm.op06_substrings import cartesian_spans, cut_repeats, repeated_passages
+from attesta.llm.op06_substrings import _passages, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
 from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens
 
@@ -126,3 +126,23 @@ def test_passages_are_cut_and_the_rest_stays(spark):
     assert out[0] == first
     passage = " ".join(tokens(first)[32:92])
     assert passage in later and passage not in out[10] and out[10].split()[:20] == later.split()[:20]
+
+
+def test_changed_words_in_the_middle_do_not_part_a_passage():
+    def hits(*runs):  # lengths of runs, on and off in turn
+        return np.repeat(np.arange(len(runs)) % 2 == 0, runs)
+
+    assert _passages(hits(38, 10, 38)) == [(0, 85)]
+    assert _passages(hits(18, 11, 18)) == [(0, 46)]
+    assert _passages(hits(18, 10, 18)) == [(0, 45)]
+    assert _passages(hits(0, 7, 1, 9, 1, 9, 1, 9, 38, 10, 38, 9, 1, 9, 1, 40))[0][1] >= 121
+    assert _passages(hits(100, 30, 100)) == [(0, 99), (130, 229)]
+    assert _passages(hits(300, 60, 1)) == [(0, 299)]
+    assert _passages(hits(20, 20, 20, 20, 20)) == [] and _passages(hits(45)) == [] and _passages(hits(0, 50)) == []
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        h = rng.random(160) < rng.choice([0.3, 0.7, 0.8])
+        got = _passages(h)
+        assert all(e - s >= 45 and h[s : e + 1].mean() >= 0.75 and h[s] and h[e] for s, e in got)
+        any_ = any(h[i] and h[j] and h[i : j + 1].mean() >= 0.75 for i in range(115) for j in range(i + 45, 160))
+        assert bool(got) == any_
