@@ -1,5 +1,7 @@
 """Jaccard join and substring dedup against brute force."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,7 +12,7 @@ from attesta.llm.components import components
 from attesta.llm.op01_jaccard import jaccard_components, keep_one
 from attesta.llm.op06_substrings import _passages, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
-from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens
+from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens, words
 
 
 def groups(items, linked):
@@ -146,3 +148,16 @@ def test_changed_words_in_the_middle_do_not_part_a_passage():
         assert all(e - s >= 45 and h[s : e + 1].mean() >= 0.75 and h[s] and h[e] for s, e in got)
         any_ = any(h[i] and h[j] and h[i : j + 1].mean() >= 0.75 for i in range(115) for j in range(i + 45, 160))
         assert bool(got) == any_
+
+
+def test_second_copy_in_one_document_is_found(spark):
+    rng = random.Random(6)
+    rows, want = [], []
+    for i in range(20):
+        passage = words(rng, 60)
+        rows.append((2 * i, " ".join(words(rng, 50) + passage + words(rng, 50))))
+        rows.append((2 * i + 1, " ".join(words(rng, 40) + passage + words(rng, 300) + passage + words(rng, 40))))
+        want += [(2 * i + 1, 40, 100), (2 * i + 1, 400, 460)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(any(r.doc_id == d and r.start_word <= s and e <= r.end_word for r in got) for d, s, e in want)
+    assert all(r.end_word - r.start_word < 75 for r in got)
