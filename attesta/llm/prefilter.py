@@ -29,16 +29,21 @@ def _test(bitmap, inside: bool):
     return run
 
 
-def split_by(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` whose ``key`` may be in the only column of ``wanted``, and those where it is not."""
-    bit = F.xxhash64(wanted.columns[0]).bitwiseAND(F.lit((1 << BITS) - 1))
-    parts = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()  # 2 MB at most
+def bitmap(hashes: DataFrame) -> bytes:
+    """The bitmap of the hashes in the only column of ``hashes``."""
+    bit = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << BITS) - 1))
+    parts = hashes.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()  # 2 MB at most
     full = bytearray(1 << (BITS - 3))
     for r in parts:
         full[r.chunk * 4096 : (r.chunk + 1) * 4096] = r.bits
-    bitmap = df.sparkSession.sparkContext.broadcast(bytes(full))
+    return bytes(full)
+
+
+def split_by(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be in the only column of ``wanted``, and those where it is not."""
+    full = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(wanted.columns[0]))))
     hashed = df.withColumn("_key_hash", F.xxhash64(key))
-    return hashed.mapInArrow(_test(bitmap, True), df.schema), hashed.mapInArrow(_test(bitmap, False), df.schema)
+    return hashed.mapInArrow(_test(full, True), df.schema), hashed.mapInArrow(_test(full, False), df.schema)
 
 
 def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:

@@ -161,3 +161,19 @@ def test_second_copy_in_one_document_is_found(spark):
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(any(r.doc_id == d and r.start_word <= s and e <= r.end_word for r in got) for d, s, e in want)
     assert all(r.end_word - r.start_word < 75 for r in got)
+
+
+def test_repeats_are_found_among_documents_that_share_a_part(spark):
+    rng = random.Random(7)
+    rows, want = [], []
+    for i in range(20):
+        passage = words(rng, 60)
+        for j in range(12):
+            mine = passage if j in (5, 11) else passage[:49]  # others come before and between
+            rows.append((100 * i + j, " ".join(words(rng, 30) + mine + words(rng, 30))))
+        want += [(100 * i + 11, s, s + 50) for s in range(30, 41)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(any(r.doc_id == d and r.start_word <= s and e <= r.end_word for r in got) for d, s, e in want)
+    texts_ = dict(rows)
+    for r in got:
+        assert texts_[r.doc_id].encode()[r.start_byte : r.end_byte].decode() == " ".join(tokens(texts_[r.doc_id])[r.start_word : r.end_word])
