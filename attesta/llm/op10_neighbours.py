@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors are brought to one length by an extra component, so that the largest inner product is the
-smallest distance. Balanced k-means on a bounded sample gives the centroids; every vector then
+smallest distance; queries are scaled to that length, which changes no order, only to find their lists. Balanced k-means on a bounded sample gives the centroids; every vector then
 goes to its nearest centroid's list, and to further ones that are nearly as near (boundary
 vectors). A query finds its centroids in a neighbour graph in memory and reads the lists whose
 distance is within a ratio of the nearest one's. Lists are cut into chunks of bounded size and
@@ -115,11 +115,12 @@ def _assign(model):
 
 def _route(model, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, sizes = model.value
+        graph, sizes, longest = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             q = _matrix(batch.column(1))
+            q *= longest / np.sqrt((q * q).sum(1, keepdims=True))  # its order of vectors is the same at any length, that of the lists is not
             q = np.concatenate([q, np.zeros((len(q), 1))], 1)
             rows, lists = [], []
             for i in range(len(q)):
@@ -186,7 +187,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     for r in placed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
     asked = clean(queries).filter(F.size("v") == shape.dim).dropDuplicates(["vec_id"])
-    routed = stash(asked.mapInArrow(_route(spark.sparkContext.broadcast((Graph(c), sizes)), k), "list int, query_id long, q array<double>"), "routed")
+    routed = stash(asked.mapInArrow(_route(spark.sparkContext.broadcast((Graph(c), sizes, longest)), k), "list int, query_id long, q array<double>"), "routed")
     blocks = {r["list"]: -(-r["count"] // BLOCK) for r in routed.groupBy("list").count().collect()}
     counts = spark.createDataFrame([(i, int(max(1, -(-int(sizes[i]) // CHUNK))), int(blocks.get(i, 0))) for i in range(lists)], "list int, chunks int, blocks int")
     counts = F.broadcast(counts)  # MOST_LISTS rows at most

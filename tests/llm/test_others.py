@@ -163,6 +163,24 @@ def test_recall_over_lists(spark):
     assert len(got) == 200 and hits / (20 * 200) >= 0.9
 
 
+def test_recall_with_norms_that_differ(spark):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    v = rng.normal(size=(n, 16))
+    v *= np.exp(rng.uniform(-1.15, 1.15, (n, 1))) / np.sqrt((v * v).sum(1, keepdims=True))  # a factor of ten
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in neighbours(df, df.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, mine in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(mine & set(np.argsort(-s)[:20].tolist()))
+    print("recall", hits / (20 * len(got)))
+    assert len(got) == n // 100 and hits / (20 * len(got)) >= 0.9
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
