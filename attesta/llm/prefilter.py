@@ -2,14 +2,13 @@
 
 The bitmap has a fixed size and may let rows through that are not wanted, never the reverse; the
 join that follows decides. Once very many keys fill it, it saves less and results stay the same.
+Only the hash of a row's key goes to Python; the row stays where it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +16,6 @@ from pyspark.sql import functions as F
 BITS = 24
 
 
-def _test(bitmap, inside: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            bit = np.asarray(batch.column(batch.num_columns - 1)) & ((1 << BITS) - 1)
-            hit = ((full[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) == inside
-            rows = batch.filter(pa.array(hit))
-            yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])
-
-    return run
-
-
 def bitmap(hashes: DataFrame) -> bytes:
     """The bitmap of the hashes in the only column of ``hashes``."""
     bit = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << BITS) - 1))
@@ -42,12 +29,19 @@ def bitmap(hashes: DataFrame) -> bytes:
 def split_by(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose ``key`` may be in the only column of ``wanted``, and those where it is not."""
     full = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(wanted.columns[0]))))
-    hashed = df.withColumn("_key_hash", F.xxhash64(key))
-    return hashed.mapInArrow(_test(full, True), df.schema), hashed.mapInArrow(_test(full, False), df.schema)
+
+    @F.pandas_udf("boolean")
+    def held(key_hash: pd.Series) -> pd.Series:
+        bit = key_hash.to_numpy() & ((1 << BITS) - 1)
+        return pd.Series((np.frombuffer(full.value, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+
+    hit = held(F.xxhash64(key))
+    return df.filter(hit), df.filter(~hit)
 
 
-def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose id is in the only column of ``gone``; only rows that may be are shuffled."""
-    gone = gone.toDF(id_col).distinct()
-    maybe, rest = split_by(df, F.col(id_col), gone)
-    return rest.union(maybe.join(gone, id_col, "left_anti").select(df.columns))
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``key`` (never null) is in the only column of ``gone``; only rows that may be are shuffled."""
+    gone = gone.toDF("key").distinct()
+    maybe, rest = split_by(df, key, gone)
+    left = maybe.select(key.alias("key"), F.struct("*").alias("row")).join(gone, "key", "left_anti")
+    return rest.union(left.select("row.*"))

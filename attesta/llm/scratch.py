@@ -1,17 +1,26 @@
-"""Cutting lineage in the shared folder that the cluster names."""
+"""Cutting lineage in the shared folder that the cluster names, and batches of bounded bytes."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch of texts, so that neither the JVM nor Python holds more at once. A session that names a size keeps it.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a local session gets a temporary one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -28,10 +37,34 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stash that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/attesta-" in f}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def discard(*stashes: DataFrame) -> None:
+    """Delete the files of stashes that nothing reads any more."""
+    for df in stashes:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/attesta-" in f}:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def _give_back() -> None:
+    """Hand free memory back to the system: a worker that runs on would keep the most that any task before needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_batches(df: DataFrame, task, schema) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_BYTES`` (and of the session's number of rows) at most; memory goes back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
