@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from attesta.llm.components import components
 from attesta.llm.prefilter import split_by, without
-from attesta.llm.scratch import discard, stash
+from attesta.llm.scratch import discard, in_batches, stash
 from attesta.llm.textkit import Words, set_digest, slices, sorted_sets
 
+#: Lists whose counter says that they may be longer than this, and than four times the mean, are split among tasks.
+LONG_LIST = 1 << 16
+SPLITS = 64
 #: Counters of the sketch that orders shingles: 4 MB whatever the corpus holds.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
@@ -86,14 +89,14 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
 
-def _weights(profile: DataFrame) -> np.ndarray:
-    """A byte for each counter: how far it stands above the mean, in quarters of a power of two."""
+def _weights(profile: DataFrame) -> tuple[np.ndarray, float]:
+    """A byte for each counter: how far it stands above the mean, in quarters of a power of two; and the mean."""
     parts = profile.filter("chunk is not null").select("chunk", "counts").repartition((1 << SKETCH_BITS) // CHUNK, "chunk")
     full = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in parts.mapInArrow(_add_chunks, "chunk int, counts binary").collect():  # 8 MB: the sketch's fixed size
         full[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
     mean = max(1.0, full.mean())
-    return np.clip(4 * np.log2(np.maximum(full, 1) / mean), 0, 63).astype(np.uint8)
+    return np.clip(4 * np.log2(np.maximum(full, 1) / mean), 0, 63).astype(np.uint8), mean
 
 
 def _postings(k: int, weights, num: int, den: int):
@@ -153,7 +156,7 @@ def _verified(pairs: DataFrame, first: DataFrame, read: DataFrame, k: int, num:
     texts = split_by(read, F.col("at"), placed.select(F.col("at_a").alias("at")).union(placed.select("at_b")))[0].groupBy("at").agg(F.first("text").alias("text"))
     one = placed.join(texts.select(F.col("at").alias("at_b"), F.col("text").alias("tb")), "at_b")
     two = one.join(texts.select(F.col("at").alias("at_a"), F.col("text").alias("ta")), "at_a").select("a", "b", "ta", "tb")
-    return two.mapInArrow(_verify(k, num, den), "u long, v long, linked boolean")
+    return in_batches(two, _verify(k, num, den), "u long, v long, linked boolean")
 
 
 def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,19 +171,27 @@ def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
     return full.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (_NUM, _DEN)) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (_NUM, _DEN), long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
     """Per row ``(doc_id, n, digest)``, and ``(node, root)`` of the classes (digests) that have links."""
     spark = docs.sparkSession
     num, den = threshold
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("same", F.xxhash64("text"))
-    profile = stash(text.mapInArrow(_profile(k), "doc_id long, same long, n long, digest long, chunk int, counts binary"), "profile")
-    order = spark.sparkContext.broadcast(_weights(profile))
+    profile = stash(in_batches(text, _profile(k), "doc_id long, same long, n long, digest long, chunk int, counts binary"), "profile")
+    weights, mean = _weights(profile)
+    order = spark.sparkContext.broadcast(weights)
     rows = profile.filter("n is not null").select("doc_id", "same", "n", "digest")
 
-    lists = Window.partitionBy("key")
-    short = text.select("text").mapInArrow(_postings(k, order, num, den), "key long, digest long, n int, pos int")
-    shared = short.withColumns({"lo": F.min("digest").over(lists), "hi": F.max("digest").over(lists), "best": F.min(F.struct("pos", "digest", "n")).over(lists)}).filter("lo <> hi")
-    shared = stash(shared.select("key", "digest", "n", "pos", F.col("best.digest").alias("lead"), F.col("best.n").alias("lead_n")), "lists")
+    # A list is one window; those that the counters know to be long are dealt over SPLITS windows, whose ends are then put together.
+    weight = int(min(63, max(8, np.ceil(4 * np.log2(max(long_list, 1) / mean)))))
+    long_ = f"shiftrightunsigned(key, 57) >= {weight}"
+    part = Window.partitionBy("key", F.expr(f"if({long_}, pmod(digest, {SPLITS}L), 0L)"))
+    short = in_batches(text.select("text"), _postings(k, order, num, den), "key long, digest long, n int, pos int")
+    ends = {"lo": F.min("digest").over(part), "hi": F.max("digest").over(part), "best": F.min(F.struct("pos", "digest", "n")).over(part)}
+    ended = stash(short.withColumns(ends).withColumn("long", F.expr(long_)).filter("long or lo <> hi"), "lists")
+    order.destroy()
+    whole = ended.filter("long").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("best").alias("best")).filter("lo <> hi")
+    shared = ended.filter("not long").select("key", "digest", "n", "pos", "best").union(ended.filter("long").select("key", "digest", "n", "pos").join(whole.select("key", "best"), "key"))
+    shared = shared.select("key", "digest", "n", "pos", F.col("best.digest").alias("lead"), F.col("best.n").alias("lead_n"))
 
     fits = lambda a, b: f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
     star = shared.filter("digest <> lead").filter(fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("digest").alias("b")).agg(F.count("*").alias("hits")).select("a", "b")
@@ -200,14 +211,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The shared lists themselves are in a signature of 256 bits: a bit that only one of the two has is a list less in common.
     bit = lambda i: F.bit_or(F.expr(f"if((key >> 6) & 3 = {i}, shiftleft(1L, int(key & 63)), 0L)")).over(own)
     placed = placed.withColumns({"last": F.max("key").over(own), "alone": F.max("pos").over(own) + 1 - F.count("*").over(own)} | {f"s{i}": bit(i) for i in range(4)})
-    apart = placed.withColumns({"lo": F.min("root").over(lists), "hi": F.max("root").over(lists), "length": F.count("*").over(lists)}).filter("lo <> hi").drop("lo", "hi")
+    placed = stash(placed, "placed")
+    # ``home``: the root of the list's best-placed member. Most of a large group are in it, and they don't meet each other again.
+    lists = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length"), F.min(F.struct("pos", "digest", "root")).alias("lead")).filter("lo <> hi")
+    apart = placed.join(lists.select("key", "length", F.col("lead.root").alias("home")), "key").withColumn("away", F.col("root") != F.col("home"))
     apart = stash(apart, "apart")
+    discard(placed)
     c = "(1 + n div 30)"
     longest_first = Window.partitionBy("digest").orderBy(F.desc("length"), "key")
     query = apart.filter(f"pos < n - cast(ceil({2 * num} * n / {num + den}.0D) as int) + {c}").withColumn("nth", F.row_number().over(longest_first)).filter(f"nth >= {c}")
-    x, y = query.alias("x"), apart.alias("y")
+    # Those at home meet those away only; those away meet all.
+    x, y = query.alias("x"), apart.withColumn("meets", F.explode(F.expr("if(away, array(true, false), array(true))"))).alias("y")
     lost = lambda a, b: f"{a}.alone + " + " + ".join(f"bit_count({a}.s{i} & ~{b}.s{i})" for i in range(4))
-    rest = x.join(y, F.expr(f"""x.key = y.key and x.root <> y.root and (x.n < y.n or x.n = y.n and x.digest < y.digest) and {den} * x.n >= {num} * y.n
+    rest = x.join(y, F.expr(f"""x.key = y.key and x.away = y.meets and x.root <> y.root and (x.n < y.n or x.n = y.n and x.digest < y.digest) and {den} * x.n >= {num} * y.n
         and {num + den} * if(x.last <= y.last, x.n - ({lost("x", "y")}), y.n - ({lost("y", "x")})) >= {num} * (x.n + y.n)
         and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= ceil({num} * (x.n + y.n) / {num + den}.0D)"""))
     rest = rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
@@ -221,8 +237,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rest.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
     more = stash(_verified(rest, first, read, k, num, den), "tested")
     roots = stash(_with_links(roots, more.filter("linked").select("u", "v")), "roots")
-    for old in (star, tested, apart, more, shared):
-        discard(old)
+    discard(star, tested, apart, more, ended)
     return rows, roots
 
 
@@ -246,6 +261,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the members of a group whose doc_id is not its smallest."""
-    found = jaccard_components(docs, id_col, text_col)
-    return without(docs, id_col, found.filter("component_id <> doc_id").select("doc_id"))
+    """``docs`` with one row of each group of near duplicates: that of its smallest doc_id.
+
+    A row that repeats a doc_id with the same text goes; one that repeats it with another text is a
+    document of its own, and of two in one group the text whose hash is smaller stays. Null ids come
+    after all others. Null, empty and blank texts have no duplicates but rows with their own id and
+    text. Columns and their order stay; an empty table gives no rows.
+    """
+    last = F.lit(2**63 - 1)
+    rows, roots = jaccard_links(docs, id_col, text_col)
+    rows = rows.select(F.struct(F.coalesce("doc_id", last).alias("doc_id"), "same").alias("at"), "n", "digest")
+    full = rows.filter("n > 0").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("at", F.coalesce("root", "digest").alias("root"))
+    firsts = full.groupBy("root").agg(F.min("at").alias("first"))
+    gone = full.join(firsts, "root").filter("at <> first").select("at")
+    again = rows.groupBy("at").count().filter("count > 1").select("at")
+    at = F.struct(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("same"))
+    return _once(without(docs, at, stash(gone, "gone")), at, stash(again, "again"))
+
+
+def _once(docs: DataFrame, at, again: DataFrame) -> DataFrame:
+    """Of rows with one key that is in ``again``, one."""
+    if again.isEmpty():
+        return docs
+    maybe, rest = split_by(docs, at, again)
+    return rest.union(maybe.select(at.alias("key"), F.struct("*").alias("row")).groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
