@@ -3,8 +3,9 @@
 Training counts byte n-grams of every labelled training text per language (a fixed number of
 counters a language, summed by Spark). A document is a mixture: each of its words comes from one
 language, and expectation-maximisation estimates the proportions from the words' n-gram
-likelihoods. Languages then leave the mixture one by one, the smallest first, as long as the
-likelihood penalised for each language kept (BIC) does not fall.
+likelihoods, from even ones until no proportion moves by ``SETTLED`` in a round. Languages then
+leave the mixture one by one, the smallest first, as long as the likelihood penalised for each
+language kept (BIC) does not fall; what is left settles again after each.
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.scratch import in_batches
 from attesta.llm.textkit import flat, slices
 
 #: Counters a language; the model's size is this times the number of languages, whatever the corpus.
 BUCKETS = 1 << 16
-ROUNDS = 8
-LEAST_SHARE = 0.02
+SETTLED = 1e-3
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter (not a number such as ½ or Ⅷ)."""
+    return text is not None and (_ASCII_LETTER.search(text) is not None or not text.isascii() and any(map(str.isalpha, text)))
 
 
 class _Grams:
@@ -81,7 +87,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities ``[BUCKETS, languages]``, of ``train(text, lang)``."""
     kind = "lang string, counts binary"
-    rows = train.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, kind).repartition("lang").mapInArrow(_add, kind).collect()  # half a MB a language
+    rows = in_batches(train.filter("lang is not null and text is not null").select("text", "lang"), _count, kind).repartition("lang").mapInArrow(_add, kind).collect()  # half a MB a language
     rows = sorted(rows, key=lambda r: r.lang)
     langs = [r.lang for r in rows]
     if not langs:
@@ -90,19 +96,54 @@ def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(c / c.sum(0)).astype(np.float32)
 
 
-def _mixture(like: np.ndarray, doc: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood of each document over its live languages. ``like``: of words, scaled by their largest."""
+def _likelihood(like: np.ndarray, doc: np.ndarray, first: np.ndarray, pi: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(np.diff(first))
-    pi = live / live.sum(1, keepdims=True)
-    n = np.diff(first)[full][:, None]
-    for _ in range(ROUNDS):
-        w = like * pi[doc]
-        w /= np.maximum(w.sum(1, keepdims=True), 1e-30)
-        pi = pi.copy()
-        pi[full] = np.add.reduceat(w, first[:-1][full], axis=0) / n
-    ll = np.zeros(len(live))
+    ll = np.zeros(len(pi))
     ll[full] = np.add.reduceat(np.log(np.maximum((like * pi[doc]).sum(1), 1e-30)), first[:-1][full])
-    return pi, ll
+    return ll
+
+
+def mixture(like: np.ndarray, first: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood of each document, from the proportions given (zero stays zero).
+
+    ``like``: likelihoods of words under each language, scaled by the word's largest; ``first``:
+    each document's first word. A document whose proportions have settled takes no further part.
+    """
+    pi, n = pi / pi.sum(1, keepdims=True), np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    open_ = np.flatnonzero((n > 0) & ((pi > 0).sum(1) > 1))
+    own, at = like, first[:-1]
+    if len(open_) < len(n):
+        keep = np.isin(doc, open_)
+        own = like[keep]
+        at = np.cumsum(n[open_]) - n[open_]
+    while len(open_):
+        w = own * np.repeat(pi[open_], n[open_], axis=0)
+        w /= np.maximum(w.sum(1, keepdims=True), 1e-30)
+        new = np.add.reduceat(w, at, axis=0) / n[open_][:, None]
+        moves = np.abs(new - pi[open_]).max(1) >= SETTLED
+        pi[open_] = new
+        if not moves.all():
+            own = own[np.repeat(moves, n[open_])]
+            open_ = open_[moves]
+            at = np.cumsum(n[open_]) - n[open_]
+    return pi, _likelihood(like, doc, first, pi)
+
+
+def languages(like: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Proportions of each document's languages; those left out by the penalised likelihood have none."""
+    count, n = like.shape[1], np.maximum(np.diff(first), 1)
+    pi, ll = mixture(like, first, np.ones((len(n), count)))
+    open_ = np.arange(len(n))
+    while len(open_ := open_[(pi[open_] > 0).sum(1) > 1]):
+        less = pi[open_].copy()
+        less[np.arange(len(open_)), np.where(less > 0, less, 2).argmin(1)] = 0
+        words = np.repeat(np.isin(np.arange(len(first) - 1), open_), np.diff(first))
+        pi2, ll2 = mixture(like[words], np.append(0, np.cumsum(np.diff(first)[open_])), less)
+        good = ll2 + 0.5 * np.log(n[open_]) >= ll[open_]
+        open_ = open_[good]
+        pi[open_], ll[open_] = pi2[good], ll2[good]
+    return pi
 
 
 def _predict(model):
@@ -113,27 +154,15 @@ def _predict(model):
         for batch in batches:
             for part in slices(batch, "text", limit):
                 texts = part.column(1).to_pylist()
-                known = np.array([t is not None and _LETTER.search(t) is not None for t in texts])
+                known = np.array([has_letter(t) for t in texts])
                 best, score, several = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
                 if count and known.any():
                     g = _Grams(part.column(1))
                     if len(g.word):
                         words = np.add.reduceat(logp[g.bucket], g.word, axis=0)
                         like = np.exp(np.maximum(words - words.max(1, keepdims=True), -30)).astype(np.float64)
-                        doc = np.repeat(np.arange(len(texts)), np.diff(g.words))
-                        n = np.maximum(np.diff(g.words), 1)
-                        pi, _ = _mixture(like, doc, g.words, np.ones((len(texts), count)))
-                        live = (pi >= np.minimum(LEAST_SHARE, pi.max(1, keepdims=True))).astype(float)
-                        pi, ll = _mixture(like, doc, g.words, live)
-                        open_ = known.copy()
-                        while (open_ := open_ & (live.sum(1) > 1)).any():
-                            less = live.copy()
-                            less[open_, np.where(live > 0, pi, 2).argmin(1)[open_]] = 0
-                            pi2, ll2 = _mixture(like, doc, g.words, less)
-                            open_ &= ll2 + 0.5 * np.log(n) >= ll
-                            live[open_], pi[open_], ll[open_] = less[open_], pi2[open_], ll2[open_]
-                        best, several = pi.argmax(1), live.sum(1).astype(int)
-                        score = pi.max(1)
+                        pi = languages(like, g.words)
+                        best, several, score = pi.argmax(1), (pi > 0).sum(1), pi.max(1)
                 names = [langs[i] if k and count else "und" for i, k in zip(best, known, strict=True)]
                 yield pa.record_batch({"doc_id": part.column(0), "lang_pred": pa.array(names), "score": pa.array(np.where(known, np.clip(score, 0, 1), 0.0)), "n_langs": pa.array(np.where(known, several, 0), pa.int32()), "held_out": part.column(2)})
 
@@ -152,5 +181,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.filter("not held_out")))
-    out = rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, n_langs int, held_out boolean")
+    out = in_batches(rows.select("doc_id", "text", "held_out"), _predict(model), "doc_id long, lang_pred string, score double, n_langs int, held_out boolean")
     return out.select("doc_id", "held_out", "lang_pred", "score", "n_langs")
