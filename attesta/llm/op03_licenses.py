@@ -1,9 +1,9 @@
 """License scan by canonical digests.
 
 A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent
-spellings made one, punctuation and white space reduced to single blanks. Its SHA-256 is then
-joined to the digests of known license texts and notices. The whole document is one such text,
-and so is each of its lines, as notices stand on lines of their own.
+spellings made one, punctuation and white space reduced to single blanks. The SHA-256 of an entire
+text is then joined to the digests of known license texts and notices. Entire texts are the
+documents and, as notices stand on lines of their own, every one of their lines.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,45 @@ KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Copyright lines; a line ends at a line feed alone.
 _COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 _BREAKS = r"[\s!-/:-@\[-`{-~“”‘’–—©]+"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _COPYRIGHT, " ")
-    out = F.trim(F.regexp_replace(out, _BREAKS, " "))
+#: The same without the line feed, so that a text is brought to its form once and its lines are still there.
+_BREAKS_IN_LINE = _BREAKS.replace(r"\s", r" \t\x0B\f\r")
+
+
+def _spelled(text: Column) -> Column:
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _in_lines(text: Column) -> Column:
+    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _COPYRIGHT.replace("(?m)", "(?md)"), " ")
+    return F.regexp_replace(out, _BREAKS_IN_LINE, " ")
+
+
+def canonical(text: Column) -> Column:
+    return _spelled(F.trim(F.regexp_replace(_in_lines(text), "[ \n]+", " ")))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line."""
+    return F.transform(F.split(_in_lines(text), "\n"), lambda x: _spelled(F.trim(x)))
 
 
 def canonical_text(text: str) -> str:
@@ -54,31 +82,32 @@ def canonical_text(text: str) -> str:
     return out
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``(digest, license)``, one row per digest: the size of the list of known texts."""
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
+    """``(digest, license)``, one row per digest; of texts with one form the first listed names it (the least name, in a table)."""
+    if isinstance(known, DataFrame):
+        return known.filter("text is not null").groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
     rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in reversed(known)}
-    return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
+    return F.broadcast(spark.createDataFrame(sorted(rows.items()), "digest string, license string"))  # a list in this process: small
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Sequence[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """Per row ``doc_id, digest, license, notices, n_notices``.
 
-    ``digest`` is the canonical whole text's, ``license`` the known text it is, else null;
-    ``notices`` are the names of known texts that are lines of it, sorted, joined by ``;``.
-    Null text has a null digest and no notices; empty text has the digest of nothing. Rows that
-    repeat are each answered; an empty table gives no rows.
+    ``known`` is a list of ``(license, text)`` or a table with these columns, of any size. ``digest``
+    is the canonical whole text's, ``license`` the known text it is, else null; ``notices`` are the
+    names of known texts that are lines of it, sorted, joined by ``;``. Null text has a null digest
+    and no notices; empty text has the digest of nothing. Rows that repeat are each answered; extra
+    columns are not read; an empty table gives no rows.
     """
-    names = F.broadcast(known_digests(docs.sparkSession, known))  # a dozen rows, a constant of this module
-    longest = max(len(t) for _, t in known) * 2
+    text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pairs = F.array(*[F.struct(F.lit(hashlib.sha256(canonical_text(t).encode()).hexdigest()).alias("digest"), F.lit(n).alias("license")) for n, t in known])
-    # Lines meet the known digests inside the row: the list is a constant, and no row is split up and gathered again.
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= longest) & F.translate(x, _UPPER, _LOWER).rlike("licen|rights|permission|software"))
-    digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
-    found = F.sort_array(F.array_distinct(F.transform(F.filter(pairs, lambda p: F.array_contains(digests, p["digest"])), lambda p: p["license"])))
-    notices = F.when(F.size(digests) > 0, F.array_join(found, ";")).otherwise(F.lit(""))
-    out = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.coalesce(notices, F.lit("")).alias("notices")).join(names, "digest", "left")
-    return out.select("doc_id", "digest", "license", "notices", F.when(F.col("notices") == "", 0).otherwise(F.size(F.split("notices", ";"))).cast("long").alias("n_notices"))
+    # Place 0 is the whole text, the others its lines: one scan, and only digests are joined and grouped.
+    entire = F.concat(F.array(canonical(text)), F.coalesce(canonical_lines(text), F.array().cast("array<string>")))
+    digests = rows.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(F.transform(entire, lambda x: F.sha2(x, 256))).alias("place", "digest"), (F.col("text") == "").alias("blank"))
+    found = digests.join(known_digests(docs.sparkSession, known), "digest", "left").filter("place = 0 or license is not null and not blank")
+    whole = F.col("place") == 0
+    out = found.groupBy("doc_id", "same").agg(F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("license"))).alias("license"), F.sort_array(F.collect_set(F.when(~whole, F.col("license")))).alias("names"), F.count_if(whole).alias("copies"))
+    return out.select("doc_id", "digest", "license", F.array_join("names", ";").alias("notices"), F.size("names").cast("long").alias("n_notices"), F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
 
 
 def oracle(known=KNOWN) -> str:
