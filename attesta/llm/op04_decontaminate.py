@@ -8,8 +8,12 @@ rest go through block-max WAND, which returns all items at or above the threshol
 verified: five-word shingles of the item's question and words of its answer must be in the passage.
 A question of fewer than five words must be in it as a sequence.
 
-The items' size is measured first; they are indexed in blocks of bounded bytes, each sent to the
-executors in turn, so any number of items is handled. Texts are read where they lie: no shuffle.
+Document frequencies, the number of items, their mean and greatest length are those of all items,
+so scores don't depend on how the items are indexed: in blocks of bounded bytes, each sent to the
+executors, so any number of items is handled. Texts are read where they lie: no shuffle.
+
+Of items or passages with equal scores all are found. A document's best passage for an item is the
+one with the highest score, of equal ones the first.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.prefilter import without
-from attesta.llm.scratch import stash
+from attesta.llm.scratch import in_batches, stash
 from attesta.llm.textkit import Words, slices
 
-#: Bytes of test items in one index; more items make more blocks.
-BLOCK_BYTES = 2 << 20
+#: Bytes of test items in one index; more items make more blocks, and each block is one reading of the texts.
+BLOCK_BYTES = 16 << 20
 #: Postings that share one maximum.
 POSTINGS = 16
 K1, B = 1.2, 0.75
@@ -59,45 +64,72 @@ def _holds(passage: np.ndarray, words: np.ndarray) -> bool:
     return n > 0 and bool(np.logical_and.reduce([passage[j : j + n] == x for j, x in enumerate(words)]).any())
 
 
+class Statistics(NamedTuple):
+    """Of all items: their number, mean and greatest length in words, and (for the terms at hand) in how many each term is."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = _words(texts)
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+        length = [len(w) for w in words]
+        return cls(len(words), float(np.mean(length)) if words else 0.0, max(length, default=0), dict(zip(terms.tolist(), df.tolist(), strict=True)))
+
+
+class _Lists:
+    """Parts of one flat array by number."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        self.flat, self.at = flat, at
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+
 class Index:
     """Impact-ordered inverted lists of one block of items, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], least: float):
+    def __init__(self, items: list[tuple[int, str]], least: float, of_all: Statistics | None = None):
         items = sorted(items)
         self.ids = [i for i, _ in items]
+        all_ = of_all or Statistics.of([t for _, t in items])
         words = _words([t for _, t in items])
         n, length = len(items), np.array([len(w) for w in words], float)
-        self.width = int(max(64, 2 * length.max(initial=0)))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if n else length
-        tf = [np.unique(w, return_counts=True) for w in words]
-        df: dict[int, int] = {}
-        for t, _ in tf:
-            for x in t.tolist():
-                df[x] = df.get(x, 0) + 1
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for d, (t, c) in enumerate(tf):
-            impact = np.array([np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) for x in t.tolist()]) * c * (K1 + 1) / (c + norm[d])
-            own = impact.sum()
-            for x, v in zip(t.tolist(), impact.tolist(), strict=True):
-                lists.setdefault(x, []).append((d, v / own))
-        self.terms = np.array(sorted(lists), np.uint64)
-        self.docs = [np.array([d for d, _ in lists[int(t)]]) for t in self.terms]
-        self.impacts = [np.array([v for _, v in lists[int(t)]]) for t in self.terms]
-        self.most = np.array([v.max() for v in self.impacts])
-        self.block_most = [np.maximum.reduceat(v, np.arange(0, len(v), POSTINGS)) for v in self.impacts]
+        self.width = int(max(64, 2 * all_.longest))
+        norm = K1 * (1 - B + B * length / max(all_.mean, 1e-9))
+        terms, docs, impacts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for d, w in enumerate(words):
+            t, c = np.unique(w, return_counts=True)
+            df = np.array([all_.df[x] for x in t.tolist()], float)
+            impact = np.log1p((all_.items - df + 0.5) / (df + 0.5)) * c * (K1 + 1) / (c + norm[d])
+            terms.append(t)
+            docs.append(np.full(len(t), d, np.int32))
+            impacts.append(impact / max(impact.sum(), 1e-12))
+        term = np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        self.terms, self.sizes = np.unique(term, return_counts=True)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        at = np.append(self.offsets, len(term))
+        self.all_docs, self.all_impacts = np.concatenate(docs)[order], np.concatenate(impacts)[order]
+        self.docs, self.impacts = _Lists(self.all_docs, at), _Lists(self.all_impacts, at)
+        self.most = np.maximum.reduceat(self.all_impacts, self.offsets) if len(term) else np.zeros(0)
+        blocks = -(-self.sizes // POSTINGS)
+        block_at = np.append(np.cumsum(blocks) - blocks, blocks.sum())
+        first = np.repeat(self.offsets - POSTINGS * block_at[:-1], blocks) + POSTINGS * np.arange(block_at[-1])
+        self.block_most = _Lists(np.maximum.reduceat(self.all_impacts, first) if len(term) else np.zeros(0), block_at)
         # Long lists that give no item more than half of what it needs, the longest first.
         given, self.essential = np.zeros(n), np.ones(len(self.terms), bool)
-        for t in sorted(range(len(self.terms)), key=lambda t: -len(self.docs[t])):
+        for t in np.argsort(-self.sizes, kind="stable").tolist():
             given[self.docs[t]] += self.impacts[t]
             if given.max() > least / 2:
                 given[self.docs[t]] -= self.impacts[t]
                 break
             self.essential[t] = False
         self.needed = least - given
-        self.sizes = np.array([len(d) for d in self.docs], np.int64)
-        self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.all_docs = np.concatenate(self.docs) if n else np.zeros(0, np.int64)
-        self.all_impacts = np.concatenate(self.impacts) if n else np.zeros(0)
         parts = [split_item(t) for _, t in items]
         self.question, self.answer = _shingles([q for q, _ in parts]), [np.unique(w) for w in _words([a for _, a in parts])]
         self.short = [w if 0 < len(w) < SHINGLE else None for w in _words([q for q, _ in parts])]  # questions too short for a shingle
@@ -207,27 +239,50 @@ def _scan(index, score: float, question: float, answer: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = Words(part.column(1))
+            item = np.repeat(np.arange(part.num_rows), w.count())
+            both = np.unique(np.stack([item.astype(np.uint64), w.hash], 1), axis=0) if len(item) else np.zeros((0, 2), np.uint64)
+            yield pa.record_batch({"block": part.column(0).take(pa.array(both[:, 0].astype(np.int64))), "term": both[:, 1].view(np.int64), "words": pa.nulls(len(both), pa.int64())})
+            yield pa.record_batch({"block": part.column(0), "term": pa.nulls(part.num_rows, pa.int64()), "words": w.count().astype(np.int64)})
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", score: float = SCORE, question: float = QUESTION, answer: float = ANSWER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row and test item that it holds: ``doc_id, item_id, score, question_overlap, answer_overlap, passage_start``.
 
-    The best passage is given, its start in words. Items without words match nothing; items that
-    repeat are each reported. Null or empty texts and an empty table on either side give no rows;
-    rows that repeat a document are each reported; a null doc_id is kept.
+    The best passage is given, its start in words; of equal ones the first. Items without words
+    match nothing; items that repeat are each reported, and count each in the statistics. Null or
+    empty texts and an empty table on either side give no rows; rows that repeat a document are each
+    reported; a null doc_id is kept; a null item_id takes no part. Extra columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-int(size) // BLOCK_BYTES)
+    blocks = max(1, -(-int(size) // block_bytes))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    terms = stash(in_batches(items.select("block", "text"), _item_terms, "block long, term long, words long"), "terms")
+    all_ = terms.filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
+    df = terms.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
     found = []
-    for i in range(max(1, blocks)):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == i).collect()  # about BLOCK_BYTES
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own if r.text.strip()], score))
-        found.append(text.mapInArrow(_scan(index, score, question, answer), kind))
+    for i in range(blocks):
+        own = [(r.item_id, r.text) for r in items.filter(F.col("block") == i).collect() if r.text.strip()]  # about block_bytes
+        here = terms.filter((F.col("block") == i) & F.col("term").isNotNull()).select("term").distinct()
+        of_all = Statistics(all_.n, all_.mean or 0.0, all_.longest or 0, {r.term & (2**64 - 1): r.df for r in df.join(here, "term").collect()})  # no more than the block's words
+        index = spark.sparkContext.broadcast(Index(own, score, of_all))
+        found.append(in_batches(text, _scan(index, score, question, answer), kind))
     return reduce(DataFrame.union, found)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a test item."""
-    return without(docs, "doc_id", stash(contaminated(docs, benchmark).select("doc_id"), "held"))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a test item.
+
+    A row is judged by its text alone: equal texts stay or go together, whatever their ids. Null and empty texts stay; an empty benchmark removes
+    nothing; columns and their order stay.
+    """
+    same = F.xxhash64(F.col(text_col).cast("string"))
+    held = contaminated(docs.select(same.alias("same"), F.col(text_col).alias("text")), benchmark, "same", "text").select("doc_id")
+    return without(docs, same, stash(held, "held"))
