@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are dealt over shards by a hash of their id, as many shards as keep each within a fixed
-number of pieces; each shard packs its own bins. Within a shard, open bins are ordered by what is
+Pieces of documents are dealt over shards by a hash of id and piece, as many shards as keep each
+within a fixed number of pieces; each shard packs its own bins, and its least filled ones are all
+that this costs. Within a shard, open bins are ordered by what is
 left in them and carry two bitmaps: sources and duplicate clusters already inside. A piece goes to
 the tightest bin that it fits and that has neither its source nor its cluster; the search moves on
 to the next larger residual until such a bin is found, else a bin is opened.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.scratch import stash
+from attesta.llm.scratch import in_batches, stash
 from attesta.llm.textkit import Words, set_digest, slices
 
 CAPACITY = 2048
@@ -97,7 +98,10 @@ def _codes(values: pd.Series, only_repeated: bool) -> np.ndarray:
 def _pack_shard(capacity: int):
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["n_tokens", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], ignore_index=True)
-        bins = pack(pieces.n_tokens.to_numpy(), _codes(pieces.source, False), _codes(pieces.cluster, True), capacity)
+        size = pieces.n_tokens.to_numpy()
+        full = int(np.count_nonzero(size == capacity))  # they come first, and nothing else fits beside them
+        rest = pieces.iloc[full:]
+        bins = np.concatenate([np.arange(full), full + pack(size[full:], _codes(rest.source, False), _codes(rest.cluster, True), capacity)])
         out = pieces[["doc_id", "piece", "n_tokens"]].copy()
         out["bin_id"] = pieces["shard"].astype(np.int64) * (1 << 32) + bins
         out["bin_offset"] = out.groupby("bin_id").n_tokens.cumsum() - out.n_tokens
@@ -106,24 +110,27 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece of a document: ``doc_id, piece, n_tokens, bin_id, bin_offset``.
 
     Tokens are words. A text of more than ``capacity`` words is cut into full pieces and a rest; a
     full piece is a bin of its own, since nothing else fits. No bin holds two pieces of one source
-    or of one duplicate cluster (equal word sequences). A null source conflicts with nothing. Null
-    or empty texts take no room and are in one row each with null bin; rows that repeat a doc_id
-    are packed each. An empty table gives no rows.
+    or of one duplicate cluster. ``clusters(doc_id, component_id)`` names the clusters of near
+    duplicates, one row an id (as ``jaccard_components`` gives them); documents that it doesn't
+    name, and all without it, are in one cluster if their word sequences are equal. A null source
+    conflicts with nothing. Null or empty texts take no room and are in one row each with null bin;
+    rows that repeat a doc_id are packed each. Pieces of equal size go by id, bins of equal room by
+    age. Extra columns are not read; an empty table gives no rows.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    rows = stash(text.mapInArrow(_sizes, "doc_id long, source string, n_tokens long, cluster long"), "sizes")
+    rows = stash(in_batches(text, _sizes, "doc_id long, source string, n_tokens long, cluster long"), "sizes")
     n = rows.agg(F.sum(F.ceil(F.col("n_tokens") / capacity))).first()[0] or 0
+    if clusters is not None:
+        named = clusters.filter("component_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("component_id").alias("named")).dropDuplicates(["doc_id"])
+        rows = rows.join(named, "doc_id", "left").select("doc_id", "source", "n_tokens", F.coalesce("named", "cluster").alias("cluster"))
     shards = max(1, -(-int(n) // SHARD_PIECES))
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long")
-    cut = rows.filter("n_tokens > 0").withColumns({"shard": shard, "piece": F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})"))})
-    cut = cut.withColumn("n_tokens", F.expr(f"least({capacity}, n_tokens - piece * {capacity})"))
-    full = cut.filter(f"n_tokens = {capacity}").select("doc_id", "piece", "n_tokens", (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    part = cut.filter(f"n_tokens < {capacity}").select("doc_id", "piece", "n_tokens", "source", "cluster", "shard")
-    packed = part.groupBy("shard").applyInPandas(_pack_shard(capacity), "doc_id long, piece long, n_tokens long, bin_id long, bin_offset long")
+    cut = rows.filter("n_tokens > 0").withColumn("piece", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})")))
+    cut = cut.withColumns({"n_tokens": F.expr(f"least({capacity}, n_tokens - piece * {capacity})"), "shard": F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).cast("long")})
+    packed = cut.groupBy("shard").applyInPandas(_pack_shard(capacity), "doc_id long, piece long, n_tokens long, bin_id long, bin_offset long")
     none = rows.filter("n_tokens = 0").select("doc_id", F.lit(0).cast("long"), "n_tokens", F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return packed.union(full).union(none)
+    return packed.union(none)
