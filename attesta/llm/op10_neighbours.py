@@ -26,9 +26,8 @@ from attesta.llm.scratch import discard, stash
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
-MOST_LISTS = 4096
-#: Below this many vectors one list holds all, and the search is exact.
-ONE_LIST = 2000
+#: Vectors that a centroid is fitted on, at least: so there are SAMPLE / LIST_SAMPLE lists at most, which then grow and are cut into chunks.
+LIST_SAMPLE = 8
 #: A vector goes to further lists whose centroid is at most this much farther than its nearest one's.
 BOUNDARY, REPLICAS = 1.05, 4
 #: A query reads lists whose centroid is at most this much farther than its nearest one's.
@@ -113,7 +112,7 @@ def _assign(model):
     return run
 
 
-def _route(model, k: int):
+def _route(model, k: int, reach: float, most_read: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, sizes, longest = model.value
         for batch in batches:
@@ -124,9 +123,9 @@ def _route(model, k: int):
             q = np.concatenate([q, np.zeros((len(q), 1))], 1)
             rows, lists = [], []
             for i in range(len(q)):
-                near, d = graph.search(q[i], min(MOST_READ, len(sizes)))
+                near, d = graph.search(q[i], min(most_read, len(sizes)))
                 enough = int(np.searchsorted(np.cumsum(sizes[near]), 10 * k)) + 1  # and lists that hold enough to choose from
-                n = max(enough, int(np.count_nonzero(d <= REACH**2 * d[0] + 1e-12)))
+                n = max(enough, int(np.count_nonzero(d <= reach**2 * d[0] + 1e-12)))
                 lists.append(near[:n])
                 rows.append(np.full(len(lists[-1]), i))
             out = batch.take(pa.array(np.concatenate(rows)))
@@ -156,13 +155,14 @@ def _best(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = REACH, most_read: int = MOST_READ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of ``vectors`` nearest to each row of ``queries`` by inner product, never its own id.
 
-    Both tables have the same columns. Vectors that are null, zero, hold a null or a non-finite
+    ``reach`` and ``most_read`` bound the lists that a query reads; with both unbounded all are read and
+    the answer is exact. Both tables have the same columns. Vectors that are null, zero, hold a null or a non-finite
     component, or have another dimension than most take no part; neither do rows without an id.
-    Ties go to the smaller id; fewer candidates give fewer rows; rows that repeat an id with the
-    same vector count once. Empty tables give no rows.
+    Ties go to the smaller id; fewer candidates give fewer rows; of rows that repeat an id the one
+    whose vector sorts first counts. Extra columns are not read; empty tables give no rows.
     """
     spark = vectors.sparkSession
     usable = f"{id_col} is not null and {vec_col} is not null and forall({vec_col}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vec_col}, x -> x <> 0)"
@@ -172,11 +172,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     same = F.xxhash64("v")
     of = Window.partitionBy("same", "v").orderBy("vec_id")
-    base = clean(vectors).filter(F.size("v") == shape.dim).dropDuplicates(["vec_id", "v"]).withColumn("same", same).withColumn("rn", F.row_number().over(of)).filter(F.col("rn") <= k + 1).select("vec_id", "v")
+    base = clean(vectors).filter(F.size("v") == shape.dim).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("same", same).withColumn("rn", F.row_number().over(of)).filter(F.col("rn") <= k + 1).select("vec_id", "v")
     base = stash(base, "vectors")
     n = base.count()
     longest = float(np.sqrt(shape.long))
-    lists = 1 if n <= ONE_LIST else int(min(MOST_LISTS, np.sqrt(n)))
+    lists = int(max(1, min(SAMPLE // LIST_SAMPLE, np.sqrt(n))))
     if lists > 1:
         part = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, 1.2 * SAMPLE / n) * 1_000_000)).select("v").limit(SAMPLE).collect()  # bounded: it only places centroids
         c = balanced_centroids(_longer(np.array([r.v for r in part], np.float64), longest), lists)
@@ -184,13 +184,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
         c = np.zeros((1, shape.dim + 1))
     placed = stash(base.mapInArrow(_assign(spark.sparkContext.broadcast((c, longest))), "list int, vec_id long, v array<double>"), "lists")
     sizes = np.zeros(lists, np.int64)
-    for r in placed.groupBy("list").count().collect():  # MOST_LISTS rows at most
+    for r in placed.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
-    asked = clean(queries).filter(F.size("v") == shape.dim).dropDuplicates(["vec_id"])
-    routed = stash(asked.mapInArrow(_route(spark.sparkContext.broadcast((Graph(c), sizes, longest)), k), "list int, query_id long, q array<double>"), "routed")
+    asked = clean(queries).filter(F.size("v") == shape.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    routed = stash(asked.mapInArrow(_route(spark.sparkContext.broadcast((Graph(c), sizes, longest)), k, reach, most_read), "list int, query_id long, q array<double>"), "routed")
     blocks = {r["list"]: -(-r["count"] // BLOCK) for r in routed.groupBy("list").count().collect()}
     counts = spark.createDataFrame([(i, int(max(1, -(-int(sizes[i]) // CHUNK))), int(blocks.get(i, 0))) for i in range(lists)], "list int, chunks int, blocks int")
-    counts = F.broadcast(counts)  # MOST_LISTS rows at most
+    counts = F.broadcast(counts)  # a row a list
     left = routed.join(counts, "list").select("list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("int(pmod(xxhash64(query_id), blocks))").alias("block"), "query_id", "q")
     right = placed.join(counts, "list").filter("blocks > 0").select("list", F.expr("int(pmod(xxhash64(vec_id), chunks))").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "vec_id", "v")
     keys = ["list", "chunk", "block"]
@@ -200,6 +200,5 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     once = found.withColumn("before", F.lag("vec_id").over(order)).filter("before is null or before <> vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     out = stash(ranked, "nearest")
-    for old in (base, placed, routed):
-        discard(old)
+    discard(base, placed, routed)
     return out
