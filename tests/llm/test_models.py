@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from attesta.llm.op02_language import identify
+from attesta.llm.op02_language import has_letter, identify, languages
 from attesta.llm.op04_decontaminate import Index, contaminated, keep_clean, split_item
-from attesta.llm.op08_quality import fit, keep_good, quality, slot
+from attesta.llm.op08_quality import fit, keep_good, quality
 from tests.llm.corpus import words
 
 EN = "the of and to in is that for with this from are was not have they which their would there".split()
@@ -33,23 +33,93 @@ def test_languages_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_letters():
+    assert [has_letter(t) for t in (None, "", "12 ½ ² ① Ⅷ _", "½a", "é", "中", "ª")] == [False] * 3 + [True] * 4
+
+
+def test_mixtures_equal_those_of_a_plain_em():
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 5, 40, 200, 3]
+    first = np.cumsum([0, *sizes])
+    like = rng.random((first[-1], 4)) ** 4
+    like[first[3] : first[4], 2] = 1
+    like /= like.max(1, keepdims=True)
+
+    def em(w, pi):
+        pi = pi / pi.sum()
+        while len(w) and (pi > 0).sum() > 1:
+            r = w * pi
+            new = (r / r.sum(1, keepdims=True)).mean(0)
+            done = np.abs(new - pi).max() < 1e-3
+            pi = new
+            if done:
+                break
+        return pi, np.log((w * pi).sum(1)).sum()
+
+    got = languages(like, first)
+    for i, n in enumerate(sizes):
+        w = like[first[i] : first[i + 1]]
+        pi, ll = em(w, np.ones(4))
+        while (pi > 0).sum() > 1:
+            less = pi.copy()
+            less[np.where(less > 0, less, 2).argmin()] = 0
+            pi2, ll2 = em(w, less)
+            if ll2 + 0.5 * np.log(max(n, 1)) < ll:
+                break
+            pi, ll = pi2, ll2
+        assert got[i] == pytest.approx(pi, abs=1e-6)
+
+
 def test_nothing_to_learn_is_undetermined(spark):
     rows = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert identify(rows).first().lang_pred == "und"
     assert identify(rows.limit(0)).count() == 0
 
 
-def test_probabilities_of_a_context_sum_to_one(spark):
-    share, weight = fit(spark.createDataFrame([("abcabdabcaab" * 5,), ("bca cab",), (None,), ("",)], "text string"))
-    context = np.array([[ord(c) for c in "xab"]])
-    p = np.full(256, 1 / 256)
-    last = np.arange(256)
-    for order in range(1, 5):
-        code = last.copy()
-        for j in range(order - 1):
-            code = code | (int(context[0, 2 - j]) << (8 * (j + 1)))
-        p = share[order - 1][slot(code)] + weight[order - 1][slot(code >> 8)] * p
-    assert p.sum() == pytest.approx(1, abs=0.02) and p[ord("c")] > p[ord("z")]
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney by dictionaries: a function of a four-gram of bytes."""
+    counts = {4: {}}
+    for t in texts:
+        b = b"\0\0\0" + t.encode()
+        for i in range(3, len(b)):
+            g = b[i - 3 : i + 1]
+            counts[4][g] = counts[4].get(g, 0) + 1
+    for order in (3, 2, 1):
+        counts[order] = {}
+        for g in counts[order + 1]:
+            counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
+    off = {}
+    for order, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        raw = [1 - 2 * y * n[1] / n[0] if n[0] else y, 2 - 3 * y * n[2] / n[1] if n[1] else 2 * y, 3 - 4 * y * n[3] / n[2] if n[2] else 3 * y]
+        off[order] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+
+    def p(gram):
+        out = 1 / 256
+        for order in (1, 2, 3, 4):
+            g, c = gram[4 - order :], counts[order]
+            own = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
+            if own:
+                less = lambda v, order=order: off[order][min(v, 3) - 1]
+                total = sum(own.values())
+                out = (own[g] - less(own[g]) if g in own else 0) / total + sum(map(less, own.values())) / total * out
+        return out
+
+    return p
+
+
+def test_probabilities_equal_those_by_dictionaries(spark):
+    texts = ["abcabdabcaab" * 5, "bca cab", None, "", "größer über " * 4, "the cat sat on the mat. " * 3 + "the end"]
+    model = fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    p = kneser_ney([t for t in texts if t])
+    rng = random.Random(3)
+    grams = [g.encode() if isinstance(g, str) else g for g in ("abca", "bca ", " cat", "zzzz", "\0\0\0a", "e ca")] + [bytes(rng.choice(b"abcdet \xc3\xbc") for _ in range(4)) for _ in range(200)]
+    code = np.array([int.from_bytes(g, "big") for g in grams])
+    assert model.probability(code) == pytest.approx([p(g) for g in grams], rel=1e-5)
+    for context in (b"xab", b"the", b"\0\0\0", b"\xff\xff\xff"):
+        all_ = np.array([int.from_bytes(context + bytes([i]), "big") for i in range(256)])
+        assert model.probability(all_).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_junk_goes_and_clean_text_stays(spark):
@@ -72,6 +142,7 @@ def test_wand_finds_what_a_full_scan_finds():
     for i in range(0, 150, 3):
         items[i] = (i, items[i][1] + " the of and the")
     ix = Index(items, 0.3)
+    assert Index([], 0.3).search(np.zeros(0, int), 0.3) == []
     for _ in range(60):
         pick = rng.sample(range(len(ix.terms)), 60) + rng.sample(np.concatenate([np.searchsorted(ix.terms, np.unique(ix.terms))]).tolist(), 20)
         target = rng.randrange(150)
@@ -83,7 +154,9 @@ def test_wand_finds_what_a_full_scan_finds():
         got = dict(ix.search(terms, 0.3))
         want = {int(d): score[d] for d in np.flatnonzero(score >= 0.3 - 1e-9)}
         assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in got)
-        assert not want or ix.likely(np.zeros(len(terms), np.int64), terms[:]).size or not ix.essential[terms].any()
+        seen = terms[ix.essential[terms]]
+        if want and len(seen):
+            assert ix.likely(np.zeros(len(seen), np.int64), seen).tolist() == [0]
 
 
 def test_planted_items_are_found_and_clean_documents_stay(spark):
@@ -104,6 +177,16 @@ def test_planted_items_are_found_and_clean_documents_stay(spark):
     assert contaminated(d, b.limit(0)).count() == 0 and contaminated(d.limit(0), b).count() == 0
 
 
+def test_blocks_of_items_do_not_change_the_result(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, rng.randrange(6, 40))) + " of the. " + " ".join(words(rng, 5)) + ".") for i in range(60)]
+    docs = [(i, " ".join(words(rng, 30)) + " " + items[i % 60][1] + " " + " ".join(words(rng, 3000 if i == 5 else 30))) for i in range(90)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({tuple(r) for r in contaminated(d, b, block_bytes=n).collect()} for n in (1 << 20, 3000))
+    assert {r[:2] for r in one} >= {(i, i % 60) for i in range(90)}
+    assert {(*r[:2], round(r[2], 9), *r[3:]) for r in one} == {(*r[:2], round(r[2], 9), *r[3:]) for r in many}
+
+
 def test_answer_is_the_last_sentence():
     assert split_item("What is it? Forty two.") == ("What is it? ", "Forty two.")
     assert split_item("Only one sentence.") == ("Only one sentence.", "")

@@ -33,6 +33,16 @@ def test_license_texts_in_other_dress(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_every_line_and_every_list_counts(spark):
+    rows = [(1, "Released under the MIT License." + " " * 3000), (2, "Use it freely."), (3, "before\r\nUse it freely\r\nafter"), (4, KNOWN[12][1].replace("\n", "\r\n")), (5, "Copyright 2020 Me\n" + KNOWN[14][1]), (6, "all\nrights reserved")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in scan(docs).collect()}
+    assert by[1].notices == "MIT" and by[1].license == "MIT" and by[4].license == "BSD-2-Clause" and by[5].license == "Zlib" and by[6].license == "reserved"
+    for known in ((("ZZ", "Use it freely."),), spark.createDataFrame([("ZZ", "use it, FREELY"), ("no", None)], "license string, text string")):
+        by = {r.doc_id: (r.license, r.notices) for r in scan(docs, known=known).collect()}
+        assert by[2] == ("ZZ", "ZZ") and by[3] == (None, "ZZ") and by[1] == (None, "")
+
+
 def test_both_canonical_forms_agree(spark):
     df = spark.createDataFrame([(t,) for _, t in KNOWN], "t string")
     assert [r[0] for r in df.select(canonical(F.col("t"))).collect()] == [canonical_text(t) for _, t in KNOWN]
@@ -105,6 +115,16 @@ def test_bins_hold_every_token_and_no_conflict(spark):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_given_clusters_part_near_copies(spark):
+    df = spark.createDataFrame([(i, f"a b c d {i}", None) for i in range(40)] + [(7, "a b c d 7", None)], "doc_id long, text string, source string")
+    bins = [r.bin_id for r in pack_documents(df, capacity=20, clusters=df.selectExpr("doc_id", "doc_id div 2 * 2 as component_id")).collect()]
+    assert len(bins) == 41
+    got: dict[int, list] = {}
+    for r in pack_documents(df, capacity=20, clusters=df.selectExpr("doc_id", "doc_id div 2 * 2 as component_id")).collect():
+        got.setdefault(r.bin_id, []).append(r.doc_id // 2)
+    assert all(len(set(m)) == len(m) for m in got.values()) and len(got) >= 11
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(6)
     n = 400
@@ -124,7 +144,7 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         bins[got[i]][2].add(clusters[i])
 
 
-def test_neighbours_of_few_vectors_are_exact(spark):
+def test_neighbours_in_all_lists_are_exact(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 8)).astype(np.float32)
     v[50:120] = v[50]
@@ -132,7 +152,8 @@ def test_neighbours_of_few_vectors_are_exact(spark):
     rows += [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [1.0, None] + [0.0] * 6, 0), (1003, [float("nan")] * 8, 0), (1004, [float("inf")] + [0.0] * 7, 0), (1005, [1.0], 0), (None, [1.0] * 8, 0), rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     out: dict[int, list] = {}
-    for r in neighbours(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+    near = {(r.query_id, r.vec_id) for r in neighbours(df, df.filter("vec_id % 20 = 0")).collect()}
+    for r in neighbours(df, df.filter("vec_id % 20 = 0"), reach=float("inf"), most_read=10**9).orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     x = v.astype(np.float64)
     assert sorted(out) == list(range(0, 300, 20))
@@ -142,6 +163,9 @@ def test_neighbours_of_few_vectors_are_exact(spark):
         want = np.lexsort((np.arange(300), -s))[:20]
         assert [g[1] for g in got] == want.tolist() and [g[0] for g in got] == list(range(1, 21))
         assert np.allclose([g[2] for g in got], s[want], rtol=1e-12)
+    assert len(near) == 300 and len(near & {(q, g[1]) for q, got in out.items() for g in got}) >= 0.9 * 300
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 5.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in neighbours(twice, twice).orderBy("query_id").collect()] == [(1, 2, 5.0), (2, 1, 5.0)]
     few = df.filter("vec_id < 5")
     assert neighbours(few, few).count() == 20 and neighbours(df.limit(0), df.limit(0)).count() == 0
 

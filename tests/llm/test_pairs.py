@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from attesta.llm.components import components
-from attesta.llm.op01_jaccard import jaccard_components, keep_one
+from attesta.llm.op01_jaccard import jaccard_components, jaccard_links, keep_one
 from attesta.llm.op06_substrings import _passages, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
 from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens, words
@@ -177,3 +177,59 @@ def test_repeats_are_found_among_documents_that_share_a_part(spark):
     texts_ = dict(rows)
     for r in got:
         assert texts_[r.doc_id].encode()[r.start_byte : r.end_byte].decode() == " ".join(tokens(texts_[r.doc_id])[r.start_word : r.end_word])
+
+
+def test_long_lists_that_are_split_give_the_same_components(spark):
+    docs = documents(spark)
+    want = {tuple(r) for r in jaccard_components(docs).select("doc_id", "component_id").collect()}
+    rows, roots = jaccard_links(docs, long_list=1)
+    ids = rows.filter("n > 0").join(roots.withColumnRenamed("node", "digest"), "digest", "left").selectExpr("doc_id", "coalesce(root, digest) as root")
+    least = ids.groupBy("root").agg({"doc_id": "min"}).toDF("root", "component_id")
+    got = {tuple(r) for r in ids.join(least, "root").select("doc_id", "component_id").collect()}
+    assert got == {(d, c) for d, c in want if any(tokens(texts()[d]))}
+
+
+def test_one_row_stays_of_rows_that_repeat(spark):
+    w = words(random.Random(1), 30)
+    a, b, c = " ".join(w), " ".join([*w, "more"]), " ".join(words(random.Random(2), 30))
+    rows = [(1, a), (1, a), (1, c), (None, b), (None, a), (None, "alone in its group of words"), (None, "alone in its group of words"), (2, ""), (3, None), (2, "")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (1, c), (0, "alone in its group of words"), (2, ""), (3, "")])
+
+
+def test_near_copies_of_passages_are_found(spark):
+    rng = random.Random(8)
+    rows, at = [], {}
+    for i in range(150):
+        passage = words(rng, 80)
+        edited = list(passage)
+        for j in rng.sample(range(10, 70), 2):
+            edited[j] = f"edit{i}x{j}"
+        rows += [(2 * i, " ".join(words(rng, 60) + passage + words(rng, 60))), (2 * i + 1, " ".join(words(rng, 30) + edited + words(rng, 90)))]
+        at[2 * i + 1] = (30, 110)
+    found = [r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    hit = {r.doc_id for r in found if r.start_word <= at[r.doc_id][0] + 15 and r.end_word >= at[r.doc_id][1] - 15}
+    print("near copies found", len(hit), "of 150")
+    assert len(hit) >= 0.9 * 150 and all(r.doc_id in at for r in found)
+
+
+def test_a_very_long_copy_is_one_passage(spark):
+    rng = random.Random(10)
+    long = words(rng, 100_000)
+    rows = [(1, " ".join(words(rng, 100) + long)), (2, " ".join(long + words(rng, 100))), (3, None), (3, " ".join(long[:60]))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = np.zeros(100_100, bool)
+    for r in got:
+        if r.doc_id == 2:
+            covered[r.start_word : r.end_word] = True
+    assert covered[:100_000].all() and not covered[100_005:].any() and any(r.doc_id == 3 and r.end_word - r.start_word == 60 for r in got)
+
+
+def test_only_the_text_that_counts_is_cut(spark):
+    rng = random.Random(12)
+    passage, own, other = words(rng, 60), words(rng, 20), words(rng, 20)
+    rows = [(1, " ".join(passage), 9, "k"), (2, " ".join(own + passage), 9, "k"), (2, " ".join(other), 9, "k"), (None, " ".join(passage), 9, "k"), (4, " ".join(passage), 9, "k"), (5, None, 9, "k")]
+    out = cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string"))
+    got = sorted((r.doc_id or 0, r.text or "", r.spans) for r in out.collect())
+    kept = {" ".join(own), " ".join(own + passage)}
+    assert [g[0] for g in got] == [0, 1, 2, 2, 5] and any(g[1] in kept for g in got) and (2, " ".join(other), "k") in got
