@@ -13,6 +13,14 @@ from attesta.operators.timeline import latest, previous_distinct
 HORIZON_DAYS = 7
 #: Date fields of an activity and what they mean: fixed values.
 DATE_FIELDS = (("allowsubmissionsfromdate", "opens"), ("duedate", "due"), ("cutoffdate", "closes"), ("gradingduedate", "grading"))
+#: Fields in which an activity's instructions stand: fixed values.
+INSTRUCTION_FIELDS = ("intro", "description", "content")
+#: Kinds that are forums, native states that aren't a submission, connection states without access: fixed values.
+FORUM_KINDS = ("forum", "discussion")
+NOT_SUBMITTED = ("new", "draft", "reopened")
+ACCESS_LOST = ("expired", "revoked", "denied")
+#: Reports that are themselves reasons to look: fixed values.
+NEWS = ("deadline_change", "requirements_change", "feedback_received")
 
 
 def deadlines_of(entities: DataFrame, keys: Sequence[str], fields=DATE_FIELDS) -> DataFrame:
@@ -40,90 +48,153 @@ def forum_evidence(posts: DataFrame, subject: str, group: Sequence[str] = ("owne
     """
     own = F.col("author_id") == subject
     topics = posts.groupBy(*group).agg(F.count_if(own & (F.col("parent_id") == "0")).alias("own_topics"), F.count_distinct(F.when(~own, F.col("author_id"))).alias("colleagues_seen"))
-    replies = reply_parents(posts.filter(own | F.lit(True)), [*group, "discussion_id"], "post_id", "parent_id", "author_id").filter(own & (F.col("parent_id") != "0") & (F.col("parent_author") != subject))
+    replies = reply_parents(posts, [*group, "discussion_id"], "post_id", "parent_id", "author_id").filter(own & (F.col("parent_id") != "0") & (F.col("parent_author") != subject))
     answered = replies.groupBy(*group).agg(F.count("*").alias("own_replies"), F.count_distinct("parent_author").alias("colleagues_answered"))
     return topics.join(answered, list(group), "left").fillna(0, ["own_replies", "colleagues_answered"])
 
 
-def assess(requirements: DataFrame) -> DataFrame:
-    """``verdict`` and ``reasons`` of each requirement from its evidence columns.
+def assess(requirements: DataFrame, reports: DataFrame, evidence: DataFrame, keys: Sequence[str] = ("owner_id", "entity_id")) -> DataFrame:
+    """``verdict`` and ``reasons`` of each requirement ``(keys, requirement_key, fulfilment, at_least)``.
 
-    ``fulfilment`` is submission, forum_topic, forum_reply, completion or manual. Evidence columns:
-    ``observed_submitted, reported_submitted, own_topics, colleagues_answered, own_replies,
-    completed, reported_done`` (null: nothing known), ``at_least``, ``coverage``. Evidence that
-    contradicts itself gives ``uncertain``: neither side overwrites the other.
+    ``reports(keys, event_type, requirement_key, distinct_colleagues)`` are the user's own. One that
+    names no requirement counts only where the entity has a single one of that fulfilment: it isn't
+    guessed which is meant. ``evidence``, a row an entity: ``submit_receipts, topic_receipts,
+    publications, colleagues_answered, forum_known, native_status, native_completion,
+    legacy_report, partial``. A report and a native state that contradict each other stay apart:
+    the verdict is ``uncertain``. Proof from partial coverage stays proof, and is marked.
     """
+    keys = list(keys)
+    told = reports.groupBy(*keys, F.col("event_type").alias("_type"), "requirement_key").agg(F.count("*").alias("n"), F.max(F.coalesce("distinct_colleagues", F.lit(1))).alias("most"))
+    named = told.filter("requirement_key is not null").select(*keys, "_type", "requirement_key", F.col("n").alias("_kn"), F.col("most").alias("_km"))
+    loose = told.filter("requirement_key is null").select(*keys, "_type", F.col("n").alias("_ln"), F.col("most").alias("_lm"))
+    kind = F.col("fulfilment")
+    rows = requirements.withColumns({"fulfilment": F.coalesce("fulfilment", F.lit("manual"))}).withColumn("family_size", F.count("*").over(Window.partitionBy(*keys, "fulfilment")))
+    rows = rows.withColumn("_type", F.when(kind == "manual", "completion").otherwise(kind)).join(named, [*keys, "_type", "requirement_key"], "left").join(loose, [*keys, "_type"], "left").join(evidence, keys, "left")
+    several = F.col("family_size") > 1
+    free = ~several & (kind != "manual")
+    n = F.coalesce("_kn", F.lit(0)) + F.when(free, F.coalesce("_ln", F.lit(0))).otherwise(0)
+    most = F.greatest(F.coalesce("_km", F.lit(0)), F.when(free, F.coalesce("_lm", F.lit(0))).otherwise(0))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    yes = lambda c: F.coalesce(c, F.lit(False))
     need = F.coalesce("at_least", F.lit(1))
-    kind, whole = F.col("fulfilment"), F.col("coverage") == "complete"
-    enough = lambda have: F.when(have >= need, "satisfied").when(whole, "pending").otherwise("uncertain")
-    seen, told = F.col("observed_submitted"), F.col("reported_submitted")
-    submission = F.when(seen.isNotNull() & told.isNotNull() & (seen != told), "uncertain").when(seen, "satisfied").when(told, "reported").when(seen.isNotNull(), "pending").otherwise("uncertain")
-    completion = F.when(F.col("completed").isNull(), "uncertain").when(F.col("completed"), "satisfied").otherwise("pending")
-    manual = F.when(F.col("reported_done"), "reported").otherwise("pending")
-    verdict = F.when(kind == "submission", submission).when(kind == "forum_topic", enough(F.coalesce("own_topics", F.lit(0)))).when(kind == "forum_reply", enough(F.coalesce("colleagues_answered", F.lit(0)))).when(kind == "completion", completion).when(kind == "manual", manual).otherwise("uncertain")
-    reasons = F.array_compact(F.array(
-        F.when((kind == "submission") & seen.isNotNull() & told.isNotNull() & (seen != told), F.lit("contradiction")),
-        F.when(kind.isin("forum_topic", "forum_reply") & ~whole, F.lit("incomplete_coverage")),
-        F.when((kind == "completion") & F.col("completed").isNull(), F.lit("completion_unknown")),
-        F.when((verdict == "reported"), F.lit("only_reported")),
-    ))
-    return requirements.withColumns({"verdict": verdict, "reasons": reasons})
-
-
-def assess_entity(assessed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Uncertain if any requirement is, concluded if all are satisfied, else open."""
-    return assessed.groupBy(*keys).agg(F.when(F.bool_or(F.col("verdict") == "uncertain"), "uncertain").when(F.bool_and(F.col("verdict").isin("satisfied", "reported")), "concluded").otherwise("open").alias("state"), F.count("*").alias("requirements"))
-
-
-def attention_items(states: DataFrame, now: Column, days: int = HORIZON_DAYS) -> DataFrame:
-    """One row per reason to look at an entity.
-
-    ``states`` holds an entity's newest and previous content, what was presented and read, coverage
-    and nearest date: ``content_hash, previous_hash, presented_hash, read_hash, coverage,
-    previous_coverage, due_at, previous_due_at, instructions_hash, previous_instructions_hash, state``.
+    reported = (n > 0) | (yes("legacy_report") & ~several)
+    acted, refused = count("submit_receipts") > 0, yes(F.col("native_status").isin(*NOT_SUBMITTED))
+    of = lambda state, reason=None: F.struct(F.lit(state).alias("verdict"), (F.lit(reason) if reason else F.lit(None).cast("string")).alias("reason"))
+    unclear = of("uncertain", "multiple_obligations_require_specific_evidence")
+    nobody = of("uncertain", "connection_subject_unknown")
+    ladders = {
+        "submission": F.when(reported & refused, of("uncertain", "user_report_contradicts_native_status"))
+        .when(acted & refused, of("uncertain", "receipt_contradicts_native_status"))
+        .when(several & ~reported, unclear)
+        .when(reported | acted | yes(F.col("native_status") == "submitted"), of("satisfied"))
+        .when(refused, of("pending", "native_status_reports_not_submitted"))
+        .otherwise(of("pending")),
+        "forum_topic": F.when(several & (n == 0), unclear)
+        .when((count("publications") + count("topic_receipts") > 0) | (n > 0), of("satisfied"))
+        .when(~yes("forum_known"), nobody)
+        .otherwise(of("pending", "no_preserved_owner_publication")),
+        "forum_reply": F.when(several & (most < need), unclear)
+        .when((count("colleagues_answered") >= need) | (most >= need), of("satisfied"))
+        .when(~yes("forum_known"), nobody)
+        .otherwise(of("pending", "distinct_colleagues_below_required")),
+        "completion": F.when(several & (n == 0), unclear).when(yes("native_completion") | (n > 0), of("satisfied")).otherwise(of("pending")),
+    }
+    out = F.when(n > 0, of("satisfied")).otherwise(of("pending", "manual_confirmation_pending"))
+    for name, ladder in ladders.items():
+        out = F.when(kind == name, ladder).otherwise(out)
+    marked = F.when(yes("partial") & kind.isin("submission", "forum_topic", "forum_reply"), F.lit("positive_proof_from_partial_coverage"))
+    rows = rows.withColumn("_v", out).withColumns({"verdict": F.col("_v.verdict"), "reasons": F.array_compact(F.array(F.col("_v.reason"), marked))})
+    return rows.select(*requirements.columns, "family_size", "verdict", "reasons")
+
+
+def assess_entity(assessed: DataFrame, entities: DataFrame, keys: Sequence[str] = ("owner_id", "entity_id")) -> DataFrame:
+    """Per entity ``state, requirements`` and ``state_reasons``.
+
+    Uncertain if any requirement is, concluded if all are satisfied, else pending. Without
+    requirements ``entities(keys, kind, submission_evidence, completion_evidence)`` decides: a forum
+    is uncertain, an assignment is concluded by evidence of a submission, others by completion.
     """
-    changed = F.col("content_hash").isNotNull()
+    keys = list(keys)
+    found = assessed.groupBy(*keys).agg(
+        F.count("*").alias("requirements"),
+        F.when(F.bool_or(F.col("verdict") == "uncertain"), "uncertain").when(F.bool_and(F.col("verdict") == "satisfied"), "concluded").otherwise("pending").alias("_state"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("verdict") == "uncertain", F.col("reasons")))))).alias("_reasons"),
+        F.bool_or(F.exists("reasons", lambda r: r.endswith("_contradicts_native_status"))).alias("contradiction"),
+    )
+    forum, work = F.col("kind").isin(*FORUM_KINDS), F.col("kind") == "assignment"
+    handed, done = F.coalesce("submission_evidence", F.lit(False)), F.coalesce("completion_evidence", F.lit(False))
+    alone = F.when(forum, "uncertain").when(F.when(work, handed).otherwise(done), "concluded").otherwise("pending")
+    why = F.when(forum, F.array(F.lit("requirement_not_interpreted"))).when(work & ~handed, F.array(F.lit("submission_evidence_missing"))).otherwise(F.array().cast("array<string>"))
+    out = entities.join(found, keys, "left")
+    return out.select(*keys, "kind", "submission_evidence", F.coalesce("requirements", F.lit(0)).cast("long").alias("requirements"), F.coalesce("_state", alone).alias("state"), F.coalesce("_reasons", why).alias("state_reasons"), F.coalesce("contradiction", F.lit(False)).alias("contradiction"))
+
+
+def _differs(now: str, before: str, fields: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | ~F.get_json_object(now, f"$.{f}").eqNullSafe(F.get_json_object(before, f"$.{f}"))
+    return hit
+
+
+def attention_items(audit: bool = True) -> Column:
+    """The reasons to look at an entity, sorted, as an array; without ``audit`` only those that call for something.
+
+    The row has ``kind, content_hash, content, previous_hash, previous_content, presented_hash,
+    read_hash, coverage, connection_state, near_at, state, requirements, submission_evidence,
+    contradiction, status_qualified, feedback_available, drift, news (array), changed_materials``.
+    """
+    there = lambda c: F.col(c).isNotNull()
+    fresh = there("previous_hash") & ~F.col("presented_hash").eqNullSafe(F.col("content_hash"))
+    forum = F.col("kind").isin(*FORUM_KINDS)
     rules = [
-        ("not_presented", changed & F.col("presented_hash").isNull()),
-        ("changed_since_presented", changed & (F.col("presented_hash") != F.col("content_hash"))),
-        ("changed_since_read", changed & (F.col("read_hash") != F.col("content_hash"))),
-        ("content_changed", F.col("previous_hash").isNotNull()),
-        ("access_lost", F.col("coverage").isin("denied", "expired") & (F.coalesce("previous_coverage", F.lit("complete")) == "complete")),
-        ("incomplete_coverage", F.col("coverage").isin("partial", "timeout", "parsing_error", "unavailable")),
-        ("never_observed", ~changed),
-        ("deadline_near", (F.col("due_at") >= now) & (F.col("due_at") <= now + F.expr(f"interval {days} days")) & (F.col("state") != "concluded")),
-        ("deadline_passed", (F.col("due_at") < now) & (F.col("state") != "concluded")),
-        ("deadline_changed", F.col("previous_due_at").isNotNull() & ~F.col("due_at").eqNullSafe(F.col("previous_due_at"))),
-        ("instructions_changed", F.col("previous_instructions_hash").isNotNull() & ~F.col("instructions_hash").eqNullSafe(F.col("previous_instructions_hash"))),
-        ("uncertain_state", F.col("state") == "uncertain"),
+        ("deadline_changed", fresh & _differs("content", "previous_content", [f for f, _ in DATE_FIELDS])),
+        ("instructions_changed", fresh & _differs("content", "previous_content", INSTRUCTION_FIELDS)),
+        *[(n, F.array_contains("news", n)) for n in NEWS],
+        ("feedback_available", F.col("status_qualified") & F.col("feedback_available")),
+        ("not_presented", F.col("presented_hash").isNull() & F.lit(audit)),
+        ("changed_since_presented", F.col("presented_hash") != F.col("content_hash")),
+        ("changed_since_read", F.col("read_hash") != F.col("content_hash")),
+        ("access_lost", F.col("connection_state").isin(*ACCESS_LOST)),
+        ("incomplete_coverage", F.col("coverage") != "complete"),
+        ("deadline_near", there("near_at") & (F.lit(audit) | (F.col("state") != "concluded"))),
+        ("requirement_not_interpreted", forum & (F.col("requirements") == 0)),
+        ("submission_evidence_missing", (F.col("kind") == "assignment") & ~F.coalesce("submission_evidence", F.lit(False))),
+        ("academic_uncertain", F.col("state") == "uncertain"),
+        ("own_submission_status_unqualified", ~F.col("status_qualified")),
+        ("report_observation_contradiction", F.col("contradiction")),
+        ("unrecorded_reobservation", F.col("drift")),
+        ("material_dependency_changed", F.coalesce("changed_materials", F.lit(0)) > 0),
     ]
-    items = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
-    return states.withColumn("item", F.explode(items))
+    return F.sort_array(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules])))
 
 
-def overview(entities: DataFrame, occurrences: DataFrame, requirements: DataFrame, marks: DataFrame, now: Column) -> DataFrame:
-    """Entities with state, newest and previous content, and their attention items as an array.
+def overview(entities: DataFrame, occurrences: DataFrame, requirements: DataFrame, reports: DataFrame, evidence: DataFrame, marks: DataFrame, now: Column, audit: bool = True, days: int = HORIZON_DAYS) -> DataFrame:
+    """Entities with their state, newest and previous content, and their attention items as an array.
 
-    One plan over all entities: a rank and an aggregate for the timeline, grouped verdicts, two
-    joins by entity. Pages are cut from it afterwards.
+    ``entities(owner_id, id, kind, title, connection_state)``; ``occurrences`` with ``coverage`` and
+    ``content`` (JSON); ``evidence`` as for ``assess``, with ``status_qualified, feedback_available,
+    drift, changed_materials``; ``marks(owner_id, entity_id, presented_hash, read_hash)``. One plan
+    over all entities: a rank and an aggregate for the timeline, grouped verdicts, joins by entity.
+    Pages are cut from it afterwards.
     """
     keys = ["owner_id", "entity_id"]
     change = previous_distinct(occurrences, keys, "observed_at", "content_hash", "content_hash").select(*keys, "content_hash", "observed_at", F.col("previous_content_hash").alias("previous_hash"))
     seen = latest(occurrences, keys, "observed_at", "content_hash").select(*keys, "coverage")
-    verdicts = assess_entity(assess(requirements), keys)
-    out = entities.select("owner_id", F.col("id").alias("entity_id"), "kind", "title", epoch_instant(F.get_json_object("state", "$.duedate").cast("long")).alias("due_at"))
-    for other in (change, seen, verdicts, marks):
-        out = out.join(other, keys, "left")
-    out = out.withColumn("state", F.coalesce("state", F.lit("open")))
-    for missing in ("previous_coverage", "instructions_hash", "previous_instructions_hash"):
-        out = out.withColumn(missing, F.lit(None).cast("string"))
-    out = out.withColumn("previous_due_at", F.lit(None).cast("timestamp"))
-    items = attention_items(out, now).groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return out.join(items, keys, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-
-
-def family_counts(obligations: DataFrame, keys: Sequence[str], family: str) -> DataFrame:
-    return obligations.withColumn("family_size", F.count("*").over(Window.partitionBy(*keys, family)))
+    texts = occurrences.groupBy(*keys, "content_hash").agg(F.min("content").alias("content"))
+    before = texts.select(*keys, F.col("content_hash").alias("previous_hash"), F.col("content").alias("previous_content"))
+    told = reports.groupBy(*keys).agg(F.bool_or(F.col("event_type") == "submission").alias("_handed"), F.bool_or(F.col("event_type") == "completion").alias("_done"), F.collect_set(F.when(F.col("event_type").isin(*NEWS), F.col("event_type"))).alias("news"))
+    known = entities.withColumnRenamed("id", "entity_id").join(told, keys, "left").join(evidence, keys, "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    handed = yes("_handed") | yes("legacy_report") | (F.coalesce("submit_receipts", F.lit(0)) > 0) | yes(F.col("native_status") == "submitted")
+    judged = known.select(*keys, "kind", handed.alias("submission_evidence"), (yes("native_completion") | yes("_done")).alias("completion_evidence"))
+    states = assess_entity(assess(requirements, reports, evidence, keys), judged, keys).drop("kind")
+    out = known.select(*keys, "kind", "title", "connection_state", "status_qualified", "feedback_available", "drift", "changed_materials", "news").join(states, keys, "left").join(change, keys, "left")
+    out = out.join(texts, [*keys, "content_hash"], "left").join(before, [*keys, "previous_hash"], "left").join(seen, keys, "left").join(marks, keys, "left")
+    dates = F.array_compact(F.array(*[epoch_instant(F.get_json_object("content", f"$.{f}").try_cast("long")) for f, _ in DATE_FIELDS]))
+    near = F.filter(dates, lambda d: (d >= now) & (d <= now + F.expr(f"interval {days} days")))
+    out = out.withColumns({"due_at": epoch_instant(F.get_json_object("content", "$.duedate").try_cast("long")), "near_at": F.array_min(near)})
+    out = out.withColumn("items", attention_items(audit))
+    return out.select(*keys, "kind", "title", "state", "state_reasons", "requirements", "content_hash", "previous_hash", "observed_at", "coverage", "due_at", "near_at", "items")
 
 
 def dependency_drift(drafts: DataFrame, newest: DataFrame) -> DataFrame:

@@ -4,30 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.folds import ordered_fold
 from attesta.operators.timeline import ranked
 
 
-def _fold(requests: pd.DataFrame) -> pd.DataFrame:
-    """Versions of one context's requests, in order of arrival."""
-    version, seen, out = 0, {}, []
-    for key, print_, expected in zip(requests.idempotency_key, requests.fingerprint, requests.expected_version, strict=True):
-        if key in seen:
-            at, first = seen[key]
-            out.append((at, "replayed") if first == print_ else (None, "idempotency_conflict"))
-        elif pd.notna(expected) and int(expected) != version:
-            out.append((None, "version_conflict"))
-        else:
-            version += 1
+def _step(state, row):
+    version, seen = state or (0, {})
+    key, print_, expected = row["idempotency_key"], row["fingerprint"], row["expected_version"]
+    if key in seen:
+        at, first = seen[key]
+        made = (at, "replayed") if first == print_ else (0, "idempotency_conflict")
+    elif expected is not None and expected == expected and int(expected) != version:
+        made = (0, "version_conflict")
+    else:
+        version += 1
+        if row["again"]:
             seen[key] = (version, print_)
-            out.append((version, "recorded"))
-    done = requests[["context_id", "arrival", "idempotency_key"]].copy()
-    done["version"] = pd.array([v for v, _ in out], dtype="Int64")
-    done["outcome"] = [o for _, o in out]
-    return done
+        made = (version, "recorded")
+    return (version, seen), (row["context_id"], row["arrival"], key, *made)
 
 
 def record_deltas(requests: DataFrame) -> DataFrame:
@@ -35,13 +32,13 @@ def record_deltas(requests: DataFrame) -> DataFrame:
 
     Within a context, in order of arrival: a known key with the same fingerprint is replayed at its
     version, with another one refused; an expected version that isn't the current one is refused;
-    else the next version is recorded. The order matters, so a context is folded as one group; its
-    size is what one thread of work writes.
+    else the next version is recorded. The fold reads a context as a stream and remembers those keys
+    alone that come more than once.
     """
-    import pyspark.sql.types as T
-
-    schema = T.StructType([requests.schema["context_id"], requests.schema["arrival"], requests.schema["idempotency_key"], T.StructField("version", T.LongType()), T.StructField("outcome", T.StringType())])
-    return requests.groupBy("context_id").applyInPandas(lambda pdf: _fold(pdf.sort_values("arrival", kind="stable")), schema)
+    kind = {c: requests.schema[c].dataType.simpleString() for c in ("context_id", "arrival", "idempotency_key")}
+    again = F.count("*").over(Window.partitionBy("context_id", "idempotency_key")) > 1
+    rows = requests.select(*kind, "fingerprint", "expected_version").withColumn("again", again)
+    return ordered_fold(rows, ["context_id"], ["arrival"], _step, ", ".join(f"{c} {t}" for c, t in kind.items()) + ", version long, outcome string").withColumn("version", F.nullif("version", F.lit(0)))
 
 
 def without_superseded(events: DataFrame, id_: str, supersedes: str) -> DataFrame:

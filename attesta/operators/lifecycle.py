@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.folds import ordered_fold
+
 ATTEMPTS = 5
 #: Coverage of a finished job -> its state: fixed values.
 FINISHED = {"complete": "complete", "partial": "partial", "expired": "expired"}
@@ -27,51 +29,55 @@ def finish(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumns({"state": F.when(F.col("_c").isNotNull(), finished_state(F.col("_c"))).otherwise(F.col("state")), "cursor": F.when(F.col("_c") == "complete", F.col("_new")).otherwise(F.col("cursor"))}).drop("_c", "_new")
 
 
-def _job(events: pd.DataFrame) -> pd.DataFrame:
-    state, attempts, until = "absent", 0, None
-    for kind, at, value in zip(events.event, events["at"], events.value, strict=True):
-        if kind == "enqueue" and state in ("absent", "complete", "partial", "failed", "expired"):
-            state, attempts, until = "pending", 0, None
-        elif kind == "claim" and attempts < ATTEMPTS and (state == "pending" or state == "running" and until is not None and at >= until):
-            state, attempts, until = "running", attempts + 1, at + pd.Timedelta(minutes=2)
-        elif kind == "finish" and state == "running" and until is not None and at < until:
-            state, until = FINISHED.get(value, "failed"), None
-    return pd.DataFrame({"job_id": [events.job_id.iloc[0]], "state": [state], "attempts": [attempts]})
+def _newest(folded: DataFrame, key: str, *columns: str) -> DataFrame:
+    return folded.groupBy(key).agg(F.max_by(F.struct(*columns), "nth").alias("_s")).select(key, "_s.*")
+
+
+def _job(state, row):
+    now, attempts, until, nth = state or ("absent", 0, None, 0)
+    kind, at = row["event"], row["at"]
+    if kind == "enqueue" and now in ("absent", "complete", "partial", "failed", "expired"):
+        now, attempts, until = "pending", 0, None
+    elif kind == "claim" and attempts < ATTEMPTS and (now == "pending" or now == "running" and until is not None and at >= until):
+        now, attempts, until = "running", attempts + 1, at + pd.Timedelta(minutes=2)
+    elif kind == "finish" and now == "running" and until is not None and at < until:
+        now, until = FINISHED.get(row["value"], "failed"), None
+    return (now, attempts, until, nth + 1), (row["job_id"], nth, now, attempts)
 
 
 def job_states(events: DataFrame) -> DataFrame:
     """``(job_id, state, attempts)`` after ``events(job_id, at, event, value)``: enqueue, claim with a two-minute lease, finish.
 
     A finish after its lease has run out changes nothing; a running job can be claimed again then.
+    Events of one time go by the event's name.
     """
-    import pyspark.sql.types as T
-
-    schema = T.StructType([events.schema["job_id"], T.StructField("state", T.StringType()), T.StructField("attempts", T.LongType())])
-    return events.groupBy("job_id").applyInPandas(lambda pdf: _job(pdf.sort_values("at", kind="stable")), schema)
-
-
-def _action(events: pd.DataFrame) -> pd.DataFrame:
-    state, expires = "absent", None
-    for kind, at, expiry in zip(events.event, events["at"], events.expires_at, strict=True):
-        late = expires is not None and pd.notna(expires) and at >= expires
-        if kind == "prepare" and state == "absent":
-            state, expires = "prepared", expiry
-        elif kind == "approve" and state == "prepared" and not late:
-            state = "approved"
-        elif kind == "deny" and state in ("prepared", "approved"):
-            state = "denied"
-        elif kind == "consume" and state == "approved" and not late:
-            state = "uncertain"  # until a result is known; an approval is used once
-        elif kind == "result" and state == "uncertain":
-            state = "succeeded"
-    return pd.DataFrame({"action_id": [events.action_id.iloc[0]], "state": [state]})
+    kind = events.schema["job_id"].dataType.simpleString()
+    folded = ordered_fold(events.select("job_id", "at", "event", "value"), ["job_id"], ["at", "event"], _job, f"job_id {kind}, nth long, state string, attempts long")
+    return _newest(folded, "job_id", "state", "attempts")
+
+
+def _action(state, row):
+    now, expires, nth = state or ("absent", None, 0)
+    kind = row["event"]
+    late = expires is not None and row["at"] >= expires
+    if kind == "prepare" and now == "absent":
+        now, expires = "prepared", row["expires_at"] if pd.notna(row["expires_at"]) else None
+    elif kind == "approve" and now == "prepared" and not late:
+        now = "approved"
+    elif kind == "deny" and now in ("prepared", "approved"):
+        now = "denied"
+    elif kind == "consume" and now == "approved" and not late:
+        now = "uncertain"  # until a result is known; an approval is used once
+    elif kind == "result" and now == "uncertain":
+        now = "succeeded"
+    return (now, expires, nth + 1), (row["action_id"], nth, now)
 
 
 def action_states(events: DataFrame) -> DataFrame:
-    """``(action_id, state)`` after ``events(action_id, at, event, expires_at)``."""
-    import pyspark.sql.types as T
-
-    return events.groupBy("action_id").applyInPandas(lambda pdf: _action(pdf.sort_values("at", kind="stable")), T.StructType([events.schema["action_id"], T.StructField("state", T.StringType())]))
+    """``(action_id, state)`` after ``events(action_id, at, event, expires_at)``; events of one time go by name."""
+    kind = events.schema["action_id"].dataType.simpleString()
+    folded = ordered_fold(events.select("action_id", "at", "event", "expires_at"), ["action_id"], ["at", "event"], _action, f"action_id {kind}, nth long, state string")
+    return _newest(folded, "action_id", "state")
 
 
 def queue_head(jobs: DataFrame, now: Column, size: int = 1) -> DataFrame:
@@ -80,16 +86,27 @@ def queue_head(jobs: DataFrame, now: Column, size: int = 1) -> DataFrame:
     return jobs.filter(free & (F.col("attempts") < ATTEMPTS)).orderBy("updated_at", "id").limit(size)
 
 
-def tumbling_budget(charges: DataFrame, keys: Sequence[str], at: str, tie: str, cost: str, seconds: int, limit: float) -> DataFrame:
-    """Charges with their window, what was used before in it and in all, and whether they fit.
+def tumbling_budget(charges: DataFrame, keys: Sequence[str], at: str, tie: str, costs: Mapping[str, str], total: Mapping[str, float], window: Mapping[str, float], seconds: float) -> DataFrame:
+    """Charges with ``fits``, ``window_started`` and, of each dimension, ``reserved_*`` and ``window_*`` after them.
 
-    Windows of fixed length from the epoch; a charge that does not fit is still counted: no refunds.
+    ``costs`` names a column for each dimension. A charge has to fit its policy's total and the
+    window's rest in every dimension; one that doesn't is refused and charges nothing. A window
+    begins with the first charge that comes ``seconds`` or more after the last one began.
     """
-    win = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (seconds * 1_000_000))
-    order = Window.partitionBy(*keys, "window_no").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    life = Window.partitionBy(*keys).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = charges.withColumn("window_no", win).withColumns({"used_before": F.coalesce(F.sum(cost).over(order), F.lit(0)), "used_ever": F.coalesce(F.sum(cost).over(life), F.lit(0))})
-    return out.withColumn("fits", F.col("used_before") + F.col(cost) <= limit)
+    names = list(costs)
+    out = ", ".join([f"{charges.schema[c].name} {charges.schema[c].dataType.simpleString()}" for c in [*keys, at, tie]] + ["fits boolean", "window_started timestamp"] + [f"{w}_{n} double" for w in ("reserved", "window") for n in names])
+
+    def step(state, row):
+        begun, used, here = state or (row[at], dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0))
+        if (row[at] - begun).total_seconds() >= seconds:
+            begun, here = row[at], dict.fromkeys(names, 0.0)
+        fits = all(used[n] <= total[n] - row[costs[n]] and here[n] <= window[n] - row[costs[n]] for n in names)
+        if fits:
+            used = {n: used[n] + row[costs[n]] for n in names}
+            here = {n: here[n] + row[costs[n]] for n in names}
+        return (begun, used, here), (*[row[k] for k in keys], row[at], row[tie], fits, begun, *used.values(), *here.values())
+
+    return ordered_fold(charges.select(*dict.fromkeys([*keys, at, tie, *costs.values()])), keys, [at, tie], step, out)
 
 
 def backoff_seconds(failures: Column, base: int, most: int = 86400) -> Column:
@@ -102,6 +119,9 @@ def ladder_seconds(failures: Column, steps: Sequence[int] = (1800, 7200, 21600))
 
 
 def next_in_turn(policies: DataFrame, order: str, cursor: int) -> DataFrame:
-    """Policies from the cursor on, round the end."""
-    n = Window.partitionBy(F.lit(0))
-    return policies.withColumn("_i", F.row_number().over(n.orderBy(order)) - 1).withColumn("_n", F.count("*").over(n)).withColumn("turn", F.pmod(F.col("_i") - cursor, F.col("_n"))).drop("_i", "_n")
+    """Policies from the cursor on, round the end. Numbered by range partitions and what lies before each, not in one task."""
+    part = policies.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(F.lit(0)))}).drop("_size")
+    return part.join(starts, "_part").withColumn("turn", F.pmod(F.col("_i") + F.col("_before") - cursor, F.col("_n"))).drop("_i", "_n", "_part", "_before")

@@ -56,7 +56,8 @@ def text_chunk(text: Column, offset: int, size: int) -> Column:
 def text_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
     """All chunks of every text, in rows: ``chunk_no`` from 0; they join to the text again."""
     n = F.greatest(F.lit(1), F.ceil(F.char_length(text) / size)).cast("int")
-    return df.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("chunk", F.substring(F.col(text), F.col("chunk_no") * size + 1, F.lit(size)))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("chunk_no", "chunk"))
 
 
 def blocks_page(df: DataFrame, blocks: str, offset: int, size: int, most: int = 32000) -> DataFrame:

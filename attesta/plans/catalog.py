@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 
 from attesta.functions import jsonfn
 from attesta.operators import attention, graph, paging, preferences, search, storage, timeline
-from attesta.schema import COVERAGE_WORST
 
-#: A context made by tests or probes: fixed values of its scope.
-SYNTHETIC = {"environment": "test", "purpose": "probe"}
+#: Scopes of contexts made by tests: fixed values.
+SYNTHETIC_ENVIRONMENTS = ("synthetic", "synthetic-host-lab", "test")
+SYNTHETIC_PURPOSE = "acceptance-test"
+SYNTHETIC_RUN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}-skill-[0-9]+[.][0-9]+[.][0-9]+$"
 
 
 def synthetic(scope: str = "scope") -> Column:
-    """Whether a context's scope says that it was made by a test or probe."""
-    hit = F.col(scope)["run_id"].rlike(r"^[0-9a-f-]{8,}$")
-    for k, v in SYNTHETIC.items():
-        hit = hit | (F.col(scope)[k] == v)
-    return F.coalesce(hit, F.lit(False))
+    """Whether a context's scope says that it was made by a test: by environment, by purpose, or a dated mobile validation run."""
+    of = lambda k: F.col(scope)[k]
+    mobile = (of("purpose") == "validation") & (of("surface") == "mobile") & of("run").rlike(SYNTHETIC_RUN)
+    return F.coalesce(of("environment").isin(*SYNTHETIC_ENVIRONMENTS), F.lit(False)) | F.coalesce(of("purpose") == SYNTHETIC_PURPOSE, F.lit(False)) | F.coalesce(mobile, F.lit(False))
 
 
 def contexts(contexts_: DataFrame, deltas: DataFrame, offset: int = 0, delta_offset: int = 0, include_synthetic: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -96,16 +96,16 @@ def preferences_at(rows: DataFrame, scope: dict[str, str], at: Column) -> DataFr
 
 
 def coverage_of(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Worst coverage of a job's parts; a cut is never complete."""
+    """Worst coverage of a job's parts; a cut is never complete, and a coverage that isn't known is worst of all."""
     from attesta.operators.merge import worst_coverage
 
     cut = F.when(F.col("truncated") & (F.col("coverage") == "complete"), "partial").otherwise(F.col("coverage"))
-    return results.withColumn("coverage", cut).filter(F.col("coverage").isin(*COVERAGE_WORST)).groupBy(*keys).agg(worst_coverage().alias("coverage"))
+    return results.withColumn("coverage", cut).groupBy(*keys).agg(worst_coverage().alias("coverage"))
 
 
-def attention_page(entities: DataFrame, occurrences: DataFrame, requirements: DataFrame, marks: DataFrame, now: Column, offset: int = 0) -> DataFrame:
-    full = attention.overview(entities, occurrences, requirements, marks, now)
-    return paging.offset_page(full, [F.asc_nulls_last("due_at"), F.asc("entity_id")], offset)
+def attention_page(*inputs, offset: int = 0, **named) -> DataFrame:
+    """A page of ``attention.overview``, by the nearest deadline."""
+    return paging.offset_page(attention.overview(*inputs, **named), [F.asc_nulls_last("due_at"), F.asc("entity_id")], offset)
 
 
 def followups(grants: DataFrame, connections: DataFrame, now: Column) -> DataFrame:

@@ -114,18 +114,18 @@ def occurrences_per_node(t):
     return timeline.occurrences_per(t.events, ["user_id", "event_type"]).select("event_id", "versions")
 
 
-@query("""with o as (select event_id, user_id, event_type, value from events where event_id % 3 = 0), n as (select event_id, user_id, event_type, -value as value from events where event_id % 2 = 0)
+@query("""with o as (select event_id, user_id, event_type, value from events), n as (select event_id, user_id, event_type, -value as value from events where event_id % 2 = 0)
 select * from n union all select * from o where event_id not in (select event_id from n)""")
 def upsert_replace(t):
     e = t.events.select("event_id", "user_id", "event_type", "value")
-    return timeline.upsert(e.filter("event_id % 3 = 0"), e.filter("event_id % 2 = 0").withColumn("value", -F.col("value")), ["event_id"])
+    return timeline.upsert(e, e.filter("event_id % 2 = 0").withColumn("value", -F.col("value")), ["event_id"])
 
 
-@query("""with o as (select event_id from events where event_id % 3 = 0), n as (select event_id from events where event_id % 2 = 0)
+@query("""with o as (select event_id from events where event_id % 3 = 0), n as (select event_id from events)
 select event_id, event_id % 3 <> 0 as is_new from (select event_id from o union select event_id from n)""")
 def insert_ignore(t):
     e = t.events.select("event_id")
-    out = timeline.insert_ignore(e.filter("event_id % 3 = 0").withColumn("is_new", F.lit(False)), e.filter("event_id % 2 = 0").withColumn("is_new", F.lit(True)), ["event_id"])
+    out = timeline.insert_ignore(e.filter("event_id % 3 = 0").withColumn("is_new", F.lit(False)), e.withColumn("is_new", F.lit(True)), ["event_id"])
     return out
 
 
@@ -231,12 +231,24 @@ def page_links(t):
     return t.pages.select(F.explode(text.links(body)).alias("link")).groupBy("link").agg(F.count("*").alias("n"))
 
 
-_KEYED = "'" + text.KEYED_SECRET.replace("'", "''") + "'"
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
 
 
-@query(f"select doc_id, len(regexp_extract_all(text, {_KEYED}))::int as hits, regexp_replace(text, {_KEYED}, '\\1[REDACTED]', 'g') as redacted from documents where regexp_matches(text, {_KEYED})")
+def _redaction_sql() -> str:
+    steps, at = [], "d0"
+    steps.append("d0 as (select doc_id, text as t, 0 as hits from documents union all select page_id + 1000000, 'x sk-' || repeat('a', 10 + (page_id % 10)::int) || ' ghp_' || repeat('B', 15 + (page_id % 10)::int) || ' client_secret=\"' || repeat('c', 12 + (page_id % 8)::int) || '\" senha: ' || repeat('d', 20) || ' end', 0 from pages)")
+    for i, p in enumerate(text.SECRETS, 1):
+        steps.append(f"d{i} as (select doc_id, regexp_replace(t, {_quoted(p)}, '[REDACTED]', 'g') as t, hits + len(regexp_extract_all(t, {_quoted(p)})) as hits from {at})")
+        at = f"d{i}"
+    return f"with {', '.join(steps)} select doc_id, (hits + len(regexp_extract_all(t, {_quoted(text.KEYED_SECRET)})))::int as hits, regexp_replace(t, {_quoted(text.KEYED_SECRET)}, '\\1[REDACTED]', 'g') as redacted from {at} where hits + len(regexp_extract_all(t, {_quoted(text.KEYED_SECRET)})) > 0"
+
+
+@query(_redaction_sql())
 def doc_redaction_hits(t):
-    return t.documents.select("doc_id", text.secret_count(F.col("text")).cast("int").alias("hits"), text.redacted(F.col("text")).alias("redacted")).filter("hits > 0")
+    n = lambda least, most: (F.lit(least) + F.col("page_id") % most).cast("int")
+    made = F.concat(F.lit("x sk-"), F.repeat(F.lit("a"), n(10, 10)), F.lit(" ghp_"), F.repeat(F.lit("B"), n(15, 10)), F.lit(' client_secret="'), F.repeat(F.lit("c"), n(12, 8)), F.lit('" senha: '), F.repeat(F.lit("d"), F.lit(20)), F.lit(" end"))
+    rows = t.documents.select("doc_id", "text").union(t.pages.select(F.col("page_id") + 1000000, made))
+    return rows.select("doc_id", text.secret_count(F.col("text")).cast("int").alias("hits"), text.redacted(F.col("text")).alias("redacted")).filter("hits > 0")
 
 
 @query("select doc_id, case when text = '' then 0 else len(string_split(text, chr(10))) - case when text like '%' || chr(10) then 1 else 0 end end::int as lines, case when contains(text, chr(10)) then 'lf' else 'none' end as eol from documents")
@@ -301,9 +313,9 @@ def semi_customers_with_orders(t):
     return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def anti_customers_without_orders(t):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return t.customer.join(t.orders.filter("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49) or exists (select 1 from supplier where s_suppkey = p_partkey and s_acctbal < 0)")
@@ -340,11 +352,11 @@ def reply_parent_authors(t):
 # JSON and scopes
 
 
-@query("select event_id, user_id from events where json_extract_string(props, '$.k')::int in (select unnest(range(50)))")
+@query("select event_id, json_extract_string(props, '$.k')::int <= 50 as within from events")
 def scope_containment(t):
-    few = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).filter(F.col("k").between(0, 49))
-    outer = F.to_json(F.struct(F.col("k").alias("k"), F.lit("x").alias("other")))
-    return few.filter(jsonfn.contained(F.col("props"), outer)).select("event_id", "user_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    outer = F.to_json(F.struct(F.least(k, F.lit(50)).alias("k"), F.lit("x").alias("other")))
+    return t.events.select("event_id", jsonfn.contained(F.col("props"), outer).alias("within"))
 
 
 @query("select event_id, json_extract_string(props, '$.k')::int as k, list_contains(json_keys(props), 'k') as has_k from events")
@@ -352,9 +364,10 @@ def json_paths(t):
     return t.events.select("event_id", jsonfn.any_path(F.col("props"), "$.missing", "$.k").cast("int").alias("k"), jsonfn.has_key(F.col("props"), "k").alias("has_k"))
 
 
-@query("select event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' as canonical from events")
+@query("""select event_id, '{"a":[1,{"x":null,"y":"é"}],"b":{"c":' || user_id || ',"d":"' || event_type || '"},"k":' || json_extract_string(props, '$.k') || '}' as canonical from events""")
 def json_canonical(t):
-    return t.events.select("event_id", jsonfn.canonical(F.col("props")).alias("canonical"))
+    made = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "b": {"d": "'), F.col("event_type"), F.lit('", "c": '), F.col("user_id").cast("string"), F.lit('}, "a" : [1, {"y": "é", "x": null}] }'))
+    return t.events.select("event_id", jsonfn.canonical(made).alias("canonical"))
 
 
 # Coverage and merges
@@ -375,15 +388,15 @@ def strength_merge(t):
     return merge.keep_strongest(d, ["source", "lang"], score, "doc_id").select("source", "doc_id", "n_chars")
 
 
-@query("select l_orderkey, n as missing from (select l_orderkey, list(distinct l_linenumber) as have, max(l_linenumber) as top from lineitem where l_quantity > 10 group by 1), unnest(range(1, top + 1)) as r(n) where not list_contains(have, n)")
+@query("select l_orderkey, n as missing from (select l_orderkey, list(distinct l_linenumber) as have, max(l_linenumber) as top from (select l_orderkey, l_linenumber + l_partkey % 3 as l_linenumber from lineitem) group by 1), unnest(range(1, top + 1)) as r(n) where not list_contains(have, n)")
 def gap_pages(t):
-    return merge.gaps(t.lineitem.filter("l_quantity > 10"), ["l_orderkey"], "l_linenumber")
+    return merge.gaps(t.lineitem.select("l_orderkey", (F.col("l_linenumber") + F.col("l_partkey") % 3).alias("l_linenumber")), ["l_orderkey"], "l_linenumber")
 
 
-@query("""with p as (select conv_id, list(turn + 1) as have, list(case when length(text) > 400 then turn + 1 end) as cut, max(turn) + 2 as n from conversations where turn % 3 <> 1 group by 1)
+@query("""with p as (select conv_id, list(case when turn % 3 <> 1 then turn + 1 end) as have, list(case when length(text) > 400 then turn + 1 end) as cut, max(turn) + 2 as n from conversations group by 1)
 select conv_id, coalesce((select min(x) from unnest(range(1, n + 1)) as r(x) where not list_contains(have, x)), list_min(cut))::bigint as next_page from p""")
 def next_page_to_read(t):
-    p = t.conversations.filter("turn % 3 <> 1").groupBy("conv_id").agg(F.collect_list(F.expr("int(turn + 1)")).alias("have"), F.collect_list(F.when(F.length("text") > 400, F.expr("int(turn + 1)"))).alias("cut"), (F.max("turn") + 2).cast("int").alias("n"))
+    p = t.conversations.groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") % 3 != 1, F.expr("int(turn + 1)"))).alias("have"), F.collect_list(F.when(F.length("text") > 400, F.expr("int(turn + 1)"))).alias("cut"), (F.max("turn") + 2).cast("int").alias("n"))
     return p.select("conv_id", merge.next_page(F.col("have"), F.col("cut"), F.col("n")).cast("long").alias("next_page"))
 
 
@@ -428,9 +441,16 @@ def preference_resolution(t):
     return preferences.resolve(rows, {"genre": "forum"}, F.expr("timestamp_ntz '2024-01-25'")).select("id", "key", "status", "dominated", "conflict", "applicable")
 
 
-@query("select event_id as arrival, user_id as context_id, row_number() over (partition by user_id order by event_id) as version, 'recorded' as outcome from events")
+@query("""with r as (select event_id, user_id, event_type || (event_id % 40) as k, event_id % 5 as fp, event_id % 7 = 0 as bad from events),
+f as (select user_id, k, min(event_id) as first, arg_min(fp, event_id) as ffp from r where not bad group by all),
+v as (select *, row_number() over (partition by user_id order by first) as version from f)
+select r.event_id as arrival, r.user_id as context_id,
+  case when r.event_id > first then case when fp = ffp then version end when r.event_id = first then version end as version,
+  case when r.event_id > first then case when fp = ffp then 'replayed' else 'idempotency_conflict' end when r.event_id = first then 'recorded' else 'version_conflict' end as outcome
+from r left join v on v.user_id = r.user_id and v.k = r.k""")
 def delta_version_fold(t):
-    r = t.events.select(F.col("user_id").alias("context_id"), F.col("event_id").alias("arrival"), F.col("event_id").cast("string").alias("idempotency_key"), F.sha2("props", 256).alias("fingerprint"), F.lit(None).cast("int").alias("expected_version"))
+    key = F.concat("event_type", (F.col("event_id") % 40).cast("string"))
+    r = t.events.select(F.col("user_id").alias("context_id"), F.col("event_id").alias("arrival"), key.alias("idempotency_key"), (F.col("event_id") % 5).cast("string").alias("fingerprint"), F.when(F.col("event_id") % 7 == 0, -1).cast("int").alias("expected_version"))
     return ev.record_deltas(r).select("arrival", "context_id", "version", "outcome")
 
 
@@ -455,9 +475,20 @@ def deadline_summary(t):
     return attention.deadline_summary(t.orders, ["o_custkey"], "o_orderdate", F.expr("timestamp_ntz '1997-01-01'"))
 
 
-@query("with w as (select *, floor(epoch(ts) / 86400)::bigint as window_no from events) select event_id, window_no, round(coalesce(sum(value) over (partition by user_id, window_no order by ts, event_id rows between unbounded preceding and 1 preceding), 0), 4) as used_before, coalesce(sum(value) over (partition by user_id, window_no order by ts, event_id rows between unbounded preceding and 1 preceding), 0) + value <= 150 as fits from w")
+@query("""with recursive e as (select user_id, event_id, ts, value as calls, 1000.0 * (event_id % 9) as bytes, 1.0 as wall, row_number() over (partition by user_id order by ts, event_id) as n from events),
+s as (
+  select user_id, 0::bigint as n, null::bigint as event_id, null::boolean as fits, (select min(ts) from e x where x.user_id = u.user_id) as begun, 0.0::double as rc, 0.0::double as rb, 0.0::double as rw, 0.0::double as wc, 0.0::double as wb, 0.0::double as ww from (select distinct user_id from e) u
+  union all
+  select user_id, n, event_id, ok, begun, rc + if(ok, calls, 0), rb + if(ok, bytes, 0), rw + if(ok, wall, 0), wc + if(ok, calls, 0), wb + if(ok, bytes, 0), ww + if(ok, wall, 0) from (
+    select *, rc + calls <= 2500 and rb + bytes <= 400000 and rw + wall <= 60 and wc + calls <= 150 and wb + bytes <= 20000 and ww + wall <= 5 as ok from (
+      select e.user_id, e.n, e.event_id, e.calls, e.bytes, e.wall, if(again, e.ts, s.begun) as begun, s.rc, s.rb, s.rw, if(again, 0, s.wc) as wc, if(again, 0, s.wb) as wb, if(again, 0, s.ww) as ww
+      from s join (select *, 0 as z from e) e on e.user_id = s.user_id and e.n = s.n + 1, lateral (select epoch_us(e.ts) - epoch_us(s.begun) >= 86400000000 as again))))
+select event_id, user_id, fits, begun as window_started, round(rc, 4) as calls, rb as bytes, ww as window_wall from s where n > 0""")
 def tumbling_budget(t):
-    return lifecycle.tumbling_budget(t.events, ["user_id"], "ts", "event_id", "value", 86400, 150.0).select("event_id", "window_no", F.round("used_before", 4).alias("used_before"), "fits")
+    e = t.events.select("user_id", "ts", "event_id", F.col("value").alias("calls"), (1000.0 * (F.col("event_id") % 9)).alias("bytes"), F.lit(1.0).alias("wall"))
+    names = {n: n for n in ("calls", "bytes", "wall")}
+    out = lifecycle.tumbling_budget(e, ["user_id"], "ts", "event_id", names, {"calls": 2500.0, "bytes": 400000.0, "wall": 60.0}, {"calls": 150.0, "bytes": 20000.0, "wall": 5.0}, 86400)
+    return out.select("event_id", "user_id", "fits", F.col("window_started").cast("timestamp_ntz").alias("window_started"), F.round("reserved_calls", 4).alias("calls"), F.col("reserved_bytes").alias("bytes"), F.col("window_wall").alias("window_wall"))
 
 
 @query("select event_type, quantile_disc(value, 0.95) as p95 from events group by event_type")
@@ -492,26 +523,84 @@ def forum_evidence(t):
     return attention.forum_evidence(posts, "user").select(F.col("forum_id").alias("conv_id"), "own_topics", "colleagues_seen", "own_replies", "colleagues_answered")
 
 
-@query("""with a as (select l_orderkey, case when l_returnflag = 'R' and l_linestatus = 'F' then 'uncertain' when l_returnflag = 'R' then 'satisfied' when l_linestatus = 'F' then 'reported' else 'pending' end as v from lineitem)
-select l_orderkey, case when bool_or(v = 'uncertain') then 'uncertain' when bool_and(v in ('satisfied', 'reported')) then 'concluded' else 'open' end as state, count(*) as requirements from a group by 1""")
-def assessed_obligations(t):
-    # R: seen as submitted; F: reported; both at once are made to contradict each other.
-    seen = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), False).when(F.col("l_returnflag") == "R", True).when(F.col("l_linestatus") != "F", False)
-    told = F.when(F.col("l_linestatus") == "F", True)
-    none = F.lit(None)
-    r = t.lineitem.select("l_orderkey", F.lit("submission").alias("fulfilment"), seen.alias("observed_submitted"), told.alias("reported_submitted"), none.cast("int").alias("own_topics"), none.cast("int").alias("colleagues_answered"), none.cast("boolean").alias("completed"), none.cast("boolean").alias("reported_done"), F.lit(1).alias("at_least"), F.lit("complete").alias("coverage"))
-    return attention.assess_entity(attention.assess(r), ["l_orderkey"])
+# Requirements are lines of an order; reports, receipts and native states come from its other columns.
+_NEEDS = """needs as (select l_orderkey as e, l_linenumber::varchar as k, (['submission', 'forum_topic', 'forum_reply', 'completion', 'manual'])[(l_partkey + l_linenumber) % 5 + 1] as f, l_linenumber % 3 + 1 as least, count(*) over (partition by l_orderkey, (l_partkey + l_linenumber) % 5) as family from lineitem),
+reports as (select l_orderkey as e, (['submission', 'forum_topic', 'forum_reply', 'completion', 'deadline_change'])[l_suppkey % 5 + 1] as t, case when l_linenumber % 2 = 0 then l_linenumber::varchar end as k, l_linenumber as c from lineitem where l_returnflag = 'R'),
+ev as (select o_orderkey as e, case when o_orderkey % 7 = 0 then 1 else 0 end as acts, case when o_orderkey % 11 = 0 then 1 else 0 end as pubs, o_orderkey % 4 as answered, o_orderkey % 3 <> 0 as forum, ([null, 'new', 'submitted', 'draft'])[o_orderkey % 4 + 1] as native, o_orderkey % 13 = 0 as done, o_orderkey % 17 = 0 as legacy, o_orderkey % 5 = 0 as part from orders),
+told as (select needs.*, (select count(*) from reports r where r.e = needs.e and r.t = case f when 'manual' then 'completion' else f end and (r.k = needs.k or r.k is null and family = 1 and f <> 'manual')) as n,
+  (select coalesce(max(c), 0) from reports r where r.e = needs.e and r.t = f and (r.k = needs.k or r.k is null and family = 1)) as most, ev.* exclude (e) from needs join ev using (e)),
+v as (select *, case f
+  when 'submission' then case when (n > 0 or legacy and family = 1) and native in ('new', 'draft', 'reopened') then 'uncertain:user_report_contradicts_native_status' when acts > 0 and native in ('new', 'draft', 'reopened') then 'uncertain:receipt_contradicts_native_status'
+    when family > 1 and n = 0 then 'uncertain:multiple_obligations_require_specific_evidence' when n > 0 or legacy and family = 1 or acts > 0 or native = 'submitted' then 'satisfied:' when native in ('new', 'draft', 'reopened') then 'pending:native_status_reports_not_submitted' else 'pending:' end
+  when 'forum_topic' then case when family > 1 and n = 0 then 'uncertain:multiple_obligations_require_specific_evidence' when pubs > 0 or n > 0 then 'satisfied:' when not forum then 'uncertain:connection_subject_unknown' else 'pending:no_preserved_owner_publication' end
+  when 'forum_reply' then case when family > 1 and most < least then 'uncertain:multiple_obligations_require_specific_evidence' when answered >= least or most >= least then 'satisfied:' when not forum then 'uncertain:connection_subject_unknown' else 'pending:distinct_colleagues_below_required' end
+  when 'completion' then case when family > 1 and n = 0 then 'uncertain:multiple_obligations_require_specific_evidence' when done or n > 0 then 'satisfied:' else 'pending:' end
+  else case when n > 0 then 'satisfied:' else 'pending:manual_confirmation_pending' end end as found from told),
+w as (select e, k, f, family, split_part(found, ':', 1) as verdict, concat_ws(';', nullif(split_part(found, ':', 2), ''), case when part and f in ('submission', 'forum_topic', 'forum_reply') then 'positive_proof_from_partial_coverage' end) as reasons from v)"""
 
 
-@query()
+def _needs(t):
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    o, e = F.lit("o").alias("owner_id"), F.col("l_orderkey").alias("entity_id")
+    needs = t.lineitem.select(o, e, F.col("l_linenumber").cast("string").alias("requirement_key"), pick(["submission", "forum_topic", "forum_reply", "completion", "manual"], (F.col("l_partkey") + F.col("l_linenumber")) % 5).alias("fulfilment"), (F.col("l_linenumber") % 3 + 1).alias("at_least"))
+    reports = t.lineitem.filter("l_returnflag = 'R'").select(o, e, pick(["submission", "forum_topic", "forum_reply", "completion", "deadline_change"], F.col("l_suppkey") % 5).alias("event_type"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("string")).alias("requirement_key"), F.col("l_linenumber").alias("distinct_colleagues"))
+    every = lambda n: F.col("o_orderkey") % n == 0
+    evidence = t.orders.select(
+        o, F.col("o_orderkey").alias("entity_id"), every(7).cast("int").alias("submit_receipts"), F.lit(0).alias("topic_receipts"), every(11).cast("int").alias("publications"), (F.col("o_orderkey") % 4).alias("colleagues_answered"), (~every(3)).alias("forum_known"),
+        pick([None, "new", "submitted", "draft"], F.col("o_orderkey") % 4).alias("native_status"), every(13).alias("native_completion"), every(17).alias("legacy_report"), every(5).alias("partial"),
+        F.when(~every(6), ~every(8)).alias("status_qualified"), every(2).alias("feedback_available"), every(19).alias("drift"), (F.col("o_orderkey") % 3).alias("changed_materials"))
+    return needs, reports, evidence
+
+
+@query(f"with {_NEEDS} select e as l_orderkey, k as requirement_key, f as fulfilment, family as family_size, verdict, reasons from w")
+def assessed_requirements(t):
+    return attention.assess(*_needs(t)).select(F.col("entity_id").alias("l_orderkey"), "requirement_key", "fulfilment", "family_size", "verdict", F.array_join("reasons", ";").alias("reasons"))
+
+
+_OUTCOME = """g as (select e, count(*) as requirements, case when bool_or(verdict = 'uncertain') then 'uncertain' when bool_and(verdict = 'satisfied') then 'concluded' else 'pending' end as state, bool_or(contains(reasons, '_contradicts_native_status')) as contradiction from w group by e),
+rep as (select e, bool_or(t = 'submission') as handed, bool_or(t = 'completion') as completed, bool_or(t = 'deadline_change') as news from reports group by e),
+ent as (select o_orderkey as e, (['assignment', 'forum', 'module'])[o_custkey % 3 + 1] as kind, coalesce(handed, false) or legacy or acts > 0 or coalesce(native = 'submitted', false) as handed, done or coalesce(completed, false) as completed, coalesce(news, false) as news from orders join ev on ev.e = o_orderkey left join rep on rep.e = o_orderkey),
+s as (select ent.*, coalesce(requirements, 0)::bigint as requirements, coalesce(state, case when kind = 'forum' then 'uncertain' when kind = 'assignment' and handed or kind = 'module' and completed then 'concluded' else 'pending' end) as state, coalesce(contradiction, false) as contradiction from ent left join g using (e))"""
+
+
+def _kinds(t):
+    return F.element_at(F.array(*[F.lit(n) for n in ("assignment", "forum", "module")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+
+
+@query(f"with {_NEEDS}, {_OUTCOME} select e as l_orderkey, kind, requirements, state, contradiction from s")
+def assessed_obligations(t):
+    needs, reports, evidence = _needs(t)
+    keys = ["owner_id", "entity_id"]
+    told = reports.groupBy(*keys).agg(F.bool_or(F.col("event_type") == "submission").alias("h"), F.bool_or(F.col("event_type") == "completion").alias("c"))
+    known = t.orders.select(F.lit("o").alias("owner_id"), F.col("o_orderkey").alias("entity_id"), _kinds(t).alias("kind")).join(told, keys, "left").join(evidence, keys, "left")
+    handed = F.coalesce("h", F.lit(False)) | F.col("legacy_report") | (F.col("submit_receipts") > 0) | F.coalesce(F.col("native_status") == "submitted", F.lit(False))
+    judged = known.select(*keys, "kind", handed.alias("submission_evidence"), (F.col("native_completion") | F.coalesce("c", F.lit(False))).alias("completion_evidence"))
+    return attention.assess_entity(attention.assess(needs, reports, evidence), judged).select(F.col("entity_id").alias("l_orderkey"), "kind", "requirements", "state", "contradiction")
+
+
+@query(f"""with {_NEEDS}, {_OUTCOME},
+occ as (select l_orderkey as e, l_shipdate as seen_at, 'h' || (10 + l_partkey % 12) as h, case when l_linestatus = 'O' then 'partial' else 'complete' end as cov, case when l_partkey % 12 % 3 = 0 then 852076800 else 852163200 end as due, case when l_partkey % 12 % 2 = 0 then 'a' else 'b' end as intro from lineitem),
+last as (select e, seen_at, h, cov, due, intro from occ qualify row_number() over (partition by e order by seen_at desc, h desc, cov desc) = 1),
+prev as (select occ.e, occ.h, occ.due, occ.intro from occ join last on occ.e = last.e and occ.seen_at < last.seen_at and occ.h <> last.h qualify row_number() over (partition by occ.e order by occ.seen_at desc, occ.h desc) = 1),
+x as (select s.*, last.h, last.cov, last.due, last.intro, prev.h as ph, prev.due as pdue, prev.intro as pintro, case when e % 4 <> 0 and last.h is not null then (case when e % 9 = 0 then last.h else 'h11' end) end as presented, case when e % 5 = 0 then 'h13' end as seen from s left join last using (e) left join prev using (e))
+select e as entity_id, kind, state, requirements, h as content_hash, ph as previous_hash, array_to_string(list_sort(list_filter([
+  case when ph is not null and presented is distinct from h and pdue is distinct from due then 'deadline_changed' end, case when ph is not null and presented is distinct from h and pintro is distinct from intro then 'instructions_changed' end, case when news then 'deadline_change' end,
+  case when e % 6 <> 0 and e % 8 <> 0 and e % 2 = 0 then 'feedback_available' end, case when presented is null then 'not_presented' end, case when presented <> h then 'changed_since_presented' end, case when seen <> h then 'changed_since_read' end,
+  case when e % 23 = 0 then 'access_lost' end, case when cov <> 'complete' then 'incomplete_coverage' end, case when due = 852076800 then 'deadline_near' end, case when kind = 'forum' and requirements = 0 then 'requirement_not_interpreted' end, case when kind = 'assignment' and not handed then 'submission_evidence_missing' end,
+  case when state = 'uncertain' then 'academic_uncertain' end, case when e % 6 <> 0 and e % 8 = 0 then 'own_submission_status_unqualified' end, case when contradiction then 'report_observation_contradiction' end, case when e % 19 = 0 then 'unrecorded_reobservation' end, case when e % 3 > 0 then 'material_dependency_changed' end], lambda i: i is not null)), ';') as items from x""")
 def attention_overview(t):
-    """The flagship over events as sightings: state, change, coverage and attention items of every user."""
-    seen = t.events.select(F.lit("o").alias("owner_id"), F.col("user_id").cast("string").alias("entity_id"), F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("content_hash"), F.col("ts").cast("timestamp").alias("observed_at"), F.expr(_COVER).alias("coverage"))
-    entities = t.customer.select(F.lit("o").alias("owner_id"), F.col("c_custkey").cast("string").alias("id"), F.lit("assignment").alias("kind"), F.col("c_name").alias("title"), F.concat(F.lit('{"duedate":'), F.lit(1706000000) + F.col("c_custkey") * 3600, F.lit("}")).alias("state"))
-    none = F.lit(None)
-    needs = t.orders.select(F.lit("o").alias("owner_id"), F.col("o_custkey").cast("string").alias("entity_id"), F.lit("submission").alias("fulfilment"), (F.col("o_orderstatus") == "F").alias("observed_submitted"), none.cast("boolean").alias("reported_submitted"), none.cast("int").alias("own_topics"), none.cast("int").alias("colleagues_answered"), none.cast("boolean").alias("completed"), none.cast("boolean").alias("reported_done"), F.lit(1).alias("at_least"), F.lit("complete").alias("coverage"))
-    marks = timeline.latest(seen.filter("coverage = 'complete'"), ["owner_id", "entity_id"], "observed_at", "content_hash").select("owner_id", "entity_id", F.col("content_hash").alias("presented_hash"), F.col("content_hash").alias("read_hash"))
-    return attention.overview(entities, seen, needs, marks, F.expr("timestamp '2024-01-20'"))
+    """The flagship: orders as activities, lines as sightings and requirements; state, change and attention items of each."""
+    needs, reports, evidence = _needs(t)
+    o, e = F.lit("o").alias("owner_id"), F.col("o_orderkey")
+    entities = t.orders.select(o, e.alias("id"), _kinds(t).alias("kind"), F.col("o_orderpriority").alias("title"), F.when(e % 23 == 0, "revoked").otherwise("connected").alias("connection_state"))
+    content = F.to_json(F.struct(F.when(F.col("l_partkey") % 12 % 3 == 0, 852076800).otherwise(852163200).alias("duedate"), F.when(F.col("l_partkey") % 12 % 2 == 0, "a").otherwise("b").alias("intro")))
+    seen = t.lineitem.select(o, F.col("l_orderkey").alias("entity_id"), F.concat(F.lit("h"), (10 + F.col("l_partkey") % 12).cast("string")).alias("content_hash"), F.col("l_shipdate").alias("observed_at"), F.when(F.col("l_linestatus") == "O", "partial").otherwise("complete").alias("coverage"), content.alias("content"))
+    # Of two sightings of one content at one time the partial one counts.
+    seen = seen.groupBy("owner_id", "entity_id", "content_hash", "observed_at").agg(F.max("coverage").alias("coverage"), F.min("content").alias("content"))
+    newest = timeline.latest(seen, ["owner_id", "entity_id"], "observed_at", "content_hash").select("owner_id", "entity_id", F.col("content_hash").alias("h"))
+    marks = newest.select("owner_id", "entity_id", F.when(F.col("entity_id") % 4 != 0, F.when(F.col("entity_id") % 9 == 0, F.col("h")).otherwise("h11")).alias("presented_hash"), F.when(F.col("entity_id") % 5 == 0, "h13").alias("read_hash"))
+    out = attention.overview(entities, seen, needs, reports, evidence, marks, F.timestamp_seconds(F.lit(852076800 - 6 * 86400)), days=6)
+    return out.select("entity_id", "kind", "state", "requirements", "content_hash", "previous_hash", F.array_join("items", ";").alias("items"))
 
 
 # Local time
@@ -558,20 +647,20 @@ def html_text(t):
 # Records
 
 
-@query("""with b as (select o_custkey as c, l_suppkey as e, bool_or(l_returnflag = 'R') as active from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 48 group by all),
+@query("""with b as (select o_custkey as c, l_suppkey as e, bool_or(l_returnflag = 'R' and l_quantity > 48) as active from orders join lineitem on l_orderkey = o_orderkey group by all),
 f as (select c, count(*) as n, min(e) as one from b where active group by c)
 select c_custkey, coalesce(n, 0)::int as n, case when n is null then 'unbound' when n = 1 then 'unique' else 'ambiguous' end as status, case when n = 1 then one end as target from customer left join f on c = c_custkey""")
 def work_targets(t):
-    b = t.orders.join(t.lineitem.filter("l_quantity > 48"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("context_id"), F.col("l_suppkey").cast("string").alias("entity_id")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("active"))
+    b = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("context_id"), F.col("l_suppkey").cast("string").alias("entity_id")).agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48)).alias("active"))
     out = records.targets(t.customer.select(F.col("c_custkey").alias("context_id")), b)
     return out.select(F.col("context_id").alias("c_custkey"), F.size("entity_ids").alias("n"), "status", F.col("target_id").cast("long").alias("target"))
 
 
-@query("""with b as (select distinct user_id as c, event_type as e from events where event_id % 2 = 0), w as (select distinct user_id as c, event_type as e from events where event_id % 50 = 1)
+@query("""with b as (select distinct user_id as c, event_type as e from events), w as (select distinct user_id as c, event_type as e from events where event_id % 50 = 1)
 select coalesce(b.c, w.c) as context_id, coalesce(b.e, w.e) as entity_id, case when w.c is not null then true when coalesce(b.c, w.c) in (select c from w) then false else true end as active from b full join w on b.c = w.c and b.e = w.e""")
 def bind_targets(t):
     pair = lambda p: t.events.filter(p).select(F.col("user_id").alias("context_id"), F.col("event_type").alias("entity_id")).distinct()
-    return records.bind(pair("event_id % 2 = 0").withColumn("active", F.lit(True)), pair("event_id % 50 = 1"))
+    return records.bind(pair("true").withColumn("active", F.lit(True)), pair("event_id % 50 = 1"))
 
 
 @query("""with n as (select user_id as e, arg_max(event_id, (ts, event_id)) as h from events group by 1), p as (select user_id as e, max(event_id) as h from events where event_id % 3 <> 0 group by 1)
@@ -592,9 +681,10 @@ def event_targets(t):
     return records.resolve_event_target(e, b, none).select("event_id", "user_id", F.col("resolved_id").alias("target"), "refusal")
 
 
-@query("select event_id, 'k=' || json_extract_string(props, '$.k') as param from events")
+@query("""select event_id, unnest(['ids[0]=' || user_id, 'ids[1]=7', 'options[deep][0][name]=' || event_type, 'options[on]=1', 'k=' || json_extract_string(props, '$.k')]) as param from events""")
 def flattened_params(t):
-    return t.events.select("event_id", F.explode(jsonfn.flat_params("props")).alias("param"))
+    made = F.concat(F.lit('{"ids":['), F.col("user_id").cast("string"), F.lit(',7],"none":null,"options":{"deep":[{"name":"'), F.col("event_type"), F.lit('"}],"on":true},"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return t.events.select("event_id", F.explode(jsonfn.flat_params(made)).alias("param"))
 
 
 @query("""with p as (select * from (values (0, 'complete'), (1, 'partial'), (2, 'denied'), (3, 'timeout')) as v(m, c))

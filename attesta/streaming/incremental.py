@@ -48,22 +48,25 @@ BUDGET = "policy_id string, at timestamp, cost double, used double, fits boolean
 
 
 def budget(stream: DataFrame, seconds: int, limit: float) -> DataFrame:
-    """Tumbling budget per policy over ``stream(policy_id, at, cost)``: what is charged stays charged."""
+    """Tumbling budget per policy over ``stream(policy_id, at, cost)``: a charge that fits stays charged, one that doesn't charges nothing.
+
+    A window begins with the first charge that comes ``seconds`` or more after the last one began.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, used = state.get if state.exists else (-1, 0.0)
+        begin, used = state.get if state.exists else (None, 0.0)
         out = []
         for pdf in frames:
             for at, cost in pdf.sort_values("at")[["at", "cost"]].itertuples(index=False):
-                window = int(at.timestamp()) // seconds
-                if window > begin:
-                    begin, used = window, 0.0
-                out.append((key[0], at, cost, used, used + cost <= limit))
-                used += cost
+                if begin is None or (at - begin).total_seconds() >= seconds:
+                    begin, used = at, 0.0
+                fits = used + cost <= limit
+                out.append((key[0], at, cost, used, fits))
+                used += cost if fits else 0.0
         state.update((begin, used))
         yield pd.DataFrame(out, columns=["policy_id", "at", "cost", "used", "fits"])
 
-    return stream.groupBy("policy_id").applyInPandasWithState(run, BUDGET, "window long, used double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("policy_id").applyInPandasWithState(run, BUDGET, "begin timestamp, used double", "append", GroupStateTimeout.NoTimeout)
 
 
 def sink_new(keys: list[str], path: str):

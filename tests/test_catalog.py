@@ -20,11 +20,31 @@ def world(spark):
 
 def test_overview_items(spark, world):
     entities, seen, _, _ = world
-    needs = spark.createDataFrame([("o", "a", "submission", False, True)], "owner_id string, entity_id string, fulfilment string, observed_submitted boolean, reported_submitted boolean").withColumns({"own_topics": F.lit(None).cast("int"), "colleagues_answered": F.lit(None).cast("int"), "completed": F.lit(None).cast("boolean"), "reported_done": F.lit(None).cast("boolean"), "at_least": F.lit(1), "coverage": F.lit("complete")})
-    marks = spark.createDataFrame([("o", "a", "h1", "h1")], "owner_id string, entity_id string, presented_hash string, read_hash string")
-    out = {r.entity_id: (r.state, set(r["items"])) for r in catalog.attention_page(entities, seen, needs, marks, F.expr("timestamp '2026-01-05'")).collect()}
-    assert out["a"] == ("uncertain", {"changed_since_presented", "changed_since_read", "content_changed", "access_lost", "deadline_near", "uncertain_state"})
-    assert out["r"] == ("open", {"not_presented"})
+    entities = entities.withColumn("connection_state", F.when(F.col("id") == "a", "expired").otherwise("connected"))
+    seen = seen.withColumn("content", F.when(F.col("content_hash") == "h1", '{"duedate":1767657600,"intro":"x"}').when(F.col("content_hash") == "h2", '{"duedate":1767744000,"intro":"x"}').otherwise(F.col("content")))
+    keys = "owner_id string, entity_id string"
+    needs = spark.createDataFrame([("o", "a", "1", "submission", None)], f"{keys}, requirement_key string, fulfilment string, at_least int")
+    reports = spark.createDataFrame([("o", "a", "submission", None, None), ("o", "a", "requirements_change", None, None)], f"{keys}, event_type string, requirement_key string, distinct_colleagues int")
+    kinds = "submit_receipts int, topic_receipts int, publications int, colleagues_answered int, forum_known boolean, native_status string, native_completion boolean, legacy_report boolean, partial boolean, status_qualified boolean, feedback_available boolean, drift boolean, changed_materials int"
+    evidence = spark.createDataFrame([("o", "a", 0, 0, 0, 0, True, "new", False, False, False, True, True, True, 1), ("o", "r", 0, 0, 0, 0, True, None, False, False, False, False, None, False, 0)], f"{keys}, {kinds}")
+    marks = spark.createDataFrame([("o", "a", "h1", "h1")], f"{keys}, presented_hash string, read_hash string")
+    page = lambda **kw: {r.entity_id: (r.state, set(r["items"])) for r in catalog.attention_page(entities, seen, needs, reports, evidence, marks, F.expr("timestamp '2026-01-05'"), **kw).collect()}
+    both = {"deadline_changed", "requirements_change", "feedback_available", "changed_since_presented", "changed_since_read", "access_lost", "incomplete_coverage", "deadline_near", "academic_uncertain", "report_observation_contradiction", "unrecorded_reobservation", "material_dependency_changed"}
+    out = page()
+    assert out["a"] == ("uncertain", both)
+    assert out["r"] == ("pending", {"not_presented", "own_submission_status_unqualified"})
+    assert page(audit=False)["r"][1] == {"own_submission_status_unqualified"}
+
+
+def test_unknown_coverage_is_worst(spark):
+    rows = spark.createDataFrame([("j", "complete", True), ("j", "strange", False), ("k", "complete", True)], "job string, coverage string, truncated boolean")
+    assert {r.job: r.coverage for r in catalog.coverage_of(rows, ["job"]).collect()} == {"j": "strange", "k": "partial"}
+
+
+def test_synthetic_contexts(spark):
+    scopes = [{"environment": "synthetic-host-lab"}, {"purpose": "acceptance-test"}, {"purpose": "validation", "surface": "mobile", "run": "2026-01-02-skill-1.2.3"}, {"purpose": "validation", "surface": "mobile", "run": "x"}, {"purpose": "probe"}, {}]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(scopes)], "i int, scope map<string,string>")
+    assert [r[0] for r in df.orderBy("i").select(catalog.synthetic()).collect()] == [True, True, True, False, False, False]
 
 
 def test_entity_context_compares_structure(world):

@@ -146,12 +146,18 @@ def test_epoch_zero_means_absent(spark):
     assert [r[0] is not None for r in df.select(timefn.epoch_instant(F.col("s"))).collect()] == [False, False, False, True]
 
 
-@pytest.mark.parametrize("secret", ["sk-" + "a" * 24, "ghp_" + "A1" * 18, "github_pat_" + "x" * 40, "AIza" + "b" * 35, "xoxb-1234567890-abc", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "password = hunter2hunter2", "token: 'abcdefgh12'"])
+@pytest.mark.parametrize("secret", ["sk-" + "a" * 16, "ghp_" + "A1" * 10, "github_pat_" + "x" * 20, "AIza" + "b" * 35, "xoxb-1234567890-abc", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "password = hunter2hunter2xx", "token: 'abcdefgh12345678", 'client_secret="abcdefgh12345678"', "senha: abcdefgh12345678", '"api-key": "abcdefgh.1234567'])
 def test_each_secret_pattern(spark, secret):
     r = spark.createDataFrame([(f"before {secret} after",)], "t string").select(text.redacted(F.col("t")).alias("x"), text.secret_count(F.col("t")).alias("n")).first()
     assert "[REDACTED]" in r.x and r.n == 1 and r.x.startswith("before") and r.x.rstrip().endswith("after")
 
 
+@pytest.mark.parametrize("harmless", ["sk-" + "a" * 15, "ghp_" + "A" * 19, "password = short", "a plain sentence about a token and a secret"])
+def test_what_is_no_secret_stays(spark, harmless):
+    r = spark.createDataFrame([(harmless,)], "t string").select(text.redacted(F.col("t")).alias("x"), text.secret_count(F.col("t")).alias("n")).first()
+    assert r.x == harmless and r.n == 0
+
+
 def test_text_functions(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "t string").select(c(F.col("t")).alias("x")).first().x
     assert one(text.comparison_key, "  café  au\nlait ") == "café au lait"
@@ -161,6 +167,7 @@ def test_text_functions(spark):
     assert tuple(one(lambda c: text.line_range(c, "b\nc"), "a\nb\nc\n")) == (2, 3)
     assert one(text.is_safe_relative, "a/b.txt") and not one(text.is_safe_relative, "a/../b") and not one(text.is_safe_relative, "C:x")
     assert one(text.is_secret_path, "x/.env.local") and not one(text.is_secret_path, "x/env.md")
+    assert all(one(text.is_secret_path, p) for p in ("a.PEM", "x/client_secret_9.json", "service-account.json", "credentials-old.json", "b/.ENV")) and not one(text.is_secret_path, "id_rsa")
     assert one(text.escaped, '<a>"&\n') == "&lt;a&gt;&quot;&amp;<br>"
     assert one(text.canonical_url, "HTTPS://Ex.COM/Path/") == "https://ex.com/Path"
     srt = "1\n00:00:01,000 --> 00:00:02,500\n<i>Hello</i>\nthere\n\nbad block\n\n2\n00:03.000 --> 00:04.000\nBye\n"
@@ -202,12 +209,35 @@ def test_backoff(spark):
     assert out == [60, 120, 240, 480, 960, 1920, 1920, 1920]
 
 
-def test_contradiction_is_uncertain(spark):
-    cols = "entity_id string, fulfilment string, observed_submitted boolean, reported_submitted boolean, own_topics int, colleagues_answered int, completed boolean, reported_done boolean, at_least int, coverage string"
-    df = spark.createDataFrame([("a", "submission", False, True, None, None, None, None, 1, "complete"), ("b", "forum_reply", None, None, 1, 2, None, None, 2, "complete"), ("c", "forum_reply", None, None, 0, 1, None, None, 2, "partial"), ("d", "completion", None, None, None, None, True, None, 1, "complete")], cols)
-    out = {r.entity_id: (r.verdict, r.reasons) for r in attention.assess(df).collect()}
-    assert out == {"a": ("uncertain", ["contradiction"]), "b": ("satisfied", []), "c": ("uncertain", ["incomplete_coverage"]), "d": ("satisfied", [])}
-    assert {r.entity_id: r.state for r in attention.assess_entity(attention.assess(df), ["entity_id"]).collect()} == {"a": "uncertain", "b": "concluded", "c": "uncertain", "d": "concluded"}
+def test_requirements_and_reports(spark):
+    needs = [("a", "1", "submission"), ("b", "1", "forum_reply"), ("c", "1", "forum_reply"), ("d", "1", "completion"), ("e", "1", "submission"), ("e", "2", "submission"), ("f", "1", "manual"), ("g", "1", "forum_topic")]
+    needs = spark.createDataFrame([("o", *n, 2 if n[2] == "forum_reply" else None) for n in needs], "owner_id string, entity_id string, requirement_key string, fulfilment string, at_least int")
+    reports = [("a", "submission", None, None), ("c", "forum_reply", "1", 2), ("e", "submission", None, None), ("e", "submission", "2", None), ("f", "completion", None, None)]
+    reports = spark.createDataFrame([("o", *r) for r in reports], "owner_id string, entity_id string, event_type string, requirement_key string, distinct_colleagues int")
+    none = dict.fromkeys(["submit_receipts", "topic_receipts", "publications", "colleagues_answered", "forum_known", "native_status", "native_completion", "legacy_report", "partial"])
+    evidence = [{"entity_id": "a", "native_status": "draft"}, {"entity_id": "b", "colleagues_answered": 1, "forum_known": True, "partial": True}, {"entity_id": "d", "native_completion": True}, {"entity_id": "g"}]
+    kinds = "submit_receipts int, topic_receipts int, publications int, colleagues_answered int, forum_known boolean, native_status string, native_completion boolean, legacy_report boolean, partial boolean"
+    evidence = spark.createDataFrame([("o", e["entity_id"], *[(none | e)[n] for n in none]) for e in evidence], f"owner_id string, entity_id string, {kinds}")
+    assessed = attention.assess(needs, reports, evidence)
+    out = {(r.entity_id, r.requirement_key): (r.verdict, r.reasons) for r in assessed.collect()}
+    several = ["multiple_obligations_require_specific_evidence"]
+    assert out == {
+        ("a", "1"): ("uncertain", ["user_report_contradicts_native_status"]), ("b", "1"): ("pending", ["distinct_colleagues_below_required", "positive_proof_from_partial_coverage"]), ("c", "1"): ("satisfied", []),
+        ("d", "1"): ("satisfied", []), ("e", "1"): ("uncertain", several), ("e", "2"): ("satisfied", []), ("f", "1"): ("pending", ["manual_confirmation_pending"]), ("g", "1"): ("uncertain", ["connection_subject_unknown"]),
+    }
+    kinds = [("a", "assignment"), ("d", "module"), ("h", "forum"), ("i", "assignment"), ("j", "assignment"), ("k", "module")]
+    entities = spark.createDataFrame([("o", i, k, i == "j", i == "k") for i, k in kinds], "owner_id string, entity_id string, kind string, submission_evidence boolean, completion_evidence boolean")
+    got = {r.entity_id: (r.state, r.contradiction, r.state_reasons) for r in attention.assess_entity(assessed, entities).collect()}
+    assert got == {"a": ("uncertain", True, ["user_report_contradicts_native_status"]), "d": ("concluded", False, []), "h": ("uncertain", False, ["requirement_not_interpreted"]), "i": ("pending", False, ["submission_evidence_missing"]), "j": ("concluded", False, []), "k": ("concluded", False, [])}
+
+
+def test_budget_refusals_charge_nothing(spark):
+    import datetime as dt
+
+    rows = [("p", dt.datetime(2026, 1, 1, 0, m), m, float(c)) for m, c in ((1, 6), (2, 6), (3, 4), (6, 1), (7, 9), (13, 9))]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int, c double")
+    out = lifecycle.tumbling_budget(df, ["k"], "at", "i", {"calls": "c"}, {"calls": 21.0}, {"calls": 10.0}, 300).orderBy("i").collect()
+    assert [(r.fits, r.window_calls, r.reserved_calls, r.window_started.minute) for r in out] == [(True, 6, 6, 1), (False, 6, 6, 1), (True, 10, 10, 1), (True, 1, 11, 6), (True, 10, 20, 6), (False, 0, 20, 13)]
 
 
 def test_only_replies_to_colleagues_count(spark):

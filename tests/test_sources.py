@@ -73,7 +73,7 @@ def test_staging_findings(spark, tmp_path):
 
 
 def test_export_redacts_and_leaves_secret_paths_out(spark, tmp_path):
-    (tmp_path / "ok.txt").write_text("password = hunter2hunter2")
+    (tmp_path / "ok.txt").write_text("password = hunter2hunter2hunter2")
     (tmp_path / ".env").write_text("x")
     out = staging.export(staging.inventory(documents.read_files(spark, str(tmp_path)), tmp_path.name)).collect()
     assert [(r.path, bytes(r.content)) for r in out] == [("ok.txt", b"password = [REDACTED]")]
