@@ -1,14 +1,20 @@
 """HTML extraction by layout-aware rendering.
 
 A small tree builder reads the markup with the implied end tags of HTML (a new paragraph ends the
-open one, a new cell the open cell, and so on), drops what is never shown, and a renderer walks
-the tree: blocks stand apart, list items get their markers and indentation, cells of a table are
-padded to their columns, preformatted text keeps its white space. All visible text is emitted.
-Pages are rendered where they lie, one at a time; nothing is shuffled.
+open one, a new cell the open cell, rows that a cell lacks, and so on), drops what is never shown,
+and a renderer walks the tree: blocks stand apart, list items get their markers and indentation,
+cells of a table are padded to their columns across row and column spans, preformatted text keeps
+its white space. Content of a table that is in no cell comes before the table, as browsers show it.
+
+What hides: ``display: none``, ``hidden`` and closed dialogs hide all within; ``visibility`` hides
+text until it is set to visible further in. Style sheets count as far as their selectors are a tag,
+a class, an id or a tag with one of them. Never shown: heads, scripts, templates, fallbacks of
+embedded media, options that are not chosen. Pages are rendered where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -18,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.scratch import in_batches
+from attesta.llm.textkit import slices
+
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math canvas audio video datalist select".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist defs desc metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 ENDS_P = BLOCK - frozenset("body html legend li option optgroup td th tr tbody thead tfoot summary dd dt".split()) | frozenset(["li", "dd", "dt", "table"])
@@ -30,21 +39,24 @@ IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+SECTION = frozenset(["tbody", "thead", "tfoot"])
+CELL = frozenset(["td", "th"])
+#: Elements that a part of a table stands directly in.
+PLACE = {"td": frozenset(["tr"]), "th": frozenset(["tr"]), "tr": SECTION, "tbody": frozenset(), "thead": frozenset(), "tfoot": frozenset(), "caption": frozenset(), "colgroup": frozenset()}
+STRUCTURE = frozenset(PLACE) | frozenset(["col"])
+SPANS = 1000
 #: Elements deeper than this are read as siblings.
 DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+_GONE = re.compile(r"(?<![\w-])display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+_SHOWN = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -91,6 +103,16 @@ def parse(markup: str) -> Node:
                     break
                 if open_[i].tag in BLOCK:
                     break
+        if tag in PLACE and (base := max((i for i in range(len(open_)) if open_[i].tag == "table"), default=0)):
+            at_ = next((i for i in range(len(open_) - 1, base, -1) if open_[i].tag in PLACE[tag]), base)
+            if tag in CELL and at_ == base:  # a cell without a row makes one
+                at_ = next((i for i in range(len(open_) - 1, base, -1) if open_[i].tag in SECTION), base)
+                row = Node("tr", {})
+                open_[at_].kids.append(row)
+                del open_[at_ + 1 :]
+                open_.append(row)
+                at_ += 1
+            del open_[at_ + 1 :]
         if tag in IMPLIED:
             ended, bound = IMPLIED[tag]
             cut = None
@@ -106,16 +128,51 @@ def parse(markup: str) -> Node:
         open_[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(markup, at)
-            node.kids.append(markup[at : end.start() if end else n])
+            inside = markup[at : end.start() if end else n]
+            node.kids.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
             at = end.end() if end else n
+        elif tag == "form" and open_[-1].tag in ("table", "tr", *SECTION):
+            pass  # it stands beside the rows, which don't go into it
         elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEPTH:
             open_.append(node)
     return root
 
 
-def hidden(node: Node) -> bool:
+class Sheet:
+    """Rules of a page's style sheets that hide or show: by ``(tag, mark, name)``."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[tuple[str, str, str], str] = {}
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            if n.tag == "style":
+                text = re.sub(r"/\*.*?\*/", "", "".join(k for k in n.kids if isinstance(k, str)), flags=re.S)
+                for m in _RULE.finditer(re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^;{}]*;", "", text)):
+                    if _GONE.search(m[2]) or _SHOWN.search(m[2]):
+                        for one in m[1].split(","):
+                            if (x := _SELECTOR.fullmatch(one.strip())) and x[0]:
+                                self.rules[(x[1] or "").lower(), x[2] or "", x[3] or ""] = m[2]
+            todo += [k for k in n.kids if isinstance(k, Node)]
+
+    def style(self, node: Node) -> str:
+        """All that is said about hiding the node; its own style comes last."""
+        own = node.attrs.get("style", "")
+        if not self.rules:
+            return own
+        marks = [("", ""), *((".", c) for c in node.attrs.get("class", "").split()), ("#", node.attrs.get("id", ""))]
+        return ";".join([self.rules[k] for tag in ("", node.tag) for mark in marks if (k := (tag, *mark)) in self.rules] + [own])
+
+
+_NONE = Sheet(Node("#none", {}))
+
+
+def hidden(node: Node, sheet: Sheet = _NONE) -> bool:
+    """Whether the node and all in it is not shown."""
     a = node.attrs
-    return node.tag in UNSEEN or bool(a) and ("hidden" in a and a["hidden"].lower() != "until-found" or "style" in a and _HIDING.search(a["style"]) is not None) or node.tag == "dialog" and "open" not in a
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or "hidden" in a and a["hidden"].lower() != "until-found":
+        return True
+    return bool(a or sheet.rules) and _GONE.search(sheet.style(node)) is not None
 
 
 def _width(s: str) -> int:
@@ -125,13 +182,16 @@ def _width(s: str) -> int:
 class _Out:
     """Lines of text; ``gap`` asks for a number of line ends before the next words."""
 
-    def __init__(self):
+    def __init__(self, sheet: Sheet = _NONE, seen: bool = True):
+        self.sheet, self.seen = sheet, seen
         self.lines: list[str] = []
         self.now: list[str] = []
         self.wanted = 0
         self.blank = True
 
     def words(self, text: str, keep: bool) -> None:
+        if not self.seen:
+            return
         if keep:
             parts = text.replace("\r\n", "\n").split("\n")
             for i, p in enumerate(parts):
@@ -172,46 +232,76 @@ class _Out:
         return self.lines
 
 
-def _cells(table: Node) -> list[list[tuple[Node, int]]]:
-    rows, todo = [], [k for k in reversed(table.kids) if isinstance(k, Node)]
+def _span(cell: Node, name: str) -> int:
+    s = cell.attrs.get(name, "1")
+    return max(1, min(SPANS, int(s))) if s.isdigit() and s.isascii() and len(s) < 6 else 1
+
+
+def _parts(table: Node, sheet: Sheet) -> tuple[list, list[list[Node]]]:
+    """What stands in no cell, and the cells of each row, both in order."""
+    stray, rows = [], []
+    todo: list[tuple] = [(k, None) for k in reversed(table.kids)]
     while todo:
-        k = todo.pop()
-        if hidden(k):
+        k, row = todo.pop()
+        if not isinstance(k, Node):
+            stray.append(k)
+        elif k.tag in STRUCTURE and hidden(k, sheet):
             continue
-        if k.tag == "tr":
-            rows.append([(c, max(1, min(100, int(s)) if (s := c.attrs.get("colspan", "1")).isdigit() and s.isascii() and len(s) < 5 else 1)) for c in k.kids if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)])
-        elif k.tag in ("tbody", "thead", "tfoot"):
-            todo += [x for x in reversed(k.kids) if isinstance(x, Node)]
-    return rows
+        elif k.tag in SECTION or k.tag == "tr":
+            row = [] if k.tag == "tr" else None
+            if row is not None:
+                rows.append(row)
+            todo += [(x, row) for x in reversed(k.kids)]
+        elif k.tag in CELL and row is not None:
+            row.append(k)
+        elif k.tag not in ("colgroup", "col"):
+            stray.append(k)
+    return stray, rows
 
 
 def _table(table: Node, out: _Out, keep: bool) -> None:
-    for k in table.kids:  # captions, and text that has no place in a table
-        if not isinstance(k, Node):
-            out.words(k, keep)
-        elif k.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
+    stray, rows = _parts(table, out.sheet)
+    for k in stray:
+        if isinstance(k, Node):
             _render(k, out, keep)
             out.gap(1)
-    rows = [[(render(c), span) for c, span in row] for row in _cells(table)]
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for text, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], max(map(_width, text.split("\n"))))
-            at += span
+        else:
+            out.words(k, keep)
+    out.gap(1)
+    taken: dict[int, int] = {}  # columns that a cell of an earlier row still fills, and for how many rows
+    placed: list[list[tuple[int, int, list[str]]]] = []
     for row in rows:
-        parts = [(text.split("\n"), span) for text, span in row]
-        for i in range(max((len(p) for p, _ in parts), default=0)):
-            cells, at = [], 0
-            for lines, span in parts:
-                room = sum(widths[at : at + span]) + 3 * (span - 1)
+        here, at = [], 0
+        left = {c: n - 1 for c, n in taken.items() if n > 1}
+        for cell in row:
+            while at in taken:
+                at += 1
+            wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
+            here.append((at, wide, render(cell, out.sheet, out.seen).split("\n")))
+            if deep > 1:
+                left |= dict.fromkeys(range(at, at + wide), deep - 1)
+            at += wide
+        placed.append(here)
+        taken = left
+    # Columns in which no cell begins have no width of their own.
+    columns = sorted({at for row in placed for at, _, _ in row})
+    number = {c: i for i, c in enumerate(columns)}
+    widths = [0] * len(columns)
+    cells = [[(number[at], bisect.bisect_left(columns, at + wide) - number[at], lines) for at, wide, lines in row] for row in placed]
+    for span, first, lines in sorted((span, first, lines) for row in cells for first, span, lines in row):
+        more = max(map(_width, lines)) - sum(widths[first : first + span]) - 3 * (span - 1)
+        if more > 0:
+            widths[first + span - 1] += more
+    for row in cells:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, at = [], 0
+            for first, span, lines in row:
+                line += [" " * w for w in widths[at:first]]
                 text = lines[i] if i < len(lines) else ""
-                cells.append(text + " " * (room - _width(text)))
-                at += span
-            if "".join(cells).strip():
-                out.put(" | ".join(cells).rstrip())
+                line.append(text + " " * (sum(widths[first : first + span]) + 3 * (span - 1) - _width(text)))
+                at = first + span
+            if "".join(line).strip():
+                out.put(" | ".join(line).rstrip())
                 out.gap(1)
 
 
@@ -222,53 +312,72 @@ def _list(node: Node, out: _Out, keep: bool) -> None:
         if not isinstance(k, Node) or k.tag != "li":
             _render(k, out, keep) if isinstance(k, Node) else out.words(k, keep)
             continue
-        if hidden(k):
+        if hidden(k, out.sheet):
             continue
         mark = f"{count}. " if node.tag == "ol" else "- "
         count += 1
-        text = render(k)
+        text = render(k, out.sheet, out.seen)
         for i, line in enumerate(text.split("\n") if text else []):
             out.gap(1)
             out.put((mark if not i else " " * len(mark)) + line) if line else out.line()
         out.gap(1)
 
 
+def _options(select: Node) -> list[Node]:
+    """The options that a closed list shows: those chosen, else the first; an open list shows all."""
+    found, todo = [], list(reversed(select.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node):
+            found += [k] if k.tag == "option" else []
+            todo += reversed(k.kids) if k.tag != "option" else []
+    if "multiple" in select.attrs or select.attrs.get("size", "1") not in ("", "0", "1"):
+        return found
+    return [k for k in found if "selected" in k.attrs][-1:] or found[:1]
+
+
 def _render(node: Node, out: _Out, keep: bool) -> None:
-    if hidden(node):
+    if hidden(node, out.sheet):
         return
+    seen = out.seen
+    if (node.attrs or out.sheet.rules) and (said := _SHOWN.findall(out.sheet.style(node))):
+        out.seen = said[-1].lower() == "visible"
     tag = node.tag
     if tag == "br":
         out.line()
-        return
-    if tag == "hr":
+    elif tag == "hr":
         out.gap(1)
-        out.put("---")
+        if out.seen:
+            out.put("---")
         out.gap(1)
-        return
-    if tag == "input":
+    elif tag == "input":
         if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
             out.words(node.attrs["value"], False)
-        return
-    block = tag in BLOCK
-    if block:
-        out.gap(2 if tag in SPACED else 1)
-    if tag == "table":
-        _table(node, out, keep)
-    elif tag in ("ul", "ol", "menu", "dir"):
-        _list(node, out, keep)
     else:
-        keep = keep or tag == "pre" or tag == "textarea"
-        for k in node.kids:
-            if isinstance(k, Node):
-                _render(k, out, keep)
-            else:
-                out.words(k, keep)
-    if block:
-        out.gap(2 if tag in SPACED else 1)
-
-
-def render(node: Node) -> str:
-    out = _Out()
+        block = tag in BLOCK
+        if block:
+            out.gap(2 if tag in SPACED else 1)
+        if tag == "table":
+            _table(node, out, keep)
+        elif tag in ("ul", "ol", "menu", "dir"):
+            _list(node, out, keep)
+        else:
+            keep = keep or tag == "pre" or tag == "textarea"
+            for k in _options(node) if tag == "select" else node.kids:
+                if isinstance(k, Node):
+                    _render(k, out, keep)
+                else:
+                    out.words(k, keep)
+        if block:
+            out.gap(2 if tag in SPACED else 1)
+    out.seen = seen
+
+
+def render(node: Node, sheet: Sheet | None = None, seen: bool = True) -> str:
+    """The text of what is in the node; a page's style sheets are its own unless they are given."""
+    out = _Out(Sheet(node) if sheet is None else sheet, seen)
+    if (node.attrs or out.sheet.rules) and (said := _SHOWN.findall(out.sheet.style(node))):
+        out.seen = said[-1].lower() == "visible"
     for k in node.kids:
         if isinstance(k, Node):
             _render(k, out, node.tag == "pre")
@@ -282,19 +391,19 @@ def page_title(root: Node) -> str | None:
     while todo:
         n = todo.pop()
         if n.tag == "title":
-            return _SPACE.sub(" ", html.unescape("".join(k for k in n.kids if isinstance(k, str)))).strip()
+            return _SPACE.sub(" ", "".join(k for k in n.kids if isinstance(k, str))).strip()
         todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return None
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (p for batch in batches for p in slices(batch, "html")):
         titles, texts = [], []
-        for markup in batch.column(1).to_pylist():
+        for markup in part.column(1).to_pylist():
             root = parse(markup) if markup is not None else None
             titles.append(page_title(root) if root else None)
             texts.append(render(root) if root else None)
-        yield pa.record_batch({"page_id": batch.column(0), "title": pa.array(titles, pa.string()), "text": pa.array(texts, pa.string())})
+        yield pa.record_batch({"page_id": part.column(0), "title": pa.array(titles, pa.string()), "text": pa.array(texts, pa.string())})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -305,4 +414,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     rendered; extra columns are not read; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, title string, text string")
+    return in_batches(rows, _extract, "page_id long, title string, text string")
