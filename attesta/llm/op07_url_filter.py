@@ -3,8 +3,10 @@
 The cascade is exact for every key it was built over. Its first filter holds the listed keys; the
 second the unlisted ones that the first lets through; the third the listed ones that the second
 lets through, and so on until nothing is let through wrongly. A key's verdict is the parity of the
-first filter that misses it. Filters are bitmaps in the plan, so judging a URL is a projection:
-no join, no shuffle and no Python. Building it reads the distinct hosts only.
+first filter that misses it. Filters are bitmaps in the plan (each once), so judging a URL is a
+projection: no join, no shuffle and no Python. Building reads the distinct hosts only; the list may
+be a table, met there by the hosts and the domains above them. A list whose filters would be larger
+than ``FILTER_BYTES`` is joined to the pages by host instead, with the same verdicts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from attesta.llm.scratch import discard, stash
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Domains whose hosts are listed: fixed values.
 LISTED = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.net")
-#: A filter may not be larger than this; far beyond it, a list belongs in a table.
+#: A filter of a plan may not be larger than this.
 FILTER_BYTES = 16 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,12 +53,14 @@ def _bits(key: Column, level: int, hashes: int, size: int) -> list[Column]:
 
 
 def _has(key: Column, level: int, hashes: int, bitmap: bytes) -> Column:
-    """Whether all of the key's bits are set."""
-    found = F.lit(True)
-    for bit in _bits(key, level, hashes, len(bitmap) * 8):
+    """Whether all of the key's bits are set. The bitmap is in the expression once."""
+    positions = F.array(*_bits(key, level, hashes, len(bitmap) * 8))
+
+    def held(bit: Column) -> Column:
         byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = found & (byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0)
-    return found
+        return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+
+    return F.forall(positions, held)
 
 
 class Cascade:
@@ -66,8 +70,8 @@ class Cascade:
         self.filters = filters
 
     @classmethod
-    def build(cls, universe: DataFrame) -> Cascade:
-        """From ``universe(key, listed)``, distinct keys."""
+    def build(cls, universe: DataFrame, filter_bytes: int = FILTER_BYTES) -> Cascade | None:
+        """From ``universe(key, listed)``, distinct keys; none if a filter would be too large for a plan."""
         inside, outside = stash(universe.filter("listed").select("key"), "keys"), stash(universe.filter("not listed").select("key"), "keys")
         filters: list[tuple[int, bytes]] = []
         while n := inside.count():
@@ -76,8 +80,9 @@ class Cascade:
             rate = 0.5 if level else min(0.5, max(1e-4, n / max(1, outside.count()) / math.sqrt(2)))
             hashes = max(1, round(-math.log2(rate)))
             size = max(64, -(-int(n * hashes * 1.4427) // 64) * 64)
-            if size > FILTER_BYTES * 8:
-                raise ValueError(f"a filter of {size} bits is over the limit; give the list as a table")
+            if size > filter_bytes * 8:
+                discard(inside, outside)
+                return None
             bits = inside.select(F.explode(F.array(*_bits(F.col("key"), level, hashes, size))).alias("bit"))
             parts = bits.groupBy(F.expr("bit div 32768").alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("map")).collect()  # size / 8 bytes
             full = bytearray(-(-size // 32768) * 4096)
@@ -88,8 +93,7 @@ class Cascade:
             wrong = stash(outside.filter(_has(F.col("key"), level, hashes, bitmap)), "keys")
             discard(outside)
             inside, outside = wrong, inside
-        discard(inside)
-        discard(outside)
+        discard(inside, outside)
         return cls(filters)
 
     def listed(self, key: Column) -> Column:
@@ -100,24 +104,34 @@ class Cascade:
         return verdict
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _universe(hosts: DataFrame, listed: Sequence[str] | DataFrame) -> DataFrame:
+    """``hosts(key)`` with ``listed``: whether the key or a domain above it is in the list."""
+    if not isinstance(listed, DataFrame):
+        listed = hosts.sparkSession.createDataFrame([(n,) for n in listed], "host string")
+    names = listed.select(F.translate(listed.columns[0], _UPPER, _LOWER).alias("domain")).filter("domain <> ''").distinct().withColumn("listed", F.lit(True))
+    labels = F.split("key", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hit = hosts.select("key", F.explode(above).alias("domain")).join(names, "domain", "left_semi").select("key").distinct()
+    return hosts.join(hit.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Per row ``page_id, host, path, rule, verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins
-    and decides. Else the cascade does: block for hosts that are a listed domain or below one.
-    Null URLs and those without ``://`` have empty host and path and are allowed. Repeated rows are
-    each judged; an empty table gives no rows.
+    and decides. Else the cascade does: block for hosts that are a listed domain or below one;
+    ``listed`` is a list or a table whose first column has the domains. Null URLs and those without
+    ``://`` have empty host and path and are allowed. Repeated rows are each judged; extra columns
+    are not read; an empty table gives no rows.
     """
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     parts = read.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    names = [n.translate(str.maketrans(_UPPER, _LOWER)) for n in listed]
-    below = F.lit(False)
-    for n in names:
-        below = below | (F.col("key") == n) | F.col("key").endswith("." + n)
-    universe = read.select(host_of(F.col("url")).alias("key")).distinct().withColumn("listed", below)
-    cascade = Cascade.build(universe)
+    universe = _universe(read.select(host_of(F.col("url")).alias("key")).distinct(), listed)
+    cascade = Cascade.build(universe, filter_bytes)
+    if cascade is None:
+        parts = parts.join(universe.select(F.col("key").alias("host"), F.col("listed").alias("is_listed")), "host", "left")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(cascade.listed(F.col("host")), "block").otherwise("allow")
+    method = F.when(cascade.listed(F.col("host")) if cascade is not None else F.col("is_listed"), "block").otherwise("allow")
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"))
 
 
