@@ -53,6 +53,33 @@ def test_html_layout():
     assert render(parse(page)).split("\n") == ["A", "", "one two three", "four", "", "- a", "- b", "", "  3. c", "", "Name  | V", "alpha | 1", "", " x", "  y", "", "<end>"]
 
 
+PAGES = {
+    "<table>loose<tr>text in row<td>a<td>b<tbody><div>in body</div><tr><form><td>q</td></form><td>r</table>": ["loosetext in row", "in body", "a | b", "q | r"],
+    "<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td colspan=2>wide cell here<tr><td>x<td>y</table>": ["A | b1", "  | b2", "wide cell here", "x | y"],
+    "<table><td>no row<td>two<tr><td>next</table>after": ["no row | two", "next", "", "after"],
+    "<table><tr><td>a<table><tr><td>i1<td>i2</table><td>b</table>": ["a       | b", "i1 | i2 |"],
+    "<textarea>a &amp; b</textarea><title>t &lt; u</title>": ["a & b"],
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>": ["yes"],
+    "<style>/* x */ .gone, #off { display:none } @media print { p { display: none } } i.dim{visibility:hidden}</style><p class='a gone'>no<p id=off>no<p>yes<i class=dim>no</i>": ["yes"],
+    "<select><option>one<option selected>two<option>three</select> <select multiple><option>p<option>q</select>": ["two", "p", "q"],
+    "<svg><title>no</title><text>label</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>": ["label x=1"],
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_all_visible_text_is_there(page):
+    assert [x.rstrip() for x in render(parse(page)).split("\n")] == PAGES[page]
+
+
+def test_every_word_of_a_broken_table_is_there():
+    rng = random.Random(5)
+    tags = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "<td rowspan=3>", "<th colspan=2>", "</td>", "<tbody>", "<div>", "</div>", "<form>", "<p>", "<li>", "<caption>", "<span>", "</tbody>"]
+    for _ in range(400):
+        words_ = [f"w{i}" for i in range(rng.randrange(1, 25))]
+        got = render(parse("".join(x for w in words_ for x in (*rng.choices(tags, k=rng.randrange(4)), f" {w} "))))
+        assert sorted(x for x in got.replace("|", " ").split() if x != "-") == sorted(words_)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 5000, "<p " + 'a="' * 5000, "<" * 20000, "<!--" * 5000, "<ul><li>" * 3000, "<table>" * 3000, "</p>" * 5000, "&#x110000;&bogus;", "<a b='c>d", "<script>", "<td>x", "\x00<p>\x00"])
 def test_html_that_is_broken(page):
     assert isinstance(render(parse(page)), str)
@@ -81,6 +108,14 @@ def test_url_verdicts_equal_sql(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def test_a_listed_table_and_one_too_large_for_a_plan(spark):
+    df = spark.createDataFrame([(i, f"http://a{i % 7}.b{i % 11}.org/x") for i in range(300)] + [(400, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("B3.org",), ("a5.b7.org",), ("other.net",), (None,)], "domain string")
+    want = {i: "block" if i % 11 == 3 or i % 7 == 5 and i % 11 == 7 else "allow" for i in range(300)} | {400: "allow"}
+    for size in (1 << 20, 1):
+        assert {r.page_id: r.verdict for r in judge(df, listed=listed, filter_bytes=size).collect()} == want
+
+
 @pytest.mark.parametrize("share", [0, 1, 3, 50, 100])
 def test_cascade_is_exact(spark, share):
     u = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 100 < share).alias("listed"))
