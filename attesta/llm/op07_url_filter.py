@@ -107,7 +107,7 @@ class Cascade:
 def _universe(hosts: DataFrame, listed: Sequence[str] | DataFrame) -> DataFrame:
     """``hosts(key)`` with ``listed``: whether the key or a domain above it is in the list."""
     if not isinstance(listed, DataFrame):
-        listed = hosts.sparkSession.createDataFrame([(n,) for n in listed], "host string")
+        listed = hosts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in listed]).cast("array<string>")).alias("host"))
     names = listed.select(F.translate(listed.columns[0], _UPPER, _LOWER).alias("domain")).filter("domain <> ''").distinct().withColumn("listed", F.lit(True))
     labels = F.split("key", "\\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
