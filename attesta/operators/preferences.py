@@ -35,17 +35,21 @@ def resolve(rows: DataFrame, scope: dict[str, str], at: Column, complete: bool =
     """Current preferences that apply to ``scope``: narrower ones dominate wider ones of the same key.
 
     ``dominated``, ``conflict`` (several undominated ones of a key) and ``applicable``; an
-    incomplete history gives no applicable preference.
+    incomplete history gives no applicable preference. Rows of different owners or contexts, where
+    there are such columns, have nothing to do with each other.
     """
+    own = [c for c in ("owner_id", "context_id") if c in rows.columns]
     wanted = F.create_map(*[F.lit(x) for kv in scope.items() for x in kv]) if scope else F.create_map().cast("map<string,string>")
     seen = status(rows, at).filter(within(F.col("scope"), wanted))
     live = seen.filter("status = 'current'")
-    a, b = live.alias("a"), live.select("id", "key", "scope").alias("b")
+    a, b = live.alias("a"), live.select("id", "key", "scope", *own).alias("b")
     wider = within(F.col("a.scope"), F.col("b.scope")) & (F.size("b.scope") > F.size("a.scope"))
+    for c in own:
+        wider = wider & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     beaten = a.join(b, (F.col("a.key") == F.col("b.key")) & wider, "left_semi").select(F.col("id")).withColumn("dominated", F.lit(True))
     out = seen.join(beaten, "id", "left").withColumn("dominated", F.coalesce("dominated", F.lit(False)))
     top = (F.col("status") == "current") & ~F.col("dominated")
-    rivals = F.count_if(top).over(Window.partitionBy("key"))
+    rivals = F.count_if(top).over(Window.partitionBy("key", *own))
     return out.withColumns({"conflict": top & (rivals > 1), "applicable": top & (rivals == 1) & F.lit(complete)})
 
 
