@@ -435,10 +435,13 @@ def preference_status(t):
     return preferences.status(rows, F.expr("timestamp_ntz '2024-01-20'")).select(F.col("id").alias("event_id"), "status")
 
 
-@query()
+@query("""with p as (select event_id, user_id, event_type as key, event_id % 3 = 0 as narrow, ts <= timestamp '2024-01-25' as live from events),
+d as (select *, live and not narrow and bool_or(live and narrow) over (partition by user_id, key) as dominated from p),
+n as (select *, count(case when live and not dominated then 1 end) over (partition by user_id, key) as rivals from d)
+select event_id::varchar as id, user_id as context_id, key, case when live then 'current' else 'future' end as status, dominated, live and not dominated and rivals > 1 as conflict, live and not dominated and rivals = 1 as applicable from n""")
 def preference_resolution(t):
-    rows = t.events.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("key"), F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("genre"), F.lit("forum"))).otherwise(F.create_map().cast("map<string,string>")).alias("scope"), F.lit("user_report").alias("evidence_kind"), F.lit("active").alias("state"), F.col("ts").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.array().cast("array<string>").alias("supersedes"), F.col("ts").alias("recorded_at")).filter(F.col("value") > 95)
-    return preferences.resolve(rows, {"genre": "forum"}, F.expr("timestamp_ntz '2024-01-25'")).select("id", "key", "status", "dominated", "conflict", "applicable")
+    rows = t.events.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").alias("context_id"), F.col("event_type").alias("key"), F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("genre"), F.lit("forum"))).otherwise(F.create_map().cast("map<string,string>")).alias("scope"), F.lit("user_report").alias("evidence_kind"), F.lit("active").alias("state"), F.col("ts").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.array().cast("array<string>").alias("supersedes"), F.col("ts").alias("recorded_at"))
+    return preferences.resolve(rows, {"genre": "forum"}, F.expr("timestamp_ntz '2024-01-25'")).select("id", "context_id", "key", "status", "dominated", "conflict", "applicable")
 
 
 @query("""with r as (select event_id, user_id, event_type || (event_id % 40) as k, event_id % 5 as fp, event_id % 7 = 0 as bad from events),
@@ -606,7 +609,10 @@ def attention_overview(t):
 # Local time
 
 
-@query()
+_STATE = "case when timezone('Europe/Lisbon', timezone('Europe/Lisbon', {0})) <> {0} then 'nonexistent' when timezone('Europe/Lisbon', timezone('Europe/Lisbon', {0}) - interval 1 hour) = {0} or timezone('Europe/Lisbon', timezone('Europe/Lisbon', {0}) + interval 1 hour) = {0} then 'ambiguous' else 'unique' end"
+
+
+@query(f"with e as (select event_id, ts, timestamp '2024-03-31 01:30:00' + interval (event_id % 3) hour as spring from events) select event_id, {_STATE.format('ts')} as state, {_STATE.format('spring')} as spring_state from e")
 def local_time_tristate(t):
     e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("local"))
     spring = F.timestamp_micros(F.unix_micros(F.lit("2024-03-31 01:30:00").cast("timestamp")) + (F.col("event_id") % 3) * 3_600_000_000)
@@ -708,6 +714,8 @@ def round_robin_turns(t):
     return lifecycle.next_in_turn(t.events.select("user_id").distinct(), "user_id", 0).select(F.col("turn").cast("long").alias("turn"), "user_id")
 
 
-@query()
+@query("""with h as (select doc_id, text, sha256(concat_ws(chr(31), source, text)) as h from documents)
+select doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (('0x' || substring(h, 17, 1))::int % 4 + 1)::bigint, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) as uuid,
+  sha1(('blob ' || strlen(text))::blob || '\\x00'::blob || encode(text)) as git_blob from h""")
 def document_digest_ids(t):
     return t.documents.select("doc_id", hashing.stable_uuid(F.col("source"), F.col("text")).alias("uuid"), hashing.git_blob_id(F.col("text")).alias("git_blob"))
