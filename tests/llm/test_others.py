@@ -258,6 +258,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in run) == sorted((r.doc_id, r.n_tokens) for r in out)
 
 
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long, "en", "s", 0, "k"), (1, long, "en", "s", 0, "k"), (None, long, None, None, 0, "k"), (2, None, "en", "s", 0, "k"), (3, "", None, "s", 0, "k"), (None, "a text of its own without an id", None, None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).select(df.columns).collect(), df.schema)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert sorted((r.doc_id or 0, r.text, r.key) for r in docs.collect()) == [(0, "a text of its own without an id", "k"), (1, long, "k")]
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, docs, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] == 30_008 and packed(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registry_has_each_operator():
     import __spark_entry__
 
