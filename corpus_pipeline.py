@@ -6,8 +6,13 @@
 4. benchmark decontamination (4): documents that hold a test item go
 5. best-fit packing (9): the remaining documents are packed into bins
 
-All stages but the last return the columns of ``documents``. ``labels`` and ``benchmark`` are read
-from the same folder.
+All stages but the last return the columns of ``documents``, extra ones too. ``labels`` and
+``benchmark`` are read from the same folder.
+
+Null and empty texts go in stage 1, since they have no perplexity. Rows that repeat a doc_id with the
+same text are one document after stage 2; with another text each is a document. Null ids are judged in
+stages 1, 2 and 4, have no repeats to cut in stage 3, and are packed like others. Of equal candidates the
+smaller doc_id stays. Very long texts are read whole and packed in pieces. An empty table stays empty.
 """
 
 from __future__ import annotations
