@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Edge kinds from strongest to weakest: fixed values.
 PRECEDENCE = ("required", "related", "suggested", "has_content", "section_related", "references")
+#: The right that stands where edges declare none or several: a fixed value.
+NO_RIGHTS = "private source; redistribution not authorized"
 
 
 def strongest(kind: str = "kind", order: Sequence[str] = PRECEDENCE) -> Column:
@@ -63,12 +65,32 @@ def study_graph(relations: DataFrame, entities: DataFrame, focal: DataFrame) ->
 
 
 def package(graph: DataFrame, files: DataFrame) -> DataFrame:
-    """Materials with their files: the right to use them if all edges agree, and whether a file must be chosen."""
+    """Materials with their files, and whether a file must be chosen."""
     f = files.groupBy("owner_id", F.col("entity_id").alias("material_id")).agg(F.count("*").alias("file_count"), F.sort_array(F.collect_list(F.struct("name", "id"))).alias("files"))
     out = graph.join(f, ["owner_id", "material_id"], "left").withColumn("file_count", F.coalesce("file_count", F.lit(0)))
     return out.withColumns({"selection_required": F.col("file_count") >= 2, "bibliography": F.col("relation") == "references"})
 
 
+def study_entries(packages: DataFrame, declared: DataFrame) -> DataFrame:
+    """A package as entries: a material that is also cited is one entry as a ``reference`` and one in its other role.
+
+    ``declared(owner_id, activity_id, material_id, kind, rights)`` are rights by edge. An entry has the
+    right that the edges of its own kinds agree on; where they differ or say nothing it falls back to
+    none to redistribute, and differing ones need a review. All rights stay in ``rights_by_relation``.
+    """
+    keys = ["owner_id", "activity_id", "material_id"]
+    each = declared.filter("rights is not null").groupBy(*keys, "kind").agg(F.max("rights").alias("rights"))
+    by = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "rights"))).alias("rights_by_relation"))
+    other = F.filter("kinds", lambda k: k != "references")
+    role = F.when(F.col("relation").isin("required", "suggested"), F.col("relation")).otherwise("related")
+    cited = F.when(F.array_contains("kinds", "references"), F.struct(F.lit("reference").alias("role"), F.array(F.lit("references")).alias("of")))
+    used = F.when(F.size(other) > 0, F.struct(role.alias("role"), other.alias("of")))
+    out = packages.join(by, keys, "left").withColumn("_e", F.explode(F.array_compact(F.array(cited, used))))
+    agreed = F.coalesce(F.array_distinct(F.array_compact(F.transform("_e.of", lambda k: F.element_at("rights_by_relation", k)))), F.array().cast("array<string>"))
+    out = out.withColumns({"role": F.col("_e.role"), "_agreed": agreed})
+    return out.withColumns({"rights": F.when(F.size("_agreed") == 1, F.get("_agreed", F.lit(0))).otherwise(NO_RIGHTS), "rights_requires_review": F.size("_agreed") > 1}).drop("_e", "_agreed")
+
+
 def unique_targets(bindings: DataFrame, context: Sequence[str], target: str) -> DataFrame:
     """Contexts with exactly one distinct target, and that target."""
     return bindings.groupBy(*context).agg(F.count_distinct(target).alias("_n"), F.min(target).alias(target)).filter("_n = 1").drop("_n")

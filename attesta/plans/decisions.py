@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import followup, requests
+from attesta.operators import followup, graph, qualification, requests
 from attesta.plans.queries import query
 
 _pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
@@ -149,6 +149,47 @@ def attribute_resources(t):
     return requests.resources_of(modules, resources).select("activity_id", "resource_id")
 
 
+# Rights and qualified states
+
+
+@query("""with r as (select l_orderkey as a, l_partkey as m, case l_returnflag when 'R' then 'required' when 'A' then 'suggested' else 'references' end as kind, max(case when l_suppkey % 4 > 0 then 'r' || l_suppkey % 3 end) as rights from lineitem where l_orderkey is not null and l_partkey is not null group by all),
+e as (select a, m, case when kind = 'references' then 'reference' else (case when bool_or(kind = 'required') over (partition by a, m) then 'required' else 'suggested' end) end as role, rights from r)
+select a as activity_id, m as material_id, role, case when count(distinct rights) = 1 then min(rights) else 'private source; redistribution not authorized' end as rights, count(distinct rights) > 1 as rights_requires_review from e group by 1, 2, 3""")
+def study_entries(t):
+    kind = F.expr("case l_returnflag when 'R' then 'required' when 'A' then 'suggested' else 'references' end")
+    rows = t.lineitem.filter("l_orderkey is not null and l_partkey is not null").select(F.lit("o").alias("owner_id"), F.col("l_orderkey").alias("activity_id"), F.col("l_partkey").alias("material_id"), kind.alias("kind"), F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string"))).alias("rights"))
+    packed = rows.groupBy("owner_id", "activity_id", "material_id").agg(graph.strongest().alias("relation"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+    return graph.study_entries(packed, rows).select("activity_id", "material_id", "role", "rights", "rights_requires_review")
+
+
+@query("select o_custkey as entity_id, arg_min(o_orderstatus, o_orderkey) as state, arg_min(o_orderkey, o_orderkey)::varchar as timecompleted from orders where o_custkey is not null and o_orderkey % 3 > 0 group by 1")
+def completion_trackers(t):
+    o, k = F.lit("o").alias("owner_id"), F.col("o_orderkey")
+    relations = t.orders.filter("o_custkey is not null").select(o, F.col("o_custkey").alias("from_id"), k.alias("to_id"), F.lit("tracks_completion").alias("kind"))
+    entities = t.orders.select(o, k.alias("id"), F.when(k % 3 > 0, "completion_activity").otherwise("course").alias("kind"), F.to_json(F.struct(F.col("o_orderstatus").alias("state"), k.alias("timecompleted"))).alias("state"))
+    return qualification.completion_trackers(relations, entities).select("entity_id", "state", "timecompleted")
+
+
+@query("""with a as (select c_custkey as k, k % 9 > 0 as seen, case when k % 5 > 0 then k % 3 end as me, case when k % 9 > 0 then k % 3 + (k % 11 = 0)::int end as author, case when k % 9 > 0 and k % 2 = 0 then k % 3 + (k % 13 = 0)::int end as subject from customer where c_custkey % 6 > 0)
+select k as entity_id, case when me is not null and subject = me then 'provenance_subject_userid' when subject is null and author = me then 'submission_userid' end as authorship_basis, case when seen then 'submitted' end as status,
+array_to_string(list_filter([case when not seen then 'no_preserved_observation' end, case when not seen or k % 8 = 0 then 'observation_not_from_moodle' end, case when not seen or k % 3 = 2 then 'invalid_observation_coverage' end, case when not seen or k % 10 = 0 then 'connection_mismatch' end,
+case when author is not null and author is distinct from me then 'submission_author_mismatch' end, case when me is null then 'connection_subject_unknown' end, case when me is not null and subject <> me then 'observation_author_mismatch' end, case when me is not null and subject is null and author is distinct from me then 'author_not_declared' end,
+case when k % 7 = 0 then 'course_id_mismatch' end, case when k % 12 = 1 then 'instance_id_mismatch' end], lambda x: x is not null), ';') as reasons from a""")
+def own_submission_status(t):
+    k, o = F.col("c_custkey"), F.lit("o").alias("owner_id")
+    state = lambda course, instance: F.to_json(F.struct(course.alias("course_id"), instance.alias("instance_id"))).alias("state")
+    base = t.customer
+    assignments = base.select(o, k.alias("entity_id"), F.lit("c").alias("connection_id"), F.when(k % 5 > 0, (k % 3).cast("string")).otherwise("").alias("provider_subject"), state(k % 4, k))
+    linked = base.filter("c_custkey % 6 > 0")
+    relations = linked.select(o, k.alias("from_id"), k.alias("to_id"), F.lit("has_own_submission_status").alias("kind"))
+    statuses = base.select(o, k.alias("id"), F.lit("c").alias("connection_id"), F.lit("own_submission_status").alias("kind"), state(F.when(k % 7 > 0, k % 4), F.when(k % 12 != 1, k)))
+    attempt = F.struct(F.struct(F.lit("SUBMITTED").alias("status"), (k % 3 + (k % 11 == 0).cast("int")).alias("userid")).alias("submission"))
+    content = F.when(k % 4 == 0, F.to_json(F.struct(F.struct(attempt.alias("lastattempt")).alias("data")))).otherwise(F.to_json(F.struct(attempt.alias("lastattempt"))))
+    origin = F.to_json(F.struct(F.when(k % 8 > 0, "moodle").otherwise("host").alias("system"), F.when(k % 10 > 0, "c").otherwise("d").alias("connection_id"), F.when(k % 2 == 0, k % 3 + (k % 13 == 0).cast("int")).alias("subject_userid")))
+    newest = base.filter("c_custkey % 9 > 0").select(o, k.alias("entity_id"), k.alias("observation_id"), content.alias("content"), _pick(["complete", "partial", "denied"], k % 3).alias("coverage"), origin.alias("provenance"))
+    return qualification.own_submission_status(assignments, relations, statuses, newest).select("entity_id", "authorship_basis", "status", F.array_join("reasons", ";").alias("reasons"))
+
+
 # Follow-up policies
 
 
