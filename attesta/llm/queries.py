@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import op03_licenses, op07_url_filter
+from attesta.llm import op03_licenses, op07_url_filter, op11_middle
 from attesta.llm.op01_jaccard import jaccard_components
 from attesta.llm.op02_language import identify
 from attesta.llm.op04_decontaminate import contaminated
@@ -62,6 +62,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_middle.digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -73,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op3_license_scan": op03_licenses.oracle(),
     "op7_url_filter": op07_url_filter.oracle(),
+    "op11_fill_in_middle": op11_middle.oracle(),
 }
