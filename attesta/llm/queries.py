@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import op03_licenses, op07_url_filter, op11_middle
+from attesta.llm import op03_licenses, op07_url_filter, op11_middle, op12_variants
 from attesta.llm.op01_jaccard import jaccard_components
 from attesta.llm.op02_language import identify
 from attesta.llm.op04_decontaminate import contaminated
@@ -66,6 +66,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_middle.digests(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_variants.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -78,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
     "op3_license_scan": op03_licenses.oracle(),
     "op7_url_filter": op07_url_filter.oracle(),
     "op11_fill_in_middle": op11_middle.oracle(),
+    "op12_spelling_variants": op12_variants.oracle(),
 }
