@@ -15,6 +15,7 @@ from attesta.llm.op06_substrings import repeated_passages
 from attesta.llm.op08_quality import quality
 from attesta.llm.op09_packing import pack_documents
 from attesta.llm.op10_neighbours import neighbours
+from attesta.llm.op13_maxent import score
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_variants.spelling_variants(_read(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {
