@@ -60,4 +60,6 @@ def own_submission_status(assignments: DataFrame, relations: DataFrame, statuses
     ]
     reasons = F.array_compact(F.array(*[F.when(c, name) for c, name in against]))
     basis = F.when(by_provenance, "provenance_subject_userid").when(by_submission, "submission_userid")
-    return out.withColumns({"reasons": reasons, "authorship_basis": basis, "status": F.lower(F.get_json_object("_sub", "$.status"))}).select("owner_id", "entity_id", "status_entity_id", "observation_id", (F.size("reasons") == 0).alias("qualified"), "reasons", "authorship_basis", "status")
+    return out.withColumns({"reasons": reasons, "authorship_basis": basis, "status": F.lower(F.get_json_object("_sub", "$.status")), "feedback_available": F.coalesce(F.get_json_object("content", "$.feedback.available") == "true", F.lit(False))}).select(
+        "owner_id", "entity_id", "status_entity_id", "observation_id", (F.size("reasons") == 0).alias("qualified"), "reasons", "authorship_basis", "status", "feedback_available"
+    )
