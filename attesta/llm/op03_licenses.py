@@ -1,9 +1,14 @@
 """License scan by canonical digests.
 
 A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent
-spellings made one, punctuation and white space reduced to single blanks. The SHA-256 of an entire
-text is then joined to the digests of known license texts and notices. Entire texts are the
-documents and, as notices stand on lines of their own, every one of their lines.
+spellings made one, punctuation and white space (and with them comment marks) reduced to single
+blanks. The SHA-256 of an entire text is then joined to the digests of known license texts and
+notices. Entire texts are the documents, the same without lines that are a license's title or
+reserve all rights, and, as notices stand on lines of their own, every one of their lines.
+
+A copyright line is one that begins, behind comment marks at most, with ``copyright`` and has a year,
+``(c)`` or the sign, or with one of the latter two and has a year: a sentence of a license that is
+wrapped at the word ``copyright`` stays.
 """
 
 from __future__ import annotations
@@ -19,6 +24,12 @@ from pyspark.sql import functions as F
 #: Spellings that count as one: fixed values.
 SPELLINGS = (("sublicence", "sublicense"), ("licence", "license"), ("organisation", "organization"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright holder", "copyright owner"), ("per cent", "percent"))
 
+#: Lines that are a license's title, or that reserve all rights, in canonical form: fixed values.
+TITLES = (
+    "mit license", "the mit license", "the mit license mit", "mit license mit", "expat license", "isc license", "the isc license", "isc license isc", "bsd 2 clause license", "the bsd 2 clause license", "bsd 2 clause simplified license", "simplified bsd license",
+    "bsd 3 clause license", "the bsd 3 clause license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "bsd license", "the bsd license", "bsd zero clause license", "zero clause bsd", "zlib license", "the zlib license", "mit no attribution", "the unlicense", "all rights reserved",
+)
+
 #: Known texts: fixed values. Notices first, then whole short licenses.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -43,9 +54,26 @@ KNOWN = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
 )
 
+#: SHA-256 of the canonical form of whole license files as their stewards publish them: fixed values.
+PUBLISHED = (
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "bd8e32052e49e6b79fccbdd5dc03f7d40e45a8e895e3ecb79394b97961ffb127"),
+    ("GFDL-1.3", "e7579a53c7b8214f091590d94bfe39deb978a080895ca5506448b8baf4f77985"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "42de4913c0ec220db6e274a84efcdc7a52715762d22943334032232048072bc1"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copyright lines; a line ends at a line feed alone.
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+_COPYRIGHT = r"(?m)^[ \t\r#*/;%!<>.-]*(dnl |rem )?[ \t]*(copyright[^\n]*([0-9][0-9][0-9][0-9]|\(c\)|©|yyyy|<year>)|(\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9])[^\n]*$"
 _BREAKS = r"[\s!-/:-@\[-`{-~“”‘’–—©]+"
 
 
@@ -65,12 +93,25 @@ def _in_lines(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    return _spelled(F.trim(F.regexp_replace(_in_lines(text), "[ \n]+", " ")))
+    return _whole(_in_lines(text))
+
+
+def _whole(lines: Column) -> Column:
+    return _spelled(F.trim(F.regexp_replace(lines, "[ \n]+", " ")))
+
+
+def _each(lines: Column) -> Column:
+    return F.transform(F.split(lines, "\n"), lambda x: _spelled(F.trim(x)))
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line."""
-    return F.transform(F.split(_in_lines(text), "\n"), lambda x: _spelled(F.trim(x)))
+    return _each(_in_lines(text))
+
+
+def _bare(lines: Column) -> Column:
+    """From canonical lines, the text without titles."""
+    return _spelled(F.array_join(F.filter(lines, lambda x: (x != "") & ~x.isin(*TITLES)), " "))
 
 
 def canonical_text(text: str) -> str:
@@ -82,11 +123,34 @@ def canonical_text(text: str) -> str:
     return out
 
 
+def bare_text(text: str) -> str:
+    """The canonical form without title lines, on the driver."""
+    lines = re.sub(_COPYRIGHT, " ", text.translate(str.maketrans(_UPPER, _LOWER))).split("\n")
+    out = " ".join(x for x in map(canonical_text, lines) if x and x not in TITLES)
+    for a, b in SPELLINGS:
+        out = out.replace(a, b)
+    return out
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: What tells the digest of a text without titles from that of a whole text.
+_MARK = "without titles: "
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """``(digest, license)``, one row per digest; of texts with one form the first listed names it (the least name, in a table)."""
     if isinstance(known, DataFrame):
-        return known.filter("text is not null").groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
-    rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in reversed(known)}
+        text = known.filter("text is not null").select("license", _in_lines(F.col("text")).alias("lines"))
+        forms = text.select("license", F.explode(F.array(_whole(F.col("lines")), F.concat(F.lit(_MARK), _bare(_each(F.col("lines")))))).alias("form")).filter(F.col("form") != _MARK)
+        return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+    rows = {d: name for name, d in PUBLISHED} if known is KNOWN else {}
+    for name, t in reversed(known):
+        rows[_sha(canonical_text(t))] = name
+        if bare := bare_text(t):
+            rows[_sha(_MARK + bare)] = name
     return F.broadcast(spark.createDataFrame(sorted(rows.items()), "digest string, license string"))  # a list in this process: small
 
 
@@ -94,19 +158,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     """Per row ``doc_id, digest, license, notices, n_notices``.
 
     ``known`` is a list of ``(license, text)`` or a table with these columns, of any size. ``digest``
-    is the canonical whole text's, ``license`` the known text it is, else null; ``notices`` are the
+    is the canonical whole text's, ``license`` the known text it is, if need be without its titles,
+    else null; ``notices`` are the
     names of known texts that are lines of it, sorted, joined by ``;``. Null text has a null digest
     and no notices; empty text has the digest of nothing. Rows that repeat are each answered; extra
     columns are not read; an empty table gives no rows.
     """
-    text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # Place 0 is the whole text, the others its lines: one scan, and only digests are joined and grouped.
-    entire = F.concat(F.array(canonical(text)), F.coalesce(canonical_lines(text), F.array().cast("array<string>")))
-    digests = rows.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(F.transform(entire, lambda x: F.sha2(x, 256))).alias("place", "digest"), (F.col("text") == "").alias("blank"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("same"), (F.col("text") == "").alias("blank"), _in_lines(F.col("text")).alias("flat"))
+    rows = rows.select("doc_id", "same", "blank", _whole(F.col("flat")).alias("whole"), F.coalesce(_each(F.col("flat")), F.array().cast("array<string>")).alias("lines"))
+    # Place 0 is the whole text, 1 the same without titles, the others its lines: one scan, and only digests are joined and grouped.
+    bare = F.concat(F.lit(_MARK), _bare(F.col("lines")))
+    entire = F.concat(F.array("whole", F.when(bare != _MARK, bare)), F.filter("lines", lambda x: x != ""))
+    digests = rows.select("doc_id", "same", "blank", F.posexplode(F.transform(entire, lambda x: F.sha2(x, 256))).alias("place", "digest")).filter("place = 0 or digest is not null")
     found = digests.join(known_digests(docs.sparkSession, known), "digest", "left").filter("place = 0 or license is not null and not blank")
-    whole = F.col("place") == 0
-    out = found.groupBy("doc_id", "same").agg(F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("license"))).alias("license"), F.sort_array(F.collect_set(F.when(~whole, F.col("license")))).alias("names"), F.count_if(whole).alias("copies"))
+    at = F.col("place")
+    out = found.groupBy("doc_id", "same").agg(
+        F.max(F.when(at == 0, F.col("digest"))).alias("digest"), F.coalesce(F.max(F.when(at == 0, F.col("license"))), F.max(F.when(at == 1, F.col("license")))).alias("license"),
+        F.sort_array(F.collect_set(F.when(at > 1, F.col("license")))).alias("names"), F.count_if(at == 0).alias("copies"),
+    )
     return out.select("doc_id", "digest", "license", F.array_join("names", ";").alias("notices"), F.size("names").cast("long").alias("n_notices"), F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
 
 
@@ -121,12 +191,23 @@ def oracle(known=KNOWN) -> str:
             out = f"replace({out}, '{a}', '{b}')"
         return out
 
+    titles = ", ".join(map(quoted, TITLES))
+    cut = lambda x: f"regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), {quoted(_COPYRIGHT)}, ' ', 'g')"
+
+    def spelled(x: str) -> str:
+        for a, b in SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        return x
+
+    bare = lambda x: spelled(f"list_aggregate(list_filter(list_transform(string_split({cut(x)}, chr(10)), lambda l: {form('l')}), lambda l: l <> '' and l not in ({titles})), 'string_agg', ' ')")
     rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(known))
+    more = "".join(f" union all select {len(known) + i}, {quoted(n)}, '{d}'" for i, (n, d) in enumerate(PUBLISHED)) if known is KNOWN else ""
     return f"""with texts(pos, license, text) as (values {rows}),
-known as (select digest, arg_min(license, pos) as license from (select pos, license, sha256({form('text')}) as digest from texts) group by digest),
-docs as (select row_number() over () as rid, doc_id, text, sha256({form('text')}) as digest from documents),
+forms as (select pos, license, sha256({form('text')}) as digest from texts union all select pos, license, sha256('{_MARK}' || {bare('text')}) from texts where coalesce({bare('text')}, '') <> ''{more}),
+known as (select digest, arg_min(license, pos) as license from forms group by digest),
+docs as (select row_number() over () as rid, doc_id, text, sha256({form('text')}) as digest, sha256('{_MARK}' || nullif({bare('text')}, '')) as bare from documents),
 lines as (select rid, unnest(string_split(text, chr(10))) as line from docs),
 found as (select rid, string_agg(distinct license, ';' order by license) as notices, count(distinct license) as n
   from lines join known on sha256({form('line')}) = known.digest where line <> '' group by rid)
-select d.doc_id, d.digest, k.license, coalesce(f.notices, '') as notices, coalesce(f.n, 0)::bigint as n_notices
-from docs d left join known k on d.digest = k.digest left join found f on f.rid = d.rid"""
+select d.doc_id, d.digest, coalesce(k.license, b.license) as license, coalesce(f.notices, '') as notices, coalesce(f.n, 0)::bigint as n_notices
+from docs d left join known k on d.digest = k.digest left join known b on d.bare = b.digest left join found f on f.rid = d.rid"""

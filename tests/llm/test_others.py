@@ -281,3 +281,53 @@ def test_registry_has_each_operator():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def _wrapped(text, width=70):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_license_files_as_they_are_distributed(spark):
+    by_name = {n: t for n, t in KNOWN if len(t) > 400}
+    mit, bsd2, bsd3, isc = by_name["MIT"], by_name["BSD-2-Clause"], by_name["BSD-3-Clause"], by_name["ISC"]
+    comment = lambda mark, t: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2021 Some One\n\n" + _wrapped(mit, 78)),
+        (2, "The MIT License (MIT)\n=====================\n\nCopyright © 2015-2020 A, B and C\n\n" + _wrapped(mit)),
+        (3, "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + _wrapped(bsd2)),
+        (4, "BSD 3-Clause License\n\nCopyright 2019 X. All rights reserved.\n\n" + _wrapped(bsd3, 60)),
+        (5, "ISC License\n\nCopyright 2020 Y\n\n" + _wrapped(isc, 66)),
+        (6, comment("#", "Copyright 2020 Z\n\n" + _wrapped(mit))),
+        (7, comment("//", "Copyright (C) 2020 Z\n" + by_name["GPL-3.0"])),
+        (8, "/*\n" + comment(" *", "Copyright 2020 Z\n\n" + _wrapped(bsd2)) + "\n */\n"),
+        (9, _wrapped(mit).replace("without restriction", "with restrictions")),
+        (10, "MIT License"),
+        (11, "Notes on the text\n" + mit),
+        (12, "Copyright law is what this document is about.\n" + mit),
+        (13, "MIT License\nAll rights reserved."),
+    ]
+    assert any(line.startswith("copyright notice") for t in (rows[4][1],) for line in t.lower().split("\n")) or "copyright notice" in rows[4][1]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, place int")
+    got = {r.doc_id: r.license for r in scan(docs).collect()}
+    want = {1: "MIT", 2: "MIT", 3: "BSD-2-Clause", 4: "BSD-3-Clause", 5: "ISC", 6: "MIT", 7: "GPL-3.0", 8: "BSD-2-Clause"}
+    assert got == {i: want.get(i) for i, _ in rows}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[2] for r in con.sql(op03_licenses.oracle()).fetchall()} == got
+    table = spark.createDataFrame(list(KNOWN), "license string, text string")
+    assert {r.doc_id: r.license for r in scan(docs, known=table).collect()} == got
+
+
+def test_published_license_files(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{n}") for n in names):
+        pytest.skip("no license files here")
+    texts = {n: open(f"{folder}/{n}", encoding="utf-8").read() for n in names}
+    rows = list(enumerate(texts.values())) + [(10, texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 A Company")), (11, texts["GPL-3"].replace("\n", "\r\n").upper()), (12, texts["MPL-2.0"] + "one more word")]
+    got = {r.doc_id: r.license for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(names.values())), 10: "Apache-2.0", 11: "GPL-3.0", 12: None}
