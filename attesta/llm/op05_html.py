@@ -6,10 +6,13 @@ and a renderer walks the tree: blocks stand apart, list items get their markers
 cells of a table are padded to their columns across row and column spans, preformatted text keeps
 its white space. Content of a table that is in no cell comes before the table, as browsers show it.
 
-What hides: ``display: none``, ``hidden`` and closed dialogs hide all within; ``visibility`` hides
-text until it is set to visible further in. Style sheets count as far as their selectors are a tag,
-a class, an id or a tag with one of them. Never shown: heads, scripts, templates, fallbacks of
-embedded media, options that are not chosen. Pages are rendered where they lie; nothing is shuffled.
+What hides: ``display: none``, ``hidden``, closed dialogs and what closed details hold besides their
+summary hide all within; ``visibility`` hides text until it is set to visible further in. Of several
+declarations the last of the most specific selector wins, the element's own style over all,
+important ones first. Selectors may name tags, classes, ids, and elements inside or directly inside
+others; rules with other selectors, and those of at-rules, don't count. Never shown: heads, scripts,
+templates, fallbacks of embedded media, options that are not chosen. Pages are rendered where they
+lie; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -53,18 +56,20 @@ DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_GONE = re.compile(r"(?<![\w-])display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
-_SHOWN = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
+_PART = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)")
+_MARK = re.compile(r"([.#])([\w-]+)")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
+#: Types of input whose value is seen.
+FIELDS = frozenset(["", "text", "search", "email", "url", "tel", "number", "date", "time", "month", "week", "datetime-local", "submit", "button", "reset"])
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "up")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -107,7 +112,7 @@ def parse(markup: str) -> Node:
             at_ = next((i for i in range(len(open_) - 1, base, -1) if open_[i].tag in PLACE[tag]), base)
             if tag in CELL and at_ == base:  # a cell without a row makes one
                 at_ = next((i for i in range(len(open_) - 1, base, -1) if open_[i].tag in SECTION), base)
-                row = Node("tr", {})
+                row = Node("tr", {}, open_[at_])
                 open_[at_].kids.append(row)
                 del open_[at_ + 1 :]
                 open_.append(row)
@@ -125,6 +130,7 @@ def parse(markup: str) -> Node:
                 del open_[cut:]
         elif open_[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
             open_.pop()  # content begins the body
+        node.up = open_[-1]
         open_[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(markup, at)
@@ -138,30 +144,93 @@ def parse(markup: str) -> Node:
     return root
 
 
+class _Part:
+    """A selector without combinators: a tag or any, with classes and ids."""
+
+    def __init__(self, tag: str, marks: list[tuple[str, str]]):
+        self.tag, self.classes, self.ids = "" if tag == "*" else tag.lower(), {n for m, n in marks if m == "."}, {n for m, n in marks if m == "#"}
+
+    def fits(self, node: Node) -> bool:
+        return (not self.tag or self.tag == node.tag) and (not self.ids or self.ids == {node.attrs.get("id")}) and (not self.classes or self.classes <= set(node.attrs.get("class", "").split()))
+
+
+def _selector(text: str) -> tuple[tuple[int, int, int], list[tuple[str, _Part]]] | None:
+    """Specificity and parts, the last first, each with how it stands to the one behind it; None if there is more to it."""
+    parts, how = [], ""
+    for x in re.sub(r"\s*>\s*", " > ", text.strip()).split():
+        if x == ">":
+            if how == ">" or not parts:
+                return None
+            how = ">"
+            continue
+        if not (m := _PART.fullmatch(x)):
+            return None
+        parts.append((how or " ", _Part(m[1] or "", _MARK.findall(m[2]))))
+        how = ""
+    if not parts or how:
+        return None
+    weight = tuple(sum(n) for n in zip(*((len(p.ids), len(p.classes), int(bool(p.tag))) for _, p in parts), strict=True))
+    return weight, parts[::-1]
+
+
+def _declared(text: str) -> list[tuple[str, str, bool]]:
+    return [(m[1].lower(), m[2].lower(), "!important" in m[3].replace(" ", "").lower()) for m in _DECLARED.finditer(text)]
+
+
+def _within(parts: list[tuple[str, _Part]], node: Node | None) -> bool:
+    """Whether what is around a node fits the rest of a selector, ``parts[0]`` being the node's own."""
+    if len(parts) == 1:
+        return True
+    how, rest = parts[0][0], parts[1:]
+    while node is not None:
+        if rest[0][1].fits(node) and _within(rest, node.up):
+            return True
+        if how == ">":
+            return False
+        node = node.up
+    return False
+
+
 class Sheet:
-    """Rules of a page's style sheets that hide or show: by ``(tag, mark, name)``."""
+    """Rules of a page's style sheets about what is shown, by the tag, class or id that an element must have."""
 
     def __init__(self, root: Node):
-        self.rules: dict[tuple[str, str, str], str] = {}
+        self.rules: dict[str, list] = {}
+        order = 0
         todo = [root]
         while todo:
             n = todo.pop()
             if n.tag == "style":
                 text = re.sub(r"/\*.*?\*/", "", "".join(k for k in n.kids if isinstance(k, str)), flags=re.S)
                 for m in _RULE.finditer(re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^;{}]*;", "", text)):
-                    if _GONE.search(m[2]) or _SHOWN.search(m[2]):
-                        for one in m[1].split(","):
-                            if (x := _SELECTOR.fullmatch(one.strip())) and x[0]:
-                                self.rules[(x[1] or "").lower(), x[2] or "", x[3] or ""] = m[2]
-            todo += [k for k in n.kids if isinstance(k, Node)]
-
-    def style(self, node: Node) -> str:
-        """All that is said about hiding the node; its own style comes last."""
+                    if not (said := _declared(m[2])):
+                        continue
+                    for one in m[1].split(","):
+                        if found := _selector(one):
+                            own, order = found[1][0][1], order + 1
+                            key = f"#{min(own.ids)}" if own.ids else f".{min(own.classes)}" if own.classes else own.tag
+                            self.rules.setdefault(key, []).append((found[0], order, found[1], said))
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
+
+    def style(self, node: Node) -> dict[str, str]:
+        """The winning declarations of the node."""
         own = node.attrs.get("style", "")
-        if not self.rules:
-            return own
-        marks = [("", ""), *((".", c) for c in node.attrs.get("class", "").split()), ("#", node.attrs.get("id", ""))]
-        return ";".join([self.rules[k] for tag in ("", node.tag) for mark in marks if (k := (tag, *mark)) in self.rules] + [own])
+        if not self.rules and not own:
+            return {}
+        best: dict[str, tuple] = {}
+
+        def weigh(said, weight):
+            for name, value, important in said:
+                if name not in best or (important, *weight) >= best[name][0]:
+                    best[name] = (important, *weight), value
+
+        if self.rules:
+            for key in {"", node.tag, f"#{node.attrs.get('id')}", *(f".{c}" for c in node.attrs.get("class", "").split())}:
+                for specific, order, parts, said in self.rules.get(key, ()):
+                    if parts[0][1].fits(node) and _within(parts, node.up):
+                        weigh(said, (0, specific, order))
+        weigh(_declared(own), (1, (0, 0, 0), 0))
+        return {name: value for name, (_, value) in best.items()}
 
 
 _NONE = Sheet(Node("#none", {}))
@@ -170,9 +239,20 @@ _NONE = Sheet(Node("#none", {}))
 def hidden(node: Node, sheet: Sheet = _NONE) -> bool:
     """Whether the node and all in it is not shown."""
     a = node.attrs
-    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or "hidden" in a and a["hidden"].lower() != "until-found":
+    if node.tag in UNSEEN:
+        return True
+    said = sheet.style(node) if a or sheet.rules else {}
+    if said.get("content-visibility") == "hidden":
         return True
-    return bool(a or sheet.rules) and _GONE.search(sheet.style(node)) is not None
+    if "display" in said:  # what a page says counts for more than an attribute
+        return said["display"] == "none"
+    return node.tag == "dialog" and "open" not in a or "hidden" in a and a["hidden"].lower() != "until-found"
+
+
+def _seen(node: Node, out: _Out) -> bool:
+    """Whether text directly in the node is shown."""
+    said = out.sheet.style(node).get("visibility") if node.attrs or out.sheet.rules else None
+    return out.seen if said not in ("hidden", "collapse", "visible") else said == "visible"
 
 
 def _width(s: str) -> int:
@@ -234,12 +314,14 @@ class _Out:
 
 def _span(cell: Node, name: str) -> int:
     s = cell.attrs.get(name, "1")
+    if name == "rowspan" and s.strip() == "0":
+        return SPANS  # to the end of its section
     return max(1, min(SPANS, int(s))) if s.isdigit() and s.isascii() and len(s) < 6 else 1
 
 
-def _parts(table: Node, sheet: Sheet) -> tuple[list, list[list[Node]]]:
-    """What stands in no cell, and the cells of each row, both in order."""
-    stray, rows = [], []
+def _parts(table: Node, sheet: Sheet) -> tuple[list, list[list[Node]], list[Node]]:
+    """What stands in no cell, the cells of each row, and what the row stands in, all in order."""
+    stray, rows, held = [], [], []
     todo: list[tuple] = [(k, None) for k in reversed(table.kids)]
     while todo:
         k, row = todo.pop()
@@ -251,16 +333,17 @@ def _parts(table: Node, sheet: Sheet) -> tuple[list, list[list[Node]]]:
             row = [] if k.tag == "tr" else None
             if row is not None:
                 rows.append(row)
+                held.append(k.up)
             todo += [(x, row) for x in reversed(k.kids)]
         elif k.tag in CELL and row is not None:
             row.append(k)
         elif k.tag not in ("colgroup", "col"):
             stray.append(k)
-    return stray, rows
+    return stray, rows, held
 
 
 def _table(table: Node, out: _Out, keep: bool) -> None:
-    stray, rows = _parts(table, out.sheet)
+    stray, rows, held = _parts(table, out.sheet)
     for k in stray:
         if isinstance(k, Node):
             _render(k, out, keep)
@@ -270,8 +353,10 @@ def _table(table: Node, out: _Out, keep: bool) -> None:
     out.gap(1)
     taken: dict[int, int] = {}  # columns that a cell of an earlier row still fills, and for how many rows
     placed: list[list[tuple[int, int, list[str]]]] = []
-    for row in rows:
+    for i, row in enumerate(rows):
         here, at = [], 0
+        if i and held[i] is not held[i - 1]:
+            taken = {}  # no cell reaches out of its section
         left = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row:
             while at in taken:
@@ -306,16 +391,21 @@ def _table(table: Node, out: _Out, keep: bool) -> None:
 
 
 def _list(node: Node, out: _Out, keep: bool) -> None:
-    start = node.attrs.get("start", "1")
-    count = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+    whole = lambda x: int(x) if x is not None and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", x) else None
+    back = node.tag == "ol" and "reversed" in node.attrs
+    count = whole(node.attrs.get("start"))
+    if count is None:
+        count = sum(isinstance(k, Node) and k.tag == "li" for k in node.kids) if back else 1
     for k in node.kids:
         if not isinstance(k, Node) or k.tag != "li":
             _render(k, out, keep) if isinstance(k, Node) else out.words(k, keep)
             continue
         if hidden(k, out.sheet):
             continue
+        if node.tag == "ol" and (given := whole(k.attrs.get("value"))) is not None:
+            count = given
         mark = f"{count}. " if node.tag == "ol" else "- "
-        count += 1
+        count += -1 if back else 1
         text = render(k, out.sheet, out.seen)
         for i, line in enumerate(text.split("\n") if text else []):
             out.gap(1)
@@ -336,12 +426,16 @@ def _options(select: Node) -> list[Node]:
     return [k for k in found if "selected" in k.attrs][-1:] or found[:1]
 
 
+def _summary(details: Node) -> list[Node]:
+    """What closed details show."""
+    return [k for k in details.kids if isinstance(k, Node) and k.tag == "summary"][:1]
+
+
 def _render(node: Node, out: _Out, keep: bool) -> None:
     if hidden(node, out.sheet):
         return
     seen = out.seen
-    if (node.attrs or out.sheet.rules) and (said := _SHOWN.findall(out.sheet.style(node))):
-        out.seen = said[-1].lower() == "visible"
+    out.seen = _seen(node, out)
     tag = node.tag
     if tag == "br":
         out.line()
@@ -351,7 +445,7 @@ def _render(node: Node, out: _Out, keep: bool) -> None:
             out.put("---")
         out.gap(1)
     elif tag == "input":
-        if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
+        if node.attrs.get("type", "").lower() in FIELDS and node.attrs.get("value"):
             out.words(node.attrs["value"], False)
     else:
         block = tag in BLOCK
@@ -363,7 +457,7 @@ def _render(node: Node, out: _Out, keep: bool) -> None:
             _list(node, out, keep)
         else:
             keep = keep or tag == "pre" or tag == "textarea"
-            for k in _options(node) if tag == "select" else node.kids:
+            for k in _options(node) if tag == "select" else _summary(node) if tag == "details" and "open" not in node.attrs else node.kids:
                 if isinstance(k, Node):
                     _render(k, out, keep)
                 else:
@@ -376,8 +470,7 @@ def _render(node: Node, out: _Out, keep: bool) -> None:
 def render(node: Node, sheet: Sheet | None = None, seen: bool = True) -> str:
     """The text of what is in the node; a page's style sheets are its own unless they are given."""
     out = _Out(Sheet(node) if sheet is None else sheet, seen)
-    if (node.attrs or out.sheet.rules) and (said := _SHOWN.findall(out.sheet.style(node))):
-        out.seen = said[-1].lower() == "visible"
+    out.seen = _seen(node, out)
     for k in node.kids:
         if isinstance(k, Node):
             _render(k, out, node.tag == "pre")
