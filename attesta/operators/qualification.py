@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,27 @@ def own_submission_status(assignments: DataFrame, relations: DataFrame, statuses
     return out.withColumns({"reasons": reasons, "authorship_basis": basis, "status": F.lower(F.get_json_object("_sub", "$.status")), "feedback_available": F.coalesce(F.get_json_object("content", "$.feedback.available") == "true", F.lit(False))}).select(
         "owner_id", "entity_id", "status_entity_id", "observation_id", (F.size("reasons") == 0).alias("qualified"), "reasons", "authorship_basis", "status", "feedback_available"
     )
+
+
+def consented_reads(reads: DataFrame, grants: DataFrame) -> DataFrame:
+    """``reads`` of a user's own submission status with ``refusal`` or ``status``: the newest grant before a read decides.
+
+    ``reads(owner_id, connection_id, seq, account, response)`` and more; ``grants(owner_id, connection_id, seq,
+    granted)``, a withdrawal being a grant that is false. An as-of join by sequence: both are one
+    table, ordered once per connection. Refused are reads never granted or since ``revoked``, and
+    responses that speak of another account (``not_own``). Of a response the last attempt stays, and
+    of its feedback only that there is some and when it was graded: no grade, no reviewer.
+    """
+    keys = ["owner_id", "connection_id"]
+    log = grants.select(*keys, "seq", "granted")
+    both = reads.withColumn("_read", F.lit(True)).unionByName(log, allowMissingColumns=True)
+    # Of a grant and a read at the same place in the sequence the read comes first.
+    before = Window.partitionBy(*keys).orderBy("seq", F.col("_read").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("_now", F.last("granted", ignorenulls=True).over(before)).filter("_read")
+    author = F.get_json_object("response", "$.lastattempt.submission.userid")
+    refusal = F.when(F.col("_now").isNull(), "never_granted").when(~F.col("_now"), "revoked").when(author.isNotNull() & (author != F.col("account")), "not_own")
+    graded = F.get_json_object("response", "$.feedback.gradeddate").try_cast("long")
+    feedback = F.when(F.get_json_object("response", "$.feedback").isNotNull(), F.to_json(F.struct(F.lit(True).alias("available"), F.when(graded > 0, graded).alias("gradeddate"))))
+    attempt = F.coalesce(F.get_json_object("response", "$.lastattempt"), F.lit("{}"))
+    status = F.concat(F.lit('{"lastattempt":'), attempt, F.coalesce(F.concat(F.lit(',"feedback":'), feedback), F.lit("")), F.lit("}"))
+    return out.withColumn("refusal", refusal).withColumn("status", F.when(F.col("refusal").isNull(), status)).drop("_now", "_read", "granted", "response")
