@@ -12,7 +12,7 @@ def within(scope: Column, other: Column) -> Column:
 
 
 def status(rows: DataFrame, at: Column) -> DataFrame:
-    """Each row's ``status`` at the instant; the first that applies of: future, superseded, withdrawal, expired, requires_review, legacy, current.
+    """Each row's ``status`` at the instant; the first that applies of: future, superseded, withdrawal, expired, requires_review, legacy_requires_review, current.
 
     Only a user's own report that had begun and was recorded supersedes, and what it superseded
     stays so after it has expired.
@@ -25,7 +25,7 @@ def status(rows: DataFrame, at: Column) -> DataFrame:
         .when(F.col("state") == "withdrawn", "withdrawal")
         .when(F.col("valid_until") <= at, "expired")
         .when(F.col("evidence_kind") != "user_report", "requires_review")
-        .when(F.col("key").isNull(), "legacy")
+        .when(F.col("key").isNull(), "legacy_requires_review")
         .otherwise("current")
     )
     return rows.join(gone, "id", "left").withColumn("status", ladder).drop("_gone")

@@ -645,7 +645,9 @@ def html_removals(t):
     return x.select("page_id", F.explode("x.removed").alias("what", "n")).groupBy("what").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
-@query()
+@query(r"""with b as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g') as h from pages),
+e as (select page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as h from b)
+select page_id, trim(regexp_replace(regexp_replace(h, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ') as text from e""")
 def html_text(t):
     return t.pages.select("page_id", text.plain_html(F.col("html")).alias("text"))
 

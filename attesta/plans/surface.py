@@ -197,11 +197,13 @@ def page_names(t):
     return t.pages.select("page_id", text.last_segment(u).alias("last"), text.escaped(u).alias("escaped"), text.title_of(F.lit("  "), F.lit(None).cast("string")).alias("title"), text.title_of(F.lit(" "), u).alias("named"))
 
 
-@query("select doc_id, len(string_split(text, chr(10)))::int as n, case when doc_id % 2 = 0 then 2 end::int as first, case when doc_id % 2 = 0 then 3 end::int as last from documents where text <> '' and text not like '%' || chr(10) and not contains(text, chr(13))")
+@query(r"""with d as (select doc_id, text, case when length(text) >= 260 then substr(text, 200, 60) end as part from documents), a as (select *, instr(text, part) as at_, string_split_regex(text, '\r\n|\r|\n') as lines from d)
+select doc_id, (len(lines) - case when lines[-1] = '' then 1 else 0 end)::int as n, case when at_ > 0 then len(regexp_extract_all(substr(text, 1, at_ - 1), '\r\n|\r|\n')) + 1 end::int as first, case when at_ > 0 then len(regexp_extract_all(substr(text, 1, at_ - 1), '\r\n|\r|\n')) + 1 + len(regexp_extract_all(part, '\r\n|\r|\n')) end::int as last from a""")
 def line_ranges(t):
-    rows = t.documents.filter("text <> '' and not endswith(text, '\n') and not contains(text, '\r')")
-    made = F.when(F.col("doc_id") % 2 == 0, F.lit("a\nbeta\r\ngamma\rd")).otherwise(F.lit("nothing"))
-    return rows.select("doc_id", F.size(text.lines(F.col("text"))).alias("n"), text.line_range(made, "ta\r\nga").alias("r")).select("doc_id", "n", F.col("r.first").cast("int").alias("first"), F.col("r.last").cast("int").alias("last"))
+    """Lines of every text, and those on which a passage of its own stands."""
+    part = F.when(F.length("text") >= 260, F.substring("text", 200, 60))
+    rows = t.documents.select("doc_id", F.size(text.lines(F.col("text"))).alias("n"), text.line_range(F.col("text"), part).alias("r"))
+    return rows.select("doc_id", "n", F.col("r.first").cast("int").alias("first"), F.col("r.last").cast("int").alias("last"))
 
 
 @query(r"""select p_partkey, case when p_partkey % 4 = 0 then '.env.local' when p_partkey % 4 = 1 then 'client_secret_1.JSON' when p_partkey % 4 = 2 then 'a/b.pem' else 'a/env.md' end as path, p_partkey % 4 < 3 as secret, true as safe, regexp_matches(p_partkey::varchar, '^[1-9][0-9]{0,17}$') as numeric from part""")

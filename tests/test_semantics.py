@@ -32,7 +32,7 @@ def test_preference_ladder(spark):
         ("now", "k", {}, "user_report", "active", 1, None, [], 1),
     )
     out = {r.id: r.status for r in preferences.status(df, at()).collect()}
-    assert out == {"future": "future", "old": "superseded", "replacement": "expired", "gone": "withdrawal", "guess": "requires_review", "legacy": "legacy", "now": "current"}
+    assert out == {"future": "future", "old": "superseded", "replacement": "expired", "gone": "withdrawal", "guess": "requires_review", "legacy": "legacy_requires_review", "now": "current"}
 
 
 def test_narrower_scope_dominates_and_conflicts_do_not_apply(spark):
