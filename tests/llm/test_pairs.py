@@ -213,6 +213,31 @@ def test_near_copies_of_passages_are_found(spark):
     assert len(hit) >= 0.9 * 150 and all(r.doc_id in at for r in found)
 
 
+@pytest.mark.parametrize("between", [1, 2, 5])
+def test_near_copies_among_others_that_share_a_part(spark, between):
+    """Others before and between hold the first 40 of the 80 words, too few to be a passage of their own."""
+    rng = random.Random(7)
+    rows, want, k = [], [], 0
+    for _ in range(100):
+        p = words(rng, 80)
+        q = list(p)
+        for at in rng.sample(range(80), 2):
+            q[at] = f"other{rng.randrange(10**6)}"
+        bodies = [p[:40]] * between + [p] + [p[:40]] * between + [q]
+        for body in bodies:
+            k += 1
+            around = words(rng, 60)
+            rows.append((k, " ".join(around[:30] + body + around[30:])))
+        want.append((k - between - 1, k))
+    covered: dict = {}
+    pairs = set()
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        pairs.add((r.source_doc_id, r.doc_id))
+    assert sum(w in pairs for w in want) >= 90 and sum(len(covered.get(b, set()) & set(range(30, 110))) >= 60 for _, b in want) >= 90
+    assert set(covered) <= {b for _, b in want}
+
+
 def test_a_very_long_copy_is_one_passage(spark):
     rng = random.Random(10)
     long = words(rng, 100_000)
