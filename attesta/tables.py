@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Tables:
@@ -15,11 +16,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str, owner: str | None = None, column: str = "owner_id"):
         self.spark, self.root, self.owner, self.column = spark, root.rstrip("/"), owner, column
+        self._schemas: dict[str, StructType] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        # The schema is read from the files once; every use is a relation of its own, so a table may be joined to itself.
+        read = self.spark.read.schema(self._schemas[name]) if name in self._schemas else self.spark.read
+        df = read.parquet(f"{self.root}/{name}.parquet")
+        self._schemas[name] = df.schema
         return df.filter(F.col(self.column) == self.owner) if self.owner is not None else df
 
     def export(self, names: list[str], to: str, fmt: str = "json") -> None:
