@@ -619,10 +619,12 @@ def local_time_tristate(t):
     return e.select("event_id", timefn.local_state(F.col("local"), "Europe/Lisbon").alias("state"), timefn.local_state(spring, "Europe/Lisbon").alias("spring_state"))
 
 
-@query()
+@query("""with w as (select day, time, timezone('UTC', timezone('America/Sao_Paulo', (day || ' ' || time || ':00')::timestamp)) as s from (select distinct ts::date as day from events), (select unnest(['08:00', '18:30']) as time))
+select day::varchar as day, time, greatest(s, timestamp '2024-01-05') as window_start, least(s + interval 30 minute, timestamp '2024-01-25') as window_end from w where greatest(s, timestamp '2024-01-05') < least(s + interval 30 minute, timestamp '2024-01-25')""")
 def schedule_windows(t):
     days = t.events.select(F.col("ts").cast("date").alias("day")).distinct()
-    return timefn.schedule_windows(days, "day", "America/Sao_Paulo", ["08:00", "18:30"], 1800, F.expr("timestamp '2024-01-05'"), F.expr("timestamp '2024-01-25'"))
+    out = timefn.schedule_windows(days, "day", "America/Sao_Paulo", ["08:00", "18:30"], 1800, F.expr("timestamp '2024-01-05'"), F.expr("timestamp '2024-01-25'"))
+    return out.select(F.col("day").cast("string").alias("day"), "time", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"))
 
 
 # Documents
