@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from attesta.llm.components import components
 from attesta.llm.op01_jaccard import jaccard_components, jaccard_links, keep_one
-from attesta.llm.op06_substrings import _passages, cartesian_spans, cut_repeats, repeated_passages
+from attesta.llm.op06_substrings import MET, _alive, _passages, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
 from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens, words
 
@@ -238,6 +238,64 @@ def test_near_copies_among_others_that_share_a_part(spark, between):
     assert set(covered) <= {b for _, b in want}
 
 
+@pytest.mark.parametrize("share", [50, 60])
+def test_near_copies_among_many_that_share_most(spark, share):
+    """Others before and between hold more than half of the passage, and of two parts in turn, so that both places of a group are theirs."""
+    rng = random.Random(9)
+    rows, want, k = [], [], 0
+    for _ in range(60):
+        p = words(rng, 90)
+        q = list(p)
+        for at in rng.sample(range(90), 2):
+            q[at] = f"other{rng.randrange(10**6)}"
+        others = [p[:share], p[90 - share :]] * 3
+        for body in [*others, p, *others, q]:
+            k += 1
+            around = words(rng, 60)
+            rows.append((k, " ".join(around[:30] + body + around[30:])))
+        want.append((k - len(others) - 1, k))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    covered: dict = {}
+    for r in got:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    lost = [b for _, b in want if len(covered.get(b, set()) & set(range(30, 120))) < 80]
+    print("lost", len(lost), "of 60")
+    assert len(lost) <= 1
+
+
+def test_a_passage_of_parts_that_many_share_is_found(spark):
+    """Two phrases that stand in many documents each, together in one early and one late document only."""
+    rng = random.Random(13)
+    rows, want, k = [], [], 0
+    for _ in range(40):
+        a, b = words(rng, 30), words(rng, 30)
+        for body in [a, b, a, b, a + b, a, b, a, b, a + b[:14] + ["changed"] + b[15:]]:
+            k += 1
+            around = words(rng, 60)
+            rows.append((k, " ".join(around[:30] + body + around[30:])))
+        want.append((k - 5, k))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r.source_doc_id, r.doc_id) for r in got if r.start_word <= 32 and r.end_word >= 85}
+    print("found", sum(w in found for w in want), "of 40")
+    assert sum(w in found for w in want) >= 39 and {r.doc_id for r in got} <= {b for _, b in want}
+
+
+def test_the_rarest_shingles_are_in_each_passage():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        p = np.flatnonzero(rng.random(150) < rng.choice([0.8, 0.95, 1.0]))
+        n, gram = rng.integers(1, 9, len(p)), rng.permutation(len(p)) + 1
+        known = pa.array([[{"place": a, "gram": b, "n": c} for a, b, c in zip(p.tolist(), gram.tolist(), n.tolist(), strict=True)]], pa.list_(pa.struct([("place", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])))
+        out = list(_alive(iter([pa.record_batch([pa.array([1]), known, pa.array([[0, 150]])], names=["doc_id", "known", "runs"])])))
+        grams = set(out[0].column(2)[0].as_py()) if out else set()
+        hit = np.zeros(150, bool)
+        hit[p] = rng.random(len(p)) < rng.choice([0.7, 0.8, 0.9])
+        for s, e in _passages(hit):
+            assert len(grams & set(gram[(p >= s) & (p <= e) & hit[p]].tolist())) >= MET
+            regions = out[0].column(1)[0].as_py()
+            assert any(a <= s and e <= b for a, b in zip(regions[::2], regions[1::2], strict=True))
+
+
 def test_a_very_long_copy_is_one_passage(spark):
     rng = random.Random(10)
     long = words(rng, 100_000)
