@@ -316,3 +316,17 @@ def test_only_the_text_that_counts_is_cut(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.spans) for r in out.collect())
     kept = {" ".join(own), " ".join(own + passage)}
     assert [g[0] for g in got] == [0, 1, 2, 2, 5] and any(g[1] in kept for g in got) and (2, " ".join(other), "k") in got
+
+
+def test_near_copies_are_cut_where_many_share_a_part(spark):
+    rng = random.Random(17)
+    rows, late = [], []
+    for i in range(20):
+        p = [f"w{i}x{j}" for j in range(90)]
+        q = [*p[:41], "changed", *p[42:]]
+        others = [p[:50], p[40:]] * 3
+        for j, body in enumerate([*others, p, *others, q]):
+            rows.append((100 * i + j, " ".join(words(rng, 30) + body + words(rng, 30))))
+        late.append((100 * i + len(others) * 2 + 1, set(p[5:41] + p[42:85])))
+    out = {r.doc_id: set(r.text.split()) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(not out[d] & p for d, p in late) >= 19
