@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from attesta.llm.components import components
 from attesta.llm.op01_jaccard import jaccard_components, jaccard_links, keep_one
-from attesta.llm.op06_substrings import MET, _alive, _passages, cartesian_spans, cut_repeats, repeated_passages
+from attesta.llm.op06_substrings import MET, _alive, _had, _passages, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
 from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens, words
 
@@ -296,6 +296,30 @@ def test_the_rarest_shingles_are_in_each_passage():
             assert any(a <= s and e <= b for a, b in zip(regions[::2], regions[1::2], strict=True))
 
 
+def test_only_what_passages_do_not_cover_is_sought():
+    """Two thousand documents have a passage of 60 shingles, three the ten before it: the three are met, unless the passage isn't found yet."""
+    place = list(range(70))
+    known = pa.array([[{"place": i, "gram": 1000 + i, "n": 3 if i < 10 else 2000} for i in place]], pa.list_(pa.struct([("place", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])))
+
+    def sought(held):
+        batch = pa.record_batch([pa.array([1]), known, pa.array([[0, 24]]), pa.array([held], pa.list_(pa.int64()))], names=["doc_id", "known", "runs", "held"])
+        return [(r["need"], sorted(r["grams"])) for b in _alive(iter([batch])) for r in b.to_pylist()]
+
+    assert [x[0] for x in sought([])] == [MET]
+    assert sought([10, 69]) == [(1, list(range(1000, 1010)))]
+    assert sought([0, 30, 20, 69]) == [] and sought([0, 30, 35, 69]) == []  # no word between them
+    assert sought([0, 20, 36, 69]) == [(1, list(range(1000, 1036)))]  # a passage may reach over the words between
+
+
+def test_a_document_holds_a_repeated_shingle_once():
+    class Wanted:
+        value = bytes([255]) * (1 << 21)
+
+    batch = pa.record_batch({"doc_id": pa.array([4, 5]), "text": ["a b c d e " * 50, "a b c d e"]})
+    rows = [(r["gram"], r["doc_id"]) for b in _had(Wanted)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len(set(rows)) == 6
+
+
 def test_a_very_long_copy_is_one_passage(spark):
     rng = random.Random(10)
     long = words(rng, 100_000)
