@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from attesta.llm.components import components
 from attesta.llm.op01_jaccard import jaccard_components, jaccard_links, keep_one
-from attesta.llm.op06_substrings import MET, _alive, _had, _passages, cartesian_spans, cut_repeats, repeated_passages
+from attesta.llm.op06_substrings import MET, _alive, _covering, _had, _passages, _sets, cartesian_spans, cut_repeats, repeated_passages
 from attesta.llm.textkit import Words, sorted_sets
 from tests.llm.corpus import SCHEMA, documents, shingles, texts, tokens, words
 
@@ -354,3 +354,23 @@ def test_near_copies_are_cut_where_many_share_a_part(spark):
         late.append((100 * i + len(others) * 2 + 1, set(p[5:41] + p[42:85])))
     out = {r.doc_id: set(r.text.split()) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(not out[d] & p for d, p in late) >= 19
+
+
+def test_many_documents_that_have_a_passage_give_one_row():
+    """Five hundred earlier documents have 60 of the shingles, one has 70: the open document gets that one's passage, not a row for each."""
+    near = [{"doc_id": i, "grams": list(range(1000, 1060))} for i in range(500)] + [{"doc_id": 500, "grams": list(range(1000, 1070))}, {"doc_id": 900, "grams": list(range(1000, 1080))}]
+    asks = {"doc_id": 700, "regions": [5, 84], "grams": list(range(1000, 1080)), "known": list(range(1000, 1080)), "need": 1, "places": list(range(5, 85)), "held": []}
+    lists = pa.list_(pa.int64())
+    opened = pa.Table.from_pylist([asks, {**asks, "doc_id": 701, "held": [5, 74]}], pa.schema({k: pa.int64() if k in ("doc_id", "need") else lists for k in asks}))
+    got = _covering(None, opened, pa.Table.from_pylist(near, pa.schema({"doc_id": pa.int64(), "grams": lists}))).to_pylist()
+    assert got == [{"doc_id": 700, "source_doc_id": 500, "start_word": 5, "end_word": 79}]
+
+
+def test_a_document_of_one_repeated_shingle_is_kept():
+    class Wanted:
+        def __init__(self, byte):
+            self.value = bytes([byte]) * (1 << 22)
+
+    batch = pa.record_batch({"doc_id": pa.array([4, 5]), "text": ["a " * 200, " ".join(f"w{i}" for i in range(60))]})
+    kept = lambda again: [(r["doc_id"], len(r["grams"])) for b in _sets(Wanted(255), Wanted(again))(iter([batch])) for r in b.to_pylist()]
+    assert kept(0) == [(5, 56)] and kept(255) == [(4, 1), (5, 56)]
