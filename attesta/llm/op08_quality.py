@@ -3,10 +3,10 @@
 The model is over bytes (of UTF-8), order four. Counting is spread over hash shards of the
 n-grams: grouped counts of four-grams, continuation counts of each shorter order from the next
 longer one's distinct n-grams, and joins of the counts with their contexts' totals give each
-n-gram's discounted share and each context's weight for the shorter order. Those two numbers of
-every n-gram go to the tasks as sorted arrays (eight bytes an n-gram), which grow with what the
-trusted text holds, so that scoring reads each document once, where it lies, instead of shuffling
-all its n-grams. All probabilities are exact.
+n-gram its discounted share and each context's weight for the shorter order. Those two numbers of
+every n-gram stay rows. Documents are scored in blocks of some megabytes: the distinct four-grams of
+each block are joined with the model order by order, and what comes of it goes to the block's documents,
+so that neither the driver nor a task holds the model. All probabilities are exact.
 
 A document's perplexity is held against a fence from the quantiles of the trusted documents of its
 own language and length class, drawn towards its language's the fewer documents the class has.
@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from attesta.llm.scratch import discard, in_batches, stash
 from attesta.llm.textkit import flat, slices
 
 ORDER = 4
+#: Text of a block, whose distinct four-grams are looked up together.
+BLOCK_BYTES = 8 << 20
 #: A document is rejected if its log-perplexity lies this many quartile ranges above its class's third quartile.
 FENCE = 4.0
 #: A class's fence counts as much as its language's when it has this many trusted documents; a language's against all, the same.
@@ -79,27 +82,28 @@ def _discounts(grams: DataFrame) -> list[float]:
 
 
 class Model(NamedTuple):
-    """Of each order, shortest first: n-gram codes in ascending order with their discounted shares, contexts with what they leave to the shorter order."""
+    """Rows ``t, code, v``: of each order, shortest first, n-grams with their discounted shares, then contexts with what they leave to the shorter order."""
 
-    grams: list[np.ndarray]
-    shares: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    rows: DataFrame
 
-    def probability(self, code: np.ndarray) -> np.ndarray:
-        """Interpolated probability of the last byte of each four-gram after the other three."""
-        p = np.full(len(code), 1 / 256, np.float64)
+    def looked_up(self, grams: DataFrame) -> DataFrame:
+        """``gram, p``: interpolated probability of the last byte of each of the distinct four-grams after the other three."""
+        out = grams.withColumn("p", F.lit(1 / 256))
         for order in range(ORDER):
-            own = code & ((1 << (8 * (order + 1))) - 1)
-            p = _found(self.grams[order], self.shares[order], own, 0.0) + _found(self.contexts[order], self.weights[order], own >> 8, 1.0) * p
-        return p
-
+            share = self.rows.filter(F.col("t") == order).select(F.col("code").alias("own"), F.col("v").alias("share"))
+            weight = self.rows.filter(F.col("t") == ORDER + order).select(F.col("code").alias("context"), F.col("v").alias("weight"))
+            # N-grams of two bytes are 65,536 at most.
+            share, weight = F.broadcast(share) if order < 2 else share, F.broadcast(weight) if order < 3 else weight
+            out = out.withColumn("own", F.col("gram") % (1 << (8 * (order + 1)))).withColumn("context", F.expr("own div 256"))
+            out = out.join(share, "own", "left").join(weight, "context", "left")
+            out = out.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        return out
 
-def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(asked), other)
-    at = np.minimum(np.searchsorted(keys, asked.astype(keys.dtype)), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], other)
+    def probability(self, code: np.ndarray) -> np.ndarray:
+        """The same of a few four-grams, in their order."""
+        grams = self.rows.sparkSession.createDataFrame([(int(c),) for c in np.unique(code)], "gram long")
+        found = {r.gram: r.p for r in self.looked_up(grams).collect()}
+        return np.array([found[int(c)] for c in code])
 
 
 def fit(trusted: DataFrame) -> Model:
@@ -118,34 +122,61 @@ def fit(trusted: DataFrame) -> Model:
             # Continuation counts: in how many different contexts one byte longer the shorter n-gram occurs.
             grams = stash(grams.groupBy((F.col("gram") % (1 << (8 * (order - 1)))).alias("gram")).agg(F.count("*").alias("c")), "grams")
             made.append(grams)
-    rows = reduce(DataFrame.union, tables).toArrow()  # n-grams of four bytes, not documents
-    t, code, v = (rows.column(i).to_numpy() for i in range(3))
-    keys, values = [], []
-    for i in range(2 * ORDER):
-        own = np.flatnonzero(t == i)
-        own = own[np.argsort(code[own])]
-        keys.append(code[own].astype(np.uint32))
-        values.append(v[own].astype(np.float32))
+    rows = stash(reduce(DataFrame.union, tables), "model")
     discard(*made)
-    return Model(keys[:ORDER], values[:ORDER], keys[ORDER:], values[ORDER:])
+    return Model(rows)
 
 
-def _scored(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Model = model.value
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                b, own, at = _laid_out(part.column(2))
-                code, spot = np.unique(_codes(b, ORDER)[own].astype(np.uint32), return_inverse=True)
-                lost = -np.log(np.maximum(known.probability(code.astype(np.int64)), 1e-9))[spot]
-                size = np.diff(at)
-                mean = np.full(len(size), np.nan)
-                full = np.flatnonzero(size)
-                if len(full):
-                    mean[full] = np.add.reduceat(lost, at[:-1][full]) / size[full]
-                yield pa.record_batch({"doc_id": part.column(0), "same": part.column(1), "lang": part.column(3), "n_bytes": pa.array(size, pa.int64()), "log_ppl": pa.array(mean, mask=np.isnan(mean))})
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: about ``BLOCK_BYTES`` of text that lies together."""
+    context = TaskContext.get()
+    block, held = (context.partitionId() if context else 0) << 32, 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield part.append_column("block", pa.array(np.full(part.num_rows, block)))
+            held += len(flat(part.column(2))[0])
+            if held >= BLOCK_BYTES:
+                block, held = block + 1, 0
+
 
-    return run
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct four-grams of each block, as far as it lies in one batch."""
+    for batch in batches:
+        block = np.asarray(batch.column(1))
+        for at in np.unique(block).tolist():
+            b, own, _ = _laid_out(batch.filter(pa.array(block == at)).column(0))
+            gram = np.unique(_codes(b, ORDER)[own].astype(np.uint32)).astype(np.int64)
+            if len(gram):
+                yield pa.record_batch({"block": np.full(len(gram), at), "gram": gram})
+
+
+def _scored(key, docs: pa.Table, known: pa.Table) -> pa.Table:
+    order = np.argsort(np.asarray(known["gram"]))
+    grams, p = np.asarray(known["gram"])[order], np.asarray(known["p"])[order]
+    out = []
+    for batch in docs.select(["doc_id", "same", "text", "lang"]).to_batches():
+        for part in slices(batch, "text", 1 << 20):
+            b, own, at = _laid_out(part.column(2))
+            lost = -np.log(np.maximum(p[np.searchsorted(grams, _codes(b, ORDER)[own].astype(np.uint32).astype(np.int64))], 1e-9)) if len(own) else np.zeros(0)
+            size = np.diff(at)
+            mean = np.full(len(size), np.nan)
+            full = np.flatnonzero(size)
+            if len(full):
+                mean[full] = np.add.reduceat(lost, at[:-1][full]) / size[full]
+            out.append(pa.record_batch({"doc_id": part.column(0), "same": part.column(1), "lang": part.column(3), "n_bytes": pa.array(size, pa.int64()), "log_ppl": pa.array(mean, mask=np.isnan(mean))}))
+    kinds = [("doc_id", pa.int64()), ("same", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_ppl", pa.float64())]
+    return pa.Table.from_batches(out).cast(pa.schema(kinds)) if out else pa.schema(kinds).empty_table()
+
+
+def _perplexities(text: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, same, lang, n_bytes, log_ppl`` of each row of ``text(doc_id, same, text, lang)``."""
+    docs = stash(in_batches(text, _in_blocks, "doc_id long, same long, text string, lang string, block long"), "blocks")
+    asked = stash(in_batches(docs.filter("text is not null").select("text", "block"), _asked, "block long, gram long").distinct(), "asked")
+    known = asked.join(model.looked_up(asked.select("gram").distinct()), "gram")
+    scored = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scored, "doc_id long, same long, lang string, n_bytes long, log_ppl double")
+    scored = stash(scored, "scored")
+    discard(docs, asked, model.rows)
+    return scored
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, fence: float) -> DataFrame:
@@ -153,9 +184,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("trusted")).filter("trusted and doc_id is not null")
     # Only texts that may be trusted are shuffled, and at every size: both sides grow alike.
     maybe = split_by(text.filter("text is not null"), F.col("doc_id"), good.select("doc_id"))[0]
-    model = docs.sparkSession.sparkContext.broadcast(fit(maybe.join(good.hint("merge"), "doc_id")))
-    scored = stash(in_batches(text, _scored(model), "doc_id long, same long, lang string, n_bytes long, log_ppl double"), "scored")
-    model.destroy()
+    scored = _perplexities(text, fit(maybe.join(good.hint("merge"), "doc_id")))
     scored = scored.join(good, "doc_id", "left").withColumn("trusted", F.col("trusted").isNotNull())
     scored = scored.withColumn("length_class", F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2))
     known = scored.filter("trusted and log_ppl is not null")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from attesta.llm.op02_language import has_letter, identify, languages
 from attesta.llm.op04_decontaminate import Index, contaminated, keep_clean, split_item
@@ -136,6 +137,13 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert quality(docs.limit(0), labels).count() == 0
 
 
+def test_the_quality_model_stays_rows(spark, monkeypatch):
+    """Neither the model nor the scores pass through the driver: no n-gram is collected or broadcast from Python."""
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("collected"))
+    model = fit(spark.createDataFrame([("abc abd abc",), ("cab",)], "text string"))
+    assert isinstance(model.rows, DataFrame) and model.rows.columns == ["t", "code", "v"] and model.rows.count() > 20
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, rng.randrange(5, 40))) + ". " + " ".join(words(rng, 6)) + ".") for i in range(150)]
