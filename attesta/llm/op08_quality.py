@@ -6,7 +6,8 @@ longer one's distinct n-grams, and joins of the counts with their contexts' tota
 n-gram its discounted share and each context's weight for the shorter order. Those two numbers of
 every n-gram stay rows. Documents are scored in blocks of some megabytes: the distinct four-grams of
 each block are joined with the model order by order, and what comes of it goes to the block's documents,
-so that neither the driver nor a task holds the model. All probabilities are exact.
+so that neither the driver nor a task holds the model. All probabilities are exact. The documents
+themselves are written once, compressed and bucketed by block, and are not shuffled.
 
 A document's perplexity is held against a fence from the quantiles of the trusted documents of its
 own language and length class, drawn towards its language's the fewer documents the class has.
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.prefilter import split_by, without
-from attesta.llm.scratch import discard, in_batches, stash
+from attesta.llm.scratch import discard, in_batches, stash, stash_bucketed
 from attesta.llm.textkit import flat, slices
 
 ORDER = 4
-#: Text of a block, whose distinct four-grams are looked up together.
-BLOCK_BYTES = 8 << 20
+#: Text of a block, whose distinct four-grams are looked up together; it lies in compressed pages that are read one by one.
+BLOCK_BYTES = 32 << 20
+PAGE_BYTES = 1 << 20
 #: A document is rejected if its log-perplexity lies this many quartile ranges above its class's third quartile.
 FENCE = 4.0
 #: A class's fence counts as much as its language's when it has this many trusted documents; a language's against all, the same.
@@ -127,42 +129,48 @@ def fit(trusted: DataFrame) -> Model:
     return Model(rows)
 
 
+def _page(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: about ``BLOCK_BYTES`` of text that lies together."""
+    """Pages of rows, each with the number of its block (about ``BLOCK_BYTES`` of text that lies together), and the distinct four-grams of each block."""
     context = TaskContext.get()
-    block, held = (context.partitionId() if context else 0) << 32, 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            yield part.append_column("block", pa.array(np.full(part.num_rows, block)))
-            held += len(flat(part.column(2))[0])
-            if held >= BLOCK_BYTES:
-                block, held = block + 1, 0
+    block, held, grams = (context.partitionId() if context else 0) << 32, 0, np.zeros(0, np.uint32)
 
+    def row(page: bytes | None, grams: np.ndarray | None) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([block], pa.int64()), pa.array([page], pa.binary()), pa.array([grams], pa.list_(pa.int64()))], names=["block", "page", "grams"])
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct four-grams of each block, as far as it lies in one batch."""
     for batch in batches:
-        block = np.asarray(batch.column(1))
-        for at in np.unique(block).tolist():
-            b, own, _ = _laid_out(batch.filter(pa.array(block == at)).column(0))
-            gram = np.unique(_codes(b, ORDER)[own].astype(np.uint32)).astype(np.int64)
-            if len(gram):
-                yield pa.record_batch({"block": np.full(len(gram), at), "gram": gram})
+        for part in slices(batch, "text", PAGE_BYTES):
+            b, own, _ = _laid_out(part.column(2))
+            grams = np.union1d(grams, _codes(b, ORDER)[own].astype(np.uint32))
+            yield row(_page(part), None)
+            held += len(own)
+            if held >= BLOCK_BYTES:
+                yield row(None, grams.astype(np.int64))
+                block, held, grams = block + 1, 0, grams[:0]
+    if len(grams):
+        yield row(None, grams.astype(np.int64))
 
 
-def _scored(key, docs: pa.Table, known: pa.Table) -> pa.Table:
+def _scored(key, pages: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(np.asarray(known["gram"]))
     grams, p = np.asarray(known["gram"])[order], np.asarray(known["p"])[order]
+    lost = -np.log(np.maximum(p, 1e-9))
     out = []
-    for batch in docs.select(["doc_id", "same", "text", "lang"]).to_batches():
-        for part in slices(batch, "text", 1 << 20):
+    for page in pages["page"]:
+        for part in pa.ipc.open_stream(page.as_buffer()):
             b, own, at = _laid_out(part.column(2))
-            lost = -np.log(np.maximum(p[np.searchsorted(grams, _codes(b, ORDER)[own].astype(np.uint32).astype(np.int64))], 1e-9)) if len(own) else np.zeros(0)
+            each = lost[np.searchsorted(grams, _codes(b, ORDER)[own].astype(np.uint32).astype(np.int64))] if len(own) else np.zeros(0)
             size = np.diff(at)
             mean = np.full(len(size), np.nan)
             full = np.flatnonzero(size)
             if len(full):
-                mean[full] = np.add.reduceat(lost, at[:-1][full]) / size[full]
+                mean[full] = np.add.reduceat(each, at[:-1][full]) / size[full]
             out.append(pa.record_batch({"doc_id": part.column(0), "same": part.column(1), "lang": part.column(3), "n_bytes": pa.array(size, pa.int64()), "log_ppl": pa.array(mean, mask=np.isnan(mean))}))
     kinds = [("doc_id", pa.int64()), ("same", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_ppl", pa.float64())]
     return pa.Table.from_batches(out).cast(pa.schema(kinds)) if out else pa.schema(kinds).empty_table()
@@ -170,21 +178,24 @@ def _scored(key, docs: pa.Table, known: pa.Table) -> pa.Table:
 
 def _perplexities(text: DataFrame, model: Model) -> DataFrame:
     """``doc_id, same, lang, n_bytes, log_ppl`` of each row of ``text(doc_id, same, text, lang)``."""
-    docs = stash(in_batches(text, _in_blocks, "doc_id long, same long, text string, lang string, block long"), "blocks")
-    asked = stash(in_batches(docs.filter("text is not null").select("text", "block"), _asked, "block long, gram long").distinct(), "asked")
+    blocks = stash_bucketed(in_batches(text, _in_blocks, "block long, page binary, grams array<long>"), "blocks", "block")
+    asked = blocks.select(F.col("block").alias("of"), F.explode("grams").alias("gram"))
     known = asked.join(model.looked_up(asked.select("gram").distinct()), "gram")
-    scored = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scored, "doc_id long, same long, lang string, n_bytes long, log_ppl double")
+    pages = blocks.filter("page is not null").select("block", "page")
+    scored = pages.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_scored, "doc_id long, same long, lang string, n_bytes long, log_ppl double")
     scored = stash(scored, "scored")
-    discard(docs, asked, model.rows)
+    discard(blocks, model.rows)
     return scored
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, fence: float) -> DataFrame:
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("trusted")).filter("trusted and doc_id is not null")
-    # Only texts that may be trusted are shuffled, and at every size: both sides grow alike.
-    maybe = split_by(text.filter("text is not null"), F.col("doc_id"), good.select("doc_id"))[0]
-    scored = _perplexities(text, fit(maybe.join(good.hint("merge"), "doc_id")))
+    # Of texts only those are shuffled that the bitmap of trusted ids lets through wrongly, or may have: ids decide.
+    maybe = split_by(text.filter("doc_id is not null and text is not null").select("doc_id", "text"), F.col("doc_id"), good.select("doc_id"))[0]
+    wrong = stash(maybe.select("doc_id").distinct().join(good.select("doc_id").hint("merge"), "doc_id", "left_anti"), "untrusted")
+    scored = _perplexities(text, fit(without(maybe, F.col("doc_id"), wrong)))
+    discard(wrong)
     scored = scored.join(good, "doc_id", "left").withColumn("trusted", F.col("trusted").isNotNull())
     scored = scored.withColumn("length_class", F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2))
     known = scored.filter("trusted and log_ppl is not null")

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
+from attesta.llm import op08_quality, prefilter
 from attesta.llm.op02_language import has_letter, identify, languages
 from attesta.llm.op04_decontaminate import Index, contaminated, keep_clean, split_item
 from attesta.llm.op08_quality import fit, keep_good, quality
+from attesta.llm.scratch import stash
 from tests.llm.corpus import words
 
 EN = "the of and to in is that for with this from are was not have they which their would there".split()
@@ -144,6 +146,29 @@ def test_the_quality_model_stays_rows(spark, monkeypatch):
     assert isinstance(model.rows, DataFrame) and model.rows.columns == ["t", "code", "v"] and model.rows.count() > 20
 
 
+def test_texts_are_not_shuffled_to_be_scored(spark, monkeypatch):
+    """Texts are written once and read by block; those of the trusted are not shuffled either, and ids that a full bitmap lets through are no trusted ones."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, EN, 60), "en") for i in range(90)] + [(None, prose(rng, EN, 60), "en"), (90, "#$%&*XQZ!" * 30, "en"), (91, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(90, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    plans = {}
+
+    def written(df, name="part"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stash(df, name)
+
+    monkeypatch.setattr(op08_quality, "stash", written)
+    once = {r.doc_id: tuple(r) for r in quality(docs, labels).collect()}
+    assert len(once) == len(rows) and not once[90][-1]
+    assert "Bucketed: true" in plans["scored"] and "Exchange hashpartitioning(block" not in plans["scored"]
+    monkeypatch.setattr(prefilter, "BITS", 15)
+    monkeypatch.setattr(prefilter, "bitmap", lambda hashes, bits=15: b"\xff" * (1 << (bits - 3)))
+    monkeypatch.setattr(op08_quality, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(op08_quality, "PAGE_BYTES", 200)
+    assert {r.doc_id: tuple(r) for r in quality(docs, labels).collect()} == once
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, rng.randrange(5, 40))) + ". " + " ".join(words(rng, 6)) + ".") for i in range(150)]
