@@ -100,7 +100,8 @@ def tumbling_budget(charges: DataFrame, keys: Sequence[str], at: str, tie: str,
         begun, used, here = state or (row[at], dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0))
         if (row[at] - begun).total_seconds() >= seconds:
             begun, here = row[at], dict.fromkeys(names, 0.0)
-        fits = all(used[n] <= total[n] - row[costs[n]] and here[n] <= window[n] - row[costs[n]] for n in names)
+        # The sum that is kept is held against the limit: the rest of a limit is rounded otherwise.
+        fits = all(used[n] + row[costs[n]] <= total[n] and here[n] + row[costs[n]] <= window[n] for n in names)
         if fits:
             used = {n: used[n] + row[costs[n]] for n in names}
             here = {n: here[n] + row[costs[n]] for n in names}

@@ -240,6 +240,17 @@ def test_budget_refusals_charge_nothing(spark):
     assert [(r.fits, r.window_calls, r.reserved_calls, r.window_started.minute) for r in out] == [(True, 6, 6, 1), (False, 6, 6, 1), (True, 10, 10, 1), (True, 1, 11, 6), (True, 10, 20, 6), (False, 0, 20, 13)]
 
 
+def test_budget_holds_the_sums_it_keeps_against_the_limits(spark):
+    import datetime as dt
+
+    # 0.1 + 149.9 is 150, while 150 - 149.9 is less than 0.1.
+    rows = [(k, dt.datetime(2026, 1, 1, 0, i), i, c) for k in "pq" for i, c in enumerate((0.1, 149.9, 0.01) if k == "p" else (0.1, 149.91, 0.0))]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int, c double")
+    for total, window in ((150.0, 1e9), (1e9, 150.0)):
+        out = lifecycle.tumbling_budget(df, ["k"], "at", "i", {"calls": "c"}, {"calls": total}, {"calls": window}, 3600).orderBy("k", "i").collect()
+        assert [(r.fits, r.reserved_calls) for r in out] == [(True, 0.1), (True, 150.0), (False, 150.0), (True, 0.1), (False, 0.1), (True, 0.1)]
+
+
 def test_only_replies_to_colleagues_count(spark):
     posts = [("1", "0", "7"), ("2", "1", "8"), ("3", "2", "7"), ("4", "2", "7"), ("5", "1", "9"), ("6", "5", "7"), ("7", "3", "7")]
     df = spark.createDataFrame([("o", "f", "d", *p) for p in posts], "owner_id string, forum_id string, discussion_id string, post_id string, parent_id string, author_id string")
