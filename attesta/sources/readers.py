@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import stable_uuid
@@ -115,11 +115,39 @@ def merged_states(rows: DataFrame, keys: list[str], state: str, at: str) -> Data
 
     Fields are grouped, not objects folded, so a key may have any number of rows.
     """
-    fields = rows.select(*keys, at, F.explode(F.from_json(state, "map<string,variant>")).alias("name", "v")).select(*keys, at, "name", F.coalesce(F.to_json("v"), F.lit("null")).alias("v"))
+    fields = rows.select(*keys, at, F.explode(F.from_json(state, "map<string,variant>")).alias("name", "v")).select(*keys, at, "name", _value(F.col("v")).alias("v"))
     newest = fields.groupBy(*keys, "name").agg(F.max(F.struct(F.col(at).alias("at"), F.col("v").alias("v"))).alias("w"))
-    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
     packed = F.sort_array(F.collect_list(F.struct("name", F.col("w.v").alias("v"))))
-    return newest.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.transform(packed, lambda e: F.concat(quoted(e["name"]), F.lit(":"), e["v"])), ","), F.lit("}")).alias(state))
+    return newest.groupBy(*keys).agg(_object(packed).alias(state))
+
+
+def _value(v: Column) -> Column:
+    return F.coalesce(F.to_json(v), F.lit("null"))
+
+
+def _object(packed: Column) -> Column:
+    """A JSON object of ``(name, v)`` in order of name; of a name that comes twice the last."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    following = F.slice(packed, 2, F.greatest(F.size(packed), F.lit(1)))
+    fields = F.zip_with(packed, following, lambda e, after: F.when(after.isNull() | (after["name"] != e["name"]), F.concat(quoted(e["name"]), F.lit(":"), e["v"])))
+    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+
+def entities(items: DataFrame) -> DataFrame:
+    """``kind, external_id, title, state, versions`` of what readers give: states merged field by field, and how many contents there are.
+
+    Items are dealt once, by what they are of, and sorted once; only those of an entity with more than one
+    content are taken apart into fields.
+    """
+    keys = ["external_id", "kind"]
+    dealt = items.filter("external_id is not null").select(*keys, "captured_at", "title", "item").repartition(*keys)
+    contents = dealt.groupBy(*keys, "item").agg(F.max(F.struct("captured_at", "title")).alias("t"))
+    of = Window.partitionBy(*keys).orderBy("item").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the order they have
+    contents = contents.select(*keys, "item", F.col("t.captured_at").alias("captured_at"), F.max("t").over(of)["title"].alias("title"), F.count("*").over(of).alias("versions"))
+    packed = F.sort_array(F.transform(F.map_entries(F.from_json("item", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), _value(e["value"]).alias("v"))))
+    single = contents.filter("versions = 1").select(*keys, "title", "versions", packed.alias("packed")).withColumn("item", _object(F.col("packed")))
+    several = merged_states(contents.filter("versions > 1"), [*keys, "title", "versions"], "item", "captured_at")
+    return single.select(several.columns).union(several).select("kind", "external_id", "title", F.col("item").alias("state"), "versions")
 
 
 def ingest(items: DataFrame, owner: str, connection: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,11 +159,9 @@ def ingest(items: DataFrame, owner: str, connection: str) -> tuple[DataFrame, Da
     """
     node = lambda kind, ext: stable_uuid(F.lit(owner), F.lit(connection), kind, ext)
     rows = items.filter("external_id is not null").withColumn("id", node(F.col("kind"), F.col("external_id")))
-    keys = ["id", "kind", "external_id"]
-    titles = rows.groupBy(*keys).agg(F.max(F.struct("captured_at", "title")).alias("t")).select(*keys, F.col("t.title").alias("title"))
-    entities = titles.join(merged_states(rows, keys, "item", "captured_at"), keys).select(F.lit(owner).alias("owner_id"), "id", F.lit(connection).alias("connection_id"), "kind", "external_id", "title", F.col("item").alias("state"))
+    merged = entities(items).select(F.lit(owner).alias("owner_id"), node(F.col("kind"), F.col("external_id")).alias("id"), F.lit(connection).alias("connection_id"), "kind", "external_id", "title", "state")
     seen = rows.withColumn("content_hash", F.sha2("item", 256)).groupBy("id", "content_hash").agg(F.min(F.struct("captured_at", "coverage")).alias("s"), F.min("item").alias("content"))
     occurrences = seen.select(F.lit(owner).alias("owner_id"), F.col("id").alias("entity_id"), "content_hash", F.col("s.captured_at").alias("observed_at"), F.col("s.coverage").alias("coverage"), "content")
     linked = rows.filter("parent_id is not null").select(node(F.col("parent_kind"), F.col("parent_id")).alias("from_id"), F.col("id").alias("to_id"), F.col("relation").alias("kind")).distinct()
-    relations = linked.join(entities.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.lit(owner).alias("owner_id"), "from_id", "to_id", "kind")
-    return entities, occurrences, relations
+    relations = linked.join(merged.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.lit(owner).alias("owner_id"), "from_id", "to_id", "kind")
+    return merged, occurrences, relations

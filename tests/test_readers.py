@@ -64,3 +64,28 @@ def test_states_of_many_rows_are_merged_by_field(spark):
     rows = spark.createDataFrame([(1, i, json.dumps({"k": i, f"f{i % 5}": None if i == 7 else i})) for i in range(50)] + [(2, 1, "{}")], "id int, at int, s string")
     got = {r.id: r.s for r in readers.merged_states(rows, ["id"], "s", "at").collect()}
     assert json.loads(got[1]) == {"k": 49, "f0": 45, "f1": 46, "f2": 47, "f3": 48, "f4": 49} and F is not None
+
+
+def test_ingested_entities_deal_their_items_once(spark):
+    import re
+
+    from __spark_entry__ import queries
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that what is reused shows before it runs
+    try:
+        plan = queries()["ingested_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    shuffled = [re.search(r"hashpartitioning\((\w+)#|$", line)[1] or "" for line in plan.splitlines() if "Exchange " in line and "ReusedExchange" not in line]
+    assert sorted(shuffled) == ["", "external_id", "n", "o_custkey", "s_nationkey", "user_id"]
+
+
+def test_entities_of_one_content_are_as_merged(spark):
+    rows = [("forums", None, {"forums": [{"id": i, "name": f"n{i}", "z": [1, {"b": None}], 'q"': i / 4, "a": None}]}, d) for i, d in ((1, 1), (2, 1), (2, 3), (3, 1))]
+    rows += [("forums", None, {"forums": [{"id": 3, "name": "newer", "b": 1}]}, 2), ("forums", None, '{"forums": [{"id": 4, "name": "x", "name": "y"}]}', 1)]
+    items = readers.read_all(captures(spark, *rows), ("forums",))
+    got = {r.external_id: r for r in readers.entities(items).collect()}
+    assert {k: (r.kind, r.title, r.versions) for k, r in got.items()} == {"1": ("forum", "n1", 1), "2": ("forum", "n2", 1), "3": ("forum", "newer", 2), "4": ("forum", "x", 1)}
+    merged = {r.external_id: r.item for r in readers.merged_states(items, ["external_id"], "item", "captured_at").collect()}
+    assert {k: r.state for k, r in got.items()} == merged and json.loads(merged["3"]) == {"id": 3, "name": "newer", "z": [1, {"b": None}], 'q"': 0.75, "a": None, "b": 1}
