@@ -374,3 +374,33 @@ def test_a_document_of_one_repeated_shingle_is_kept():
     batch = pa.record_batch({"doc_id": pa.array([4, 5]), "text": ["a " * 200, " ".join(f"w{i}" for i in range(60))]})
     kept = lambda again: [(r["doc_id"], len(r["grams"])) for b in _sets(Wanted(255), Wanted(again))(iter([batch])) for r in b.to_pylist()]
     assert kept(0) == [(5, 56)] and kept(255) == [(4, 1), (5, 56)]
+
+
+def test_shuffles_of_repeats_go_with_the_step_that_needs_them(spark, monkeypatch):
+    from attesta.llm import op06_substrings as op6
+
+    def shuffled():
+        files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+    steps, stash = {}, op6.stash
+
+    def watched(df, name):
+        before = shuffled()
+        out = stash(df, name)
+        steps.setdefault(name, []).append(sum(n for f, n in shuffled().items() if f not in before))
+        return out
+
+    monkeypatch.setattr(op6, "stash", watched)
+    assert repeated_passages(documents(spark, 3)).count() > 0
+    # Windows lie on disk for some of the functions at once, and none stays behind its step.
+    assert len(steps["met"]) == op6.ROUNDS > 1 and {n for of in steps.values() for n in of} == {0}
+
+
+def test_rounds_have_each_window_once():
+    from attesta.llm import op06_substrings as op6
+
+    batch = pa.record_batch({"doc_id": pa.array(range(30), pa.int64()), "text": pa.array([" ".join(words(random.Random(i), 150)) for i in range(30)])})
+    rows = lambda functions: [r for b in op6._windows(iter([batch]), functions) for r in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)]
+    each = [rows(range(i, op6.FUNCTIONS, op6.ROUNDS)) for i in range(op6.ROUNDS)]
+    assert sorted(sum(each, [])) == sorted(rows(range(op6.FUNCTIONS))) and max(map(len, each)) < 0.4 * sum(map(len, each))
